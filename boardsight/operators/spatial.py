@@ -253,9 +253,9 @@ def spread(df: DataFrame, keys: list[str], x: str = "x", y: str = "y", per_side:
             left = null_safe_join(pairs.withColumnRenamed("_a", "_up"), _side(boxes, "a"), [*keys, "_up"]).drop("_up")
             met = null_safe_join(left.withColumnRenamed("_b", "_up"), _side(boxes, "b"), [*keys, "_up"]).drop("_up")
         else:
+            # at most per_side ** 2 boxes a group, so this meets a bounded number
             met = null_safe_join(_side(boxes, "a"), _side(boxes, "b"), keys) if keys else _side(boxes, "a").join(_side(boxes, "b"))
-        met = met.filter(F.col("ca") <= F.col("cb"))
-        gap = lambda v: F.greatest(F.abs(F.col(f"b{v}1") - F.col(f"a{v}0")), F.abs(F.col(f"a{v}1") - F.col(f"b{v}0")))
+            gap = lambda v: F.greatest(F.abs(F.col(f"b{v}1") - F.col(f"a{v}0")), F.abs(F.col(f"a{v}1") - F.col(f"b{v}0")))
         met = met.withColumns({"_most": F.hypot(gap("x"), gap("y")), "_sure": F.greatest(gap("x"), gap("y"))})
         sure = met.groupBy(*keys).agg(F.max("_sure").alias("_bound"))
         met = null_safe_join(met, sure, keys) if keys else met.join(F.broadcast(sure))

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from boardsight.core.ordered import Ordered
 from boardsight.functions import text as tx
 
 LOG_FIELDS = ("time", "level", "service", "logger", "message")
@@ -133,14 +134,18 @@ def read_timing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
 
 
 def fingerprint(files: DataFrame, skip: list[str], keys: list[str] = (), name: str = "name",
-                content: str = "content") -> DataFrame:
+                content: str = "content", per_chunk: int = 10_000) -> DataFrame:
     """One hash per folder over its sorted (name, content) pairs, without
-    the files in ``skip`` and hidden ones. Only 96 characters per file are
-    gathered, never the contents."""
+    the files in ``skip`` and hidden ones. Files are hashed where they are read,
+    their hashes chunk by chunk, so no task gathers a whole folder."""
+    keys = list(keys)
     kept = files.filter(~F.col(name).isin(skip) & ~F.col(name).startswith("."))
-    one = F.struct(F.col(name).alias("n"), F.sha2(F.col(content).cast("binary"), 256).alias("h"))
-    listed = F.transform(F.sort_array(F.collect_list(one)), lambda s: F.concat(s["n"], F.lit(":"), s["h"]))
-    return kept.groupBy(*keys).agg(F.sha2(F.array_join(listed, "\n"), 256).alias("fingerprint"))
+    hashed = kept.select(*keys, F.col(name).alias("_n"), F.sha2(F.col(content).cast("binary"), 256).alias("_h"))
+    placed = Ordered(hashed, keys, ["_n"]).row_number("_i").done().withColumn("_c", F.floor((F.col("_i") - 1) / per_chunk))
+    listed = lambda order, text: F.sha2(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), text.alias("t")))), lambda s: s["t"]), "\n"), 256)
+    chunks = placed.groupBy(*keys, "_c").agg(listed("_i", F.concat_ws(":", "_n", "_h")).alias("_ch"))
+    return chunks.groupBy(*keys).agg(listed("_c", F.col("_ch")).alias("fingerprint"))
 
 
 def newest_logs(logs: DataFrame, k: int = 5000) -> DataFrame:
