@@ -1 +1,9 @@
 """Range-telemetry analytics on Spark: DataFrame in, DataFrame out."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors with their code, so the
+# package need not be installed there.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -62,19 +62,28 @@ def x_epoch_ms(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
+def x_bytes(data: Column) -> Column:
+    """Binary as text of one character a byte, which the functions below read:
+    characters can be cut and numbered without going through hex."""
+    return F.decode(data, "ISO-8859-1")
+
+
 def x_uint(data: Column, start, length: int) -> Column:
-    """Big-endian unsigned integer of ``length`` bytes at 1-based ``start``;
-    null when the bytes are not all there."""
-    part = F.substring(data, start, length) if isinstance(start, int) else data.substr(start, F.lit(length))
-    return F.when(F.length(part) == length, F.conv(F.hex(part), 16, 10).cast("long"))
+    """Big-endian unsigned integer of ``length`` bytes of byte text at 1-based
+    ``start``; null when the bytes are not all there."""
+    at = start if isinstance(start, Column) else F.lit(start)
+    total = None
+    for i in range(length):
+        byte = F.ascii(F.substring(data, at + i, F.lit(1))).cast("long") * 256 ** (length - 1 - i)
+        total = byte if total is None else total + byte
+    return F.when(F.length(data) >= at + (length - 1), total)
 
 
-def x_ip_start(packet: Column, inside: int = 0) -> Column:
+def x_ip_start(data: Column) -> Column:
     """1-based place of the first IPv4 header byte 0x45 among the first 32
-    bytes that still leave 20 bytes (plus ``inside``) after them; null if none."""
-    places = F.sequence(F.lit(1), F.least(F.lit(32), F.length(packet) - 20))
-    hits = F.filter(places, lambda i: F.hex(packet.substr(i, F.lit(1))) == "45")
-    return F.when(F.length(packet) > 20 + inside, F.try_element_at(hits, F.lit(1)))
+    bytes that still leave 20 bytes after them; null if none."""
+    at = F.instr(F.substring(data, 1, 32), "\x45")
+    return F.when((at > 0) & (at <= F.length(data) - 20), at)
 
 
 def x_nibble_length(byte: Column, high: bool) -> Column:
@@ -93,13 +102,14 @@ def x_motion_fields(payload: Column) -> dict[str, Column]:
     return {
         "axis": x_uint(payload, 5, 1).cast("int"),
         "opcode": x_uint(payload, 6, 2).cast("int"),
-        "data": F.when(size > 8, payload.substr(F.lit(8), size - 8)).otherwise(F.unhex(F.lit(""))),
+        "data": F.when(size > 8, payload.substr(F.lit(8), size - 8)).otherwise(F.lit("")),
     }
 
 
 def x_safety_fields(payload: Column, dst_ip: Column) -> dict[str, Column]:
     """Device, output and state from the last four payload bytes."""
-    output, state = x_uint(payload, -4, 2), x_uint(F.substring(payload, -2, 2), 1, 2)
+    size = F.length(payload)
+    output, state = x_uint(payload, size - 3, 2), x_uint(payload, size - 1, 2)
     device = literal_map(SAFETY_DEVICES)[dst_ip]
     known = F.coalesce(*[
         F.when(device == name, literal_map(codes)[output.cast("int")])
@@ -121,24 +131,28 @@ def x_envelope(text: Column) -> Column:
 def x_picture_fields(envelope: Column) -> dict[str, Column]:
     """What a picture message says. The first of token, zoom, power and
     measurement that is there decides; a token or power of another kind says
-    nothing."""
-    def at(path: str) -> Column:
-        return F.xpath_string(envelope, F.lit(path))
-
-    def there(path: str) -> Column:
-        return F.xpath_boolean(envelope, F.lit(path))
-
-    token, power = "//*[local-name()='ProfileToken']", "//*[local-name()='Power']"
-    zoom_text = at("(//*[local-name()='Zoom'])[1]/@x")
-    zoom = zoom_text.try_cast("double")
-    measured = at("(//*[local-name()='Measurement'])[1]")
-    measure = (F.when(~there("//*[local-name()='Measurement']"), F.lit(None).cast("double"))
-               .when(F.lower(measured).contains("error"), F.lit(-1000.0))
-               .otherwise(measured.try_cast("double")))
+    nothing. Elements are found by local name, whatever their prefix; one
+    pattern an element, as evaluating a document per field would parse the
+    message again and again."""
+    def tag(name: str) -> str:
+        return rf"<(?:[\w.-]+:)?{name}(?=[\s/>])"
+
+    def there(name: str) -> Column:
+        return envelope.rlike(tag(name))
+
+    def attribute(name: str, key: str) -> Column:
+        return F.regexp_extract(envelope, tag(name) + rf"[^>]*?\s{key}\s*=\s*[\"']([^\"']*)", 1)
+
+    def text(name: str) -> Column:
+        return F.trim(F.regexp_extract(envelope, tag(name) + r"[^>]*>([^<]*)", 1))
+
+    zoom = attribute("Zoom", "x").try_cast("double")
+    measured = text("Measurement")
+    measure = F.when(F.lower(measured).contains("error"), F.lit(-1000.0)).otherwise(measured.try_cast("double"))
     description = (
-        F.when(there(token), F.when(at(token).isin(*PICTURE_TOKENS), F.lit("FOV_REQ")))
+        F.when(there("ProfileToken"), F.when(text("ProfileToken").isin(*PICTURE_TOKENS), F.lit("FOV_REQ")))
         .when(zoom.isNotNull(), F.lit("FOV_STS"))
-        .when(there(power), F.when(at(f"({power})[1]/@name") == RANGE_FINDER, F.lit("LRF_REQ")))
+        .when(there("Power"), F.when(attribute("Power", "name") == RANGE_FINDER, F.lit("LRF_REQ")))
         .when(measure.isNotNull(), F.lit("LRF_STS")))
     return {
         "description": description,

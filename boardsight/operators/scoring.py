@@ -71,10 +71,10 @@ def match_edges(edges: DataFrame, keys: list[str], cells_in_one_task: int = CELL
     side = lambda c, s: F.struct(F.lit(s).alias("s"), F.col(c).cast("string").alias("i"))
     links = rest.select(*keys, side("truth_id", "t").alias("a"), side("found_id", "f").alias("b"))
     ends = links.select(*keys, F.col("a").alias("node")).unionByName(links.select(*keys, F.col("b").alias("node"))).distinct()
-    labels = components(ends.withColumn("label", F.col("node")), links, keys)
+    labels = components(ends.withColumn("_label", F.col("node")), links, keys)
     tagged = null_safe_join(rest.withColumn("node", side("truth_id", "t")), labels, [*keys, "node"]).drop("node")
     size = (F.count_distinct("truth_id") * F.count_distinct("found_id")).alias("cells")
-    biggest = tagged.groupBy(*keys, "label").agg(size).agg(F.max("cells").alias("c")).first()["c"]
+    biggest = tagged.groupBy(*keys, "_label").agg(size).agg(F.max("cells").alias("c")).first()["c"]
     if biggest > cells_in_one_task:
         raise ValueError(f"a cluster of marks is {biggest} pairs wide, more than one task may hold; use a smaller tolerance")
     schema = T.StructType([rest.schema[c] for c in (*keys, "truth_id", "found_id", "distance")])
@@ -91,7 +91,7 @@ def match_edges(edges: DataFrame, keys: list[str], cells_in_one_task: int = CELL
         taken = _assign(cost) if n <= m else _assign(cost.T)
         chosen = {(i, j) for i, j in enumerate(taken)} if n <= m else {(i, j) for j, i in enumerate(taken)}
         return pdf.loc[[(i, j) in chosen for i, j in zip(rows, cols)], schema.names]
-    solved = tagged.groupBy(*keys, "label").applyInPandas(solve, schema)
+    solved = tagged.groupBy(*keys, "_label").applyInPandas(solve, schema)
     return done.unionByName(solved)
 
 

@@ -165,32 +165,32 @@ def label_groups(points: DataFrame, keys: list[str], px: float, id: str = "id")
     """
     keys = list(keys)
     size = px / 1.5
-    placed = points.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
+    placed = points.withColumns({"_px": _cell("x", size), "_py": _cell("y", size)})
     # the half of the 5 x 5 cells around that comes after the own one
     steps = [(i, j) for i in range(-2, 3) for j in range(-2, 3) if (i, j) > (0, 0)]
-    cells = placed.select(*keys, "_cx", "_cy").distinct()
+    cells = placed.select(*keys, "_px", "_py").distinct()
     offsets = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in steps])
     pairs = cells.withColumn("_o", F.explode(offsets)).withColumns(
-        {"_nx": F.col("_cx") + F.col("_o.i"), "_ny": F.col("_cy") + F.col("_o.j")}).drop("_o")
-    there = cells.withColumnsRenamed({"_cx": "_nx", "_cy": "_ny"})
-    pairs = cut(pairs.join(there, [*keys, "_nx", "_ny"], "left_semi"))
-    pair = ["_cx", "_cy", "_nx", "_ny"]
-    near_side = placed.select(*keys, "x", "y", "_cx", "_cy").distinct().join(pairs, [*keys, "_cx", "_cy"])
-    far_side = (placed.select(*keys, "x", "y", F.col("_cx").alias("_nx"), F.col("_cy").alias("_ny")).distinct()
-                .join(pairs, [*keys, "_nx", "_ny"]))
+        {"_qx": F.col("_px") + F.col("_o.i"), "_qy": F.col("_py") + F.col("_o.j")}).drop("_o")
+    there = cells.withColumnsRenamed({"_px": "_qx", "_py": "_qy"})
+    pairs = cut(pairs.join(there, [*keys, "_qx", "_qy"], "left_semi"))
+    pair = ["_px", "_py", "_qx", "_qy"]
+    near_side = placed.select(*keys, "x", "y", "_px", "_py").distinct().join(pairs, [*keys, "_px", "_py"])
+    far_side = (placed.select(*keys, "x", "y", F.col("_px").alias("_qx"), F.col("_py").alias("_qy")).distinct()
+                .join(pairs, [*keys, "_qx", "_qy"]))
     links = (nearest(near_side, far_side, [*keys, *pair], max_r=px).filter(F.col("distance") < px)
              .select(*keys, *pair).distinct())
     node = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))
-    edges = links.select(*keys, node("_cx", "_cy").alias("a"), node("_nx", "_ny").alias("b"))
-    firsts = placed.groupBy(*keys, node("_cx", "_cy").alias("node")).agg(F.min(id).alias("label"))
+    edges = links.select(*keys, node("_px", "_py").alias("a"), node("_qx", "_qy").alias("b"))
+    firsts = placed.groupBy(*keys, node("_px", "_py").alias("node")).agg(F.min(id).alias("_label"))
     labels = components(firsts, edges, keys)
-    return (null_safe_join(placed.withColumn("node", node("_cx", "_cy")), labels, [*keys, "node"])
-            .withColumnRenamed("label", "group_id").drop("node", "_cx", "_cy"))
+    return (null_safe_join(placed.withColumn("node", node("_px", "_py")), labels, [*keys, "node"])
+            .withColumnRenamed("_label", "group_id").drop("node", "_px", "_py"))
 
 
 def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) -> DataFrame:
-    """Least ``label`` over each connected component: ``nodes`` (keys, node,
-    label), ``edges`` (keys, a, b).
+    """Least ``_label`` over each connected component: ``nodes`` (keys, node,
+    _label), ``edges`` (keys, a, b).
 
     Each round gives a node the least label around it, then labels follow the
     label of the node they came from, so distances shrink by doubling. Rounds
@@ -201,19 +201,19 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) -> Data
                .unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     if both.isEmpty():
         return nodes
-    current = cut(nodes.withColumn("first", F.col("label")))
+    current = cut(nodes.withColumn("_first", F.col("_label")))
     while True:
         told = (null_safe_join(both.withColumnRenamed("node", "_n").withColumnRenamed("other", "node"),
-                               current.select(*keys, "node", "label"), [*keys, "node"])
-                .groupBy(*keys, F.col("_n").alias("node")).agg(F.min("label").alias("_told")))
+                               current.select(*keys, "node", "_label"), [*keys, "node"])
+                .groupBy(*keys, F.col("_n").alias("node")).agg(F.min("_label").alias("_told")))
         spread = null_safe_join(current, told, [*keys, "node"], "left").withColumn(
-            "_new", F.least("label", "_told"))
+            "_new", F.least("_label", "_told"))
         # follow the new label to the node it names, and take that node's label
-        owner = spread.select(*keys, F.col("first").alias("_new"), F.col("_new").alias("_jump"))
+        owner = spread.select(*keys, F.col("_first").alias("_new"), F.col("_new").alias("_jump"))
         moved = null_safe_join(spread, owner, [*keys, "_new"], "left").withColumn("_new", F.least("_new", "_jump"))
-        moved = cut(moved.select(*keys, "node", "first", F.col("label").alias("_old"), F.col("_new").alias("label")))
-        if moved.filter(F.col("label") != F.col("_old")).isEmpty():
-            return moved.select(*keys, "node", "label")
+        moved = cut(moved.select(*keys, "node", "_first", F.col("_label").alias("_old"), F.col("_new").alias("_label")))
+        if moved.filter(F.col("_label") != F.col("_old")).isEmpty():
+            return moved.select(*keys, "node", "_label")
         current = moved.drop("_old")
 
 

@@ -39,7 +39,11 @@ def throttle(df: DataFrame, keys: list[str], ts: str, interval_ms: float | None,
 def _kept(df: DataFrame, keys: list[str], ts: str, interval_ms: float, tie: list[str], rows_per_slice: int) -> DataFrame:
     timed = df.withColumn("_ms", _ms(df, ts))
     schema = T.StructType(timed.schema.fields + [T.StructField("_kept", T.BooleanType())])
+    return fold_in_order(timed, keys, ["_ms", *tie], throttle_fold(interval_ms, schema.names), schema, rows_per_slice)
 
+
+def throttle_fold(interval_ms: float, columns: list[str]):
+    """The rate rule over rows in ``_ms`` order; the state is the last kept time."""
     def fold(last, rows: pd.DataFrame):
         at = rows["_ms"].to_numpy()
         kept = np.zeros(len(at), bool)
@@ -47,8 +51,8 @@ def _kept(df: DataFrame, keys: list[str], ts: str, interval_ms: float, tie: list
         while i < len(at):  # one step per kept row, not per row
             kept[i], last = True, float(at[i])
             i = max(i + 1, int(np.searchsorted(at, last + interval_ms, "left")))
-        return rows.assign(_kept=kept)[schema.names], last
-    return fold_in_order(timed, keys, ["_ms", *tie], fold, schema, rows_per_slice)
+        return rows.assign(_kept=kept)[columns], last
+    return fold
 
 
 def collapse_repeats(df: DataFrame, keys: list[str], ts: str, interval_ms: float = 60_000, tie: list[str] = (),
@@ -73,6 +77,12 @@ def keep_if_moved(df: DataFrame, keys: list[str], ts: str, outline: str, moved_p
     slim = packed.select(*keys, "_ms", "_xy")
     schema = T.StructType([slim.schema[c] for c in (*keys, "_ms")])
 
+    marks = fold_in_order(slim, keys, ["_ms"], moved_fold(moved_px, schema.names), schema, rows_per_slice)
+    return null_safe_join(packed, marks, [*keys, "_ms"], "left_semi").drop("_ms", "_xy")
+
+
+def moved_fold(moved_px: float, columns: list[str]):
+    """The moved rule over rows in time order; the state is the last kept outline."""
     def fold(last, rows: pd.DataFrame):
         kept = []
         for xy in rows["_xy"]:
@@ -80,9 +90,8 @@ def keep_if_moved(df: DataFrame, keys: list[str], ts: str, outline: str, moved_p
             moved = last is None or bool((np.hypot(*(here - np.asarray(last)).T) > moved_px).any())
             kept.append(moved)
             last = here.tolist() if moved else last
-        return rows.loc[kept, schema.names], last
-    marks = fold_in_order(slim, keys, ["_ms"], fold, schema, rows_per_slice)
-    return null_safe_join(packed, marks, [*keys, "_ms"], "left_semi").drop("_ms", "_xy")
+        return rows.loc[kept, columns], last
+    return fold
 
 
 TRACK_FIELDS = [T.StructField("frame", T.LongType()), T.StructField("cand_id", T.StringType()),
@@ -117,10 +126,17 @@ def track_candidates(looks: DataFrame, keys: list[str], match_px: float = MATCH_
         F.coalesce("detections", F.array().cast(T.ArrayType(T.StructType(TRACK_FIELDS[3:])))),
         lambda d: F.array(*[d[c].cast("double") for c in ("cx", "cy", "w", "h")])).alias("_d"))
     schema = T.StructType([slim.schema[k] for k in keys] + TRACK_FIELDS)
+    fold = tracking_fold(keys, schema.names, match_px, reopen, persist, window)
+    return fold_in_order(slim, keys, ["frame"], fold, schema, rows_per_slice)
 
+
+def tracking_fold(keys: list[str], columns: list[str], match_px: float, reopen: bool, persist: float, window: int,
+                  judged: list | None = None):
+    """The tracking rule over looks in frame order. The state is the live
+    candidates: position, sightings, first frame, name, and while their window
+    runs its counts. With ``judged`` given, candidates that persist are added
+    to it as their window passes."""
     def fold(state, rows: pd.DataFrame):
-        # a live candidate: position, sightings, first frame, name, then its
-        # window's counts: registered, tried, hits, last hit; None once judged
         live = [{**c, "pos": np.asarray(c["pos"], np.float32)} for c in state or []]
         out = []
         for frame, status, found in zip(rows["frame"], rows["status"], rows["_d"]):
@@ -132,6 +148,8 @@ def track_candidates(looks: DataFrame, keys: list[str], match_px: float = MATCH_
                         c["open"] = False
                         if not (c["span"] > 0 and c["span"] >= persist * c["tried"] and c["hits"] / c["span"] >= persist):
                             continue
+                        if judged is not None:
+                            judged.append((c["id"], c["first"], frame, *[float(v) for v in c["pos"][:2]], c["hits"] / c["span"]))
                     alive.append(c)
                 live = alive
             if status == "registered":
@@ -152,13 +170,13 @@ def track_candidates(looks: DataFrame, keys: list[str], match_px: float = MATCH_
                     out.append((frame, c["id"], c["first"], *[float(v) for v in p]))
             for c in live:
                 if c["open"] and frame < c["first"] + window:
-                    c["span"] += status == "registered"
+                    c["span"] += int(status == "registered")
                     c["tried"] += 1
         made = pd.DataFrame(out, columns=[f.name for f in TRACK_FIELDS])
         for k in keys:
             made[k] = rows[k].iloc[0] if len(rows) else None
-        return made[schema.names], [{**c, "pos": [float(v) for v in c["pos"]]} for c in live]
-    return fold_in_order(slim, keys, ["frame"], fold, schema, rows_per_slice)
+        return made[columns], [{**c, "pos": [float(v) for v in c["pos"]]} for c in live]
+    return fold
 
 
 def retrack(looks: DataFrame, keys: list[str], match_px: float = MATCH_PX, **rule) -> DataFrame:

@@ -56,26 +56,30 @@ def read_captures(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def with_headers(packets: DataFrame, packet: str = "packet") -> DataFrame:
-    """IPv4 and TCP/UDP fields of each packet; null where there is no header."""
-    p = F.col(packet)
-    df = packets.withColumn("_ip", fn.x_ip_start(p))
-    at = F.col("_ip")
+    """IPv4 and TCP/UDP fields of each packet, null where there is no header,
+    and the ``payload`` as byte text. Each step is a column the next ones read,
+    so no expression grows over the whole packet."""
+    b, at, l4 = F.col("_b"), F.col("_ip"), F.col("_l4")
+    df = packets.withColumn("_b", fn.x_bytes(F.col(packet)))
+    df = df.withColumn("_ip", fn.x_ip_start(b))
     df = df.withColumns({
-        "protocol": fn.x_uint(p, at + 9, 1).cast("int"),
-        "src_ip": F.when(at.isNotNull(), fn.x_dotted(p, at + 12)),
-        "dst_ip": F.when(at.isNotNull(), fn.x_dotted(p, at + 16)),
-        "_l4": at + fn.x_nibble_length(fn.x_uint(p, at, 1).cast("int"), high=False),
+        "protocol": fn.x_uint(b, at + 9, 1).cast("int"),
+        "src_ip": F.when(at.isNotNull(), fn.x_dotted(b, at + 12)),
+        "dst_ip": F.when(at.isNotNull(), fn.x_dotted(b, at + 16)),
+        "_l4": at + fn.x_nibble_length(fn.x_uint(b, at, 1).cast("int"), high=False),
     })
-    l4 = F.col("_l4")
-    tcp_data = l4 + fn.x_nibble_length(fn.x_uint(p, l4 + 12, 1).cast("int"), high=True)
-    udp_size = F.least(fn.x_uint(p, l4 + 4, 2) - 8, F.length(p) - (l4 + 7)).cast("int")
+    df = df.withColumns({
+        "src_port": fn.x_uint(b, l4, 2).cast("int"), "dst_port": fn.x_uint(b, l4 + 2, 2).cast("int"),
+        "_u32": fn.x_uint(b, l4 + 4, 4),
+        "_tcp": (l4 + fn.x_nibble_length(fn.x_uint(b, l4 + 12, 1).cast("int"), high=True)).cast("int"),
+    })
+    size = F.length(b)
+    udp = F.least(F.floor(F.col("_u32") / 65536) - 8, size - (l4 + 7)).cast("int")
     return df.withColumns({
-        "src_port": fn.x_uint(p, l4, 2).cast("int"),
-        "dst_port": fn.x_uint(p, l4 + 2, 2).cast("int"),
-        "seq": F.when(F.col("protocol") == 6, fn.x_uint(p, l4 + 4, 4)),
-        "payload": F.when(F.col("protocol") == 17, F.when(udp_size > 0, p.substr(l4 + 8, udp_size)))
-                   .otherwise(F.when(tcp_data <= F.length(p), p.substr(tcp_data, F.length(p)))),
-    }).drop("_ip", "_l4")
+        "seq": F.when(F.col("protocol") == 6, F.col("_u32")),
+        "payload": F.when(F.col("protocol") == 17, F.when(udp > 0, F.substring(b, l4 + 8, udp)))
+                   .when(F.col("_tcp") <= size, F.substring(b, F.col("_tcp"), size)),
+    }).drop("_b", "_ip", "_l4", "_u32", "_tcp")
 
 
 def read_packets(spark: SparkSession, glob: str, port: int = fn.MOTION_REPORT_PORT) -> DataFrame:
@@ -118,12 +122,15 @@ def with_opcode(df: DataFrame) -> DataFrame:
 def known_opcodes(df: DataFrame, dim: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """F8: (rows that decode, rejects with a reason)."""
     dim = opcode_table(df.sparkSession) if dim is None else dim
-    joined = df.join(dim, "opcode", "left")
-    missing_value = F.col("value").isNull() | F.isnan("value") if "value" in df.columns else F.lit(False)
+    return _decodable(df.join(dim, "opcode", "left"))
+
+
+def _decodable(joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    missing = F.col("value").isNull() | F.isnan("value") if "value" in joined.columns else F.lit(False)
     return split_valid(joined, {
         "payload too short": F.col("opcode").isNull(),
         "unknown opcode": F.col("description").isNull(),
-        "no decodable value": missing_value,
+        "no decodable value": missing,
     })
 
 
@@ -148,36 +155,30 @@ def x_wire_value(kind: Column, data: Column) -> Column:
 
 
 def motion_payload(packets: DataFrame, packet: str = "packet") -> DataFrame:
-    """Payload and source port of a motion packet: behind an IPv4 header where
-    one is found, else behind a bare TCP header, else the whole packet."""
-    p = F.col(packet)
-    rows = packets.withColumn("_ip", fn.x_ip_start(p))
-    rows = rows.withColumn("_ip", F.when(F.length(p) >= F.col("_ip") + 39, F.col("_ip")))
-    at = F.col("_ip")
-    l4 = at + fn.x_nibble_length(fn.x_uint(p, at, 1).cast("int"), high=False)
-    behind_ip = l4 + fn.x_nibble_length(fn.x_uint(p, l4 + 12, 1).cast("int"), high=True)
-    bare = fn.x_nibble_length(fn.x_uint(p, 13, 1).cast("int"), high=True) + 1
-    long_enough = F.length(p) >= 20
+    """Payload (byte text) and source port of a motion packet: behind an IPv4
+    header where one is found, else behind a bare TCP header, else the whole
+    packet."""
+    b, at, l4, size = F.col("_b"), F.col("_ip"), F.col("_l4"), F.length("_b")
+    rows = packets.withColumn("_b", fn.x_bytes(F.col(packet))).withColumn("_ip", fn.x_ip_start(b))
+    # without an IPv4 header the TCP header is taken to start the packet
+    rows = rows.withColumn("_ip", F.when(size >= at + 39, at))
+    rows = rows.withColumn("_l4", F.coalesce(at + fn.x_nibble_length(fn.x_uint(b, at, 1).cast("int"), high=False),
+                                             F.when(size >= 20, F.lit(1))))
     rows = rows.withColumns({
-        "payload": F.when(at.isNotNull(), F.when((F.length(p) >= l4 + 19) & (behind_ip <= F.length(p)), p.substr(behind_ip, F.length(p))))
-                   .when(long_enough & (bare <= F.length(p)), p.substr(bare, F.length(p)))
-                   .otherwise(p),
-        "src_port": F.when(at.isNotNull(), fn.x_uint(p, l4, 2)).when(long_enough, fn.x_uint(p, 1, 2)).otherwise(0).cast("int"),
+        "src_port": F.coalesce(fn.x_uint(b, l4, 2), F.lit(0)).cast("int"),
+        "_data": (l4 + fn.x_nibble_length(fn.x_uint(b, l4 + 12, 1).cast("int"), high=True)).cast("int"),
     })
-    return rows.drop("_ip")
+    behind = F.when(F.col("_data") <= size, F.substring(b, F.col("_data"), size))
+    return rows.withColumn("payload", F.when(at.isNotNull(), behind).otherwise(F.coalesce(behind, b))).drop("_b", "_ip", "_l4", "_data")
 
 
 def decode_motion(packets: DataFrame, packet: str = "packet") -> tuple[DataFrame, DataFrame]:
     """Motion rows, and the packets that do not decode with the reason."""
     rows = motion_payload(packets, packet).withColumn("payload", F.when(F.length("payload") >= 7, F.col("payload")))
-    rows = rows.withColumns(fn.x_motion_fields(F.col("payload")))
-    dim = opcode_table(packets.sparkSession)
-    is_cmd = F.col("src_port") != fn.MOTION_REPORT_PORT
-    typed = rows.join(dim.drop("description"), "opcode", "left").withColumns({
-        "isCmd": is_cmd,
-        "value": x_wire_value(F.when(is_cmd, F.col("sent")).otherwise(F.col("returned")), F.col("data")),
-    }).drop("sent", "returned")
-    ok, rejects = known_opcodes(typed, dim)
+    rows = rows.withColumns(fn.x_motion_fields(F.col("payload"))).withColumn("isCmd", F.col("src_port") != fn.MOTION_REPORT_PORT)
+    typed = rows.join(opcode_table(packets.sparkSession), "opcode", "left")
+    kind = F.when(F.col("isCmd"), F.col("sent")).otherwise(F.col("returned"))
+    ok, rejects = _decodable(typed.withColumn("value", x_wire_value(kind, F.col("data"))))
     keep = [c for c in packets.columns if c != packet]
     motion = ok.select(
         *keep, fn.x_signal_key(F.lit("motion"), F.col("description"), F.col("isCmd"), F.col("axis")).alias("id"),
