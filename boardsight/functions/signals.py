@@ -106,16 +106,12 @@ def x_motion_fields(payload: Column) -> dict[str, Column]:
     }
 
 
-def x_safety_fields(payload: Column, dst_ip: Column) -> dict[str, Column]:
-    """Device, output and state from the last four payload bytes."""
-    size = F.length(payload)
-    output, state = x_uint(payload, size - 3, 2), x_uint(payload, size - 1, 2)
-    device = literal_map(SAFETY_DEVICES)[dst_ip]
+def x_safety_fields(device: Column, output: Column, state: Column) -> dict[str, Column]:
+    """Names of a device's output and state codes; unknown ones as hex text."""
     known = F.coalesce(*[
         F.when(device == name, literal_map(codes)[output.cast("int")])
         for name, codes in SAFETY_OUTPUTS.items()])
     return {
-        "name": device,
         "opCode": x_opcode_text(output),
         "description": F.coalesce(known, x_opcode_text(output)),
         "state": F.coalesce(literal_map(SAFETY_STATES)[state.cast("int")], x_opcode_text(state)),
@@ -128,31 +124,25 @@ def x_envelope(text: Column) -> Column:
     return F.coalesce(*[F.nullif(f, F.lit("")) for f in found])
 
 
-def x_picture_fields(envelope: Column) -> dict[str, Column]:
-    """What a picture message says. The first of token, zoom, power and
-    measurement that is there decides; a token or power of another kind says
-    nothing. Elements are found by local name, whatever their prefix; one
-    pattern an element, as evaluating a document per field would parse the
-    message again and again."""
-    def tag(name: str) -> str:
-        return rf"<(?:[\w.-]+:)?{name}(?=[\s/>])"
-
-    def there(name: str) -> Column:
-        return envelope.rlike(tag(name))
-
-    def attribute(name: str, key: str) -> Column:
-        return F.regexp_extract(envelope, tag(name) + rf"[^>]*?\s{key}\s*=\s*[\"']([^\"']*)", 1)
+def x_element(envelope: Column, name: str, attribute: str | None = None) -> Column:
+    """Text or attribute of the first element of a local name, whatever its
+    prefix; null if there is no such element. One pattern an element, as
+    evaluating a document per field would parse the message again and again."""
+    tag = rf"<(?:[\w.-]+:)?{name}(?=[\s/>])"
+    found = rf"[^>]*?\s{attribute}\s*=\s*[\"']([^\"']*)" if attribute else r"[^>]*>([^<]*)"
+    return F.when(envelope.rlike(tag), F.trim(F.regexp_extract(envelope, tag + found, 1)))
 
-    def text(name: str) -> Column:
-        return F.trim(F.regexp_extract(envelope, tag(name) + r"[^>]*>([^<]*)", 1))
 
-    zoom = attribute("Zoom", "x").try_cast("double")
-    measured = text("Measurement")
+def x_picture_fields(token: Column, zoom: Column, power: Column, measured: Column) -> dict[str, Column]:
+    """What a picture message says, from its elements. The first of token,
+    zoom, power and measurement that is there decides; a token or power of
+    another kind says nothing."""
+    zoom = zoom.try_cast("double")
     measure = F.when(F.lower(measured).contains("error"), F.lit(-1000.0)).otherwise(measured.try_cast("double"))
     description = (
-        F.when(there("ProfileToken"), F.when(text("ProfileToken").isin(*PICTURE_TOKENS), F.lit("FOV_REQ")))
+        F.when(token.isNotNull(), F.when(token.isin(*PICTURE_TOKENS), F.lit("FOV_REQ")))
         .when(zoom.isNotNull(), F.lit("FOV_STS"))
-        .when(there("Power"), F.when(attribute("Power", "name") == RANGE_FINDER, F.lit("LRF_REQ")))
+        .when(power.isNotNull(), F.when(power == RANGE_FINDER, F.lit("LRF_REQ")))
         .when(measure.isNotNull(), F.lit("LRF_STS")))
     return {
         "description": description,

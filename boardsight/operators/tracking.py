@@ -7,6 +7,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
+from boardsight.core.columns import once
 from boardsight.core.ordered import ROWS_PER_SLICE, Ordered, fold_in_order, null_safe_join
 from boardsight.functions import signals as fn
 from boardsight.functions.geometry import CENTRE_FACTOR, MATCH_PX, OVERLAP_SHARE, x_same_mark
@@ -412,8 +413,15 @@ def decode_onvif(segments: DataFrame, keys: list[str] = ("src_ip", "src_port", "
     texts = reassemble(segments, keys, ends="(?i)</(SOAP-ENV|s):Envelope>", **how)
     texts = texts.withColumn("envelope", fn.x_envelope(F.col("text"))).filter(F.col("envelope").isNotNull())
     rows = texts.groupBy(*keys, "burst").agg(F.min_by(F.struct("started", "envelope"), "message").alias("_m")).select(*keys, "_m.*")
-    fields = fn.x_picture_fields(F.col("envelope"))
     is_cmd = F.col("src_port") != fn.PICTURE_REPORT_PORT
-    out = rows.select(F.col("started").alias("timestamp"), *keys, is_cmd.alias("isCmd"), *[c.alias(n) for n, c in fields.items()])
-    out = out.filter(F.col("description").isNotNull())
+    out = picture_rows(rows.withColumnRenamed("started", "timestamp").withColumn("isCmd", is_cmd)).drop("envelope")
     return out.withColumn("id", fn.x_signal_key(F.lit("onvif"), F.col("description"), F.col("isCmd")))
+
+
+def picture_rows(rows: DataFrame, envelope: str = "envelope") -> DataFrame:
+    """Rows with an envelope that says something, and what it says."""
+    e = F.col(envelope)
+    parts = once(rows, {"_token": fn.x_element(e, "ProfileToken"), "_zoom": fn.x_element(e, "Zoom", "x"),
+                        "_power": fn.x_element(e, "Power", "name"), "_measured": fn.x_element(e, "Measurement")})
+    fields = fn.x_picture_fields(*[F.col(c) for c in ("_token", "_zoom", "_power", "_measured")])
+    return once(parts, fields).drop("_token", "_zoom", "_power", "_measured").filter(F.col("description").isNotNull())

@@ -39,7 +39,7 @@ def _(t: Tables):
 
 @query("f15_validate_rows", r"""SELECT c_custkey, list_filter([CASE WHEN NOT regexp_matches(alias, '^[A-Za-z0-9][A-Za-z0-9_-]{1,62}$') THEN 'alias' END,
   CASE WHEN first NOT BETWEEN 224 AND 239 THEN 'mcast_ip' END, CASE WHEN port NOT BETWEEN 1 AND 65535 THEN 'mcast_port' END,
-  CASE WHEN regexp_matches(iface, '[^A-Za-z0-9 ._:#()*-]') THEN 'iface' END], x -> x IS NOT NULL) AS reasons
+  CASE WHEN regexp_matches(iface, '[^A-Za-z0-9 ._:#()*-]') THEN 'iface' END], lambda x: x IS NOT NULL) AS reasons
   FROM (SELECT c_custkey, CASE WHEN c_nationkey % 5 = 0 THEN c_name ELSE 'Cam_' || c_custkey END AS alias, c_nationkey * 10 AS first,
   CAST(floor(c_acctbal * 10) AS BIGINT) AS port, CASE WHEN c_nationkey % 4 = 0 THEN 'eth/0' ELSE 'eth 0' END AS iface FROM customer)""")
 def _(t: Tables):
@@ -101,7 +101,7 @@ def _(t: Tables):
     return lines.agg(F.count(F.lit(1)).alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-ASOF = """(SELECT p.event_id, p.user_id, p.ts, r.event_id AS run_id, r.ts AS at FROM (SELECT * FROM events WHERE event_type <> 'signup') p
+ASOF = """(SELECT p.event_id, p.user_id, p.ts, r.event_id AS run_id, r.ts AS run_at FROM (SELECT * FROM events WHERE event_type <> 'signup') p
   ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') r ON r.user_id = p.user_id AND r.ts <= p.ts)"""
 FIRST = "(SELECT user_id, arg_min(event_id, ts) AS first_id, min(ts) AS first_ts FROM events WHERE event_type = 'signup' GROUP BY user_id)"
 
@@ -126,7 +126,7 @@ def _(t: Tables):
     return found.select("event_id", F.col("asof.id").alias("place"))
 
 
-@query("j7_from_earlier_run", f"""SELECT event_id, coalesce(coalesce(at, first_ts) <> last_ts, false) AS from_earlier FROM {ASOF} a LEFT JOIN {FIRST} USING (user_id)
+@query("j7_from_earlier_run", f"""SELECT event_id, coalesce(coalesce(run_at, first_ts) <> last_ts, false) AS from_earlier FROM {ASOF} a LEFT JOIN {FIRST} USING (user_id)
   LEFT JOIN (SELECT user_id, max(ts) AS last_ts FROM events WHERE event_type = 'signup' GROUP BY user_id) USING (user_id)""")
 def _(t: Tables):
     points, runs = _points_and_runs(t)
@@ -137,10 +137,10 @@ def _(t: Tables):
 @query("j16_boards_of", f"""WITH s AS (SELECT 1 AS src, session_id, camera_alias, id AS pos FROM {v.HOLES} WHERE source = 'manual'
    UNION ALL SELECT 2, session_id, camera_alias, id FROM {v.HOLES} WHERE target_index = 1 UNION ALL SELECT 3, session_id, camera_alias, id FROM {v.HOLES}
    UNION ALL SELECT 4, session_id, camera_alias, id FROM {v.HOLES} WHERE deleted_at IS NOT NULL),
-  a AS (SELECT session_id, camera_alias, min(struct_pack(src := src, pos := pos)) AS at FROM (SELECT * FROM s WHERE camera_alias IS NOT NULL
+  a AS (SELECT session_id, camera_alias, min(struct_pack(src := src, pos := pos)) AS spot FROM (SELECT * FROM s WHERE camera_alias IS NOT NULL
    UNION ALL SELECT 0, session_id, alias, pos FROM (SELECT DISTINCT session_id FROM s), {v.CAMERAS} WHERE enabled) GROUP BY ALL
    UNION ALL SELECT DISTINCT session_id, NULL, struct_pack(src := 9, pos := 0) FROM s WHERE camera_alias IS NULL AND src IN (2, 3))
-  SELECT session_id, camera_alias, row_number() OVER (PARTITION BY session_id ORDER BY at.src, at.pos, camera_alias) AS board_order FROM a""")
+  SELECT session_id, camera_alias, row_number() OVER (PARTITION BY session_id ORDER BY spot.src, spot.pos, camera_alias) AS board_order FROM a""")
 def _(t: Tables):
     h = v.holes(t).withColumn("pos", F.col("id"))
     return ss.boards_of(v.cameras(t), h.filter("source = 'manual'"), h.filter("target_index = 1"), h, h.filter("deleted_at is not null")).select(
@@ -235,12 +235,13 @@ def group_cols(keys: str) -> str:
   round(CASE WHEN n > 1 THEN spread END, 6) AS extreme_spread_mm FROM c JOIN s ON {on('s')} JOIN e ON {on('e')}"""
 
 
-MEASURES = [r6(c) for c in groups.STATS[1:]]
+def _measures():
+    return [r6(c) for c in groups.STATS[1:]]
 
 
 @query("a3_group_stats", group_sql(v.POINTS, "label") + " SELECT " + group_cols("label"))
 def _(t: Tables):
-    return groups.group_stats(v.points(t), ["label"], "x", "y").select("label", "n", *MEASURES)
+    return groups.group_stats(v.points(t), ["label"], "x", "y").select("label", "n", *_measures())
 
 
 GROUPED = f"(SELECT session_id, camera_alias, target_index, x_mm AS x, y_mm AS y FROM {v.HOLES} WHERE deleted_at IS NULL AND {IN_GROUP})"
@@ -248,7 +249,7 @@ GROUPED = f"(SELECT session_id, camera_alias, target_index, x_mm AS x, y_mm AS y
 
 @query("a3_hole_groups", group_sql(GROUPED, "session_id, camera_alias, target_index") + " SELECT " + group_cols("session_id, camera_alias, target_index"))
 def _(t: Tables):
-    return groups.hole_groups(filters.not_deleted(v.holes(t))).select("session_id", "camera_alias", "target_index", "n", *MEASURES)
+    return groups.hole_groups(filters.not_deleted(v.holes(t))).select("session_id", "camera_alias", "target_index", "n", *_measures())
 
 
 MISS = f"(NOT {IN_GROUP} AND target_index IS NULL AND source = 'model')"
@@ -412,10 +413,10 @@ def _(t: Tables):
     return t.orders.select("o_orderkey", tx.x_report_duration(start, end).alias("report"), tx.x_long_duration(start, end).alias("long"), tx.x_length(F.col("o_totalprice") / 100).alias("short"))
 
 
-@query("x21_mm_label", "SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN '—' ELSE printf('%+.1f', CAST(s_nationkey - 12 AS DOUBLE)) || ', ' || printf('%+.1f', CAST(s_nationkey AS DOUBLE) / 4 - 3) || ' mm' END AS label FROM supplier")
+@query("x21_mm_label", "SELECT s_suppkey, CASE WHEN s_nationkey % 5 = 0 THEN '—' ELSE printf('%+.1f', CAST(s_nationkey - 12 AS DOUBLE)) || ', ' || printf('%+.1f', CAST(s_nationkey AS DOUBLE) / 5 - 3.01) || ' mm' END AS label FROM supplier")
 def _(t: Tables):
     x = F.when(F.col("s_nationkey") % 5 != 0, F.col("s_nationkey") - 12)
-    return t.supplier.select("s_suppkey", tx.x_mm_label(x, F.col("s_nationkey") / 4 - 3).alias("label"))
+    return t.supplier.select("s_suppkey", tx.x_mm_label(x, F.col("s_nationkey") / 5 - 3.01).alias("label"))
 
 
 @query("x22_file_name", r"""SELECT o_orderkey, 'session_' || coalesce(nullif(trim(regexp_replace(regexp_replace(o_orderpriority || ' #' || o_orderstatus || '?', '[^A-Za-z0-9_\s-]', '_', 'g'), '\s+', '_', 'g'), '_'), ''), 'session') || '_' || strftime(o_orderdate, '%Y%m%d') || '.csv' AS file FROM orders""")
@@ -489,7 +490,7 @@ def _(t: Tables):
         "id", "px", "py", F.round("b.x", 6).alias("bx"), F.round("b.y", 6).alias("by_"))
 
 
-@query("x11_fit", f"SELECT id, round(40 + position_x * 640.0 / 1920, 6) AS x, round(20 + position_y * 360.0 / 1080, 6) AS y FROM {v.HOLES} WHERE id % 2 = 0 UNION ALL SELECT id, NULL, NULL FROM {v.HOLES} WHERE id % 2 = 1")
+@query("x11_fit", f"SELECT id, round((720 - 1280 * (400 / 720.0)) / 2 + position_x * (1280 * (400 / 720.0)) / 1920, 6) AS x, round(position_y * 400.0 / 1080, 6) AS y FROM {v.HOLES} WHERE id % 2 = 0 UNION ALL SELECT id, NULL, NULL FROM {v.HOLES} WHERE id % 2 = 1")
 def _(t: Tables):
     spot = F.struct(F.col("position_x").alias("x"), F.col("position_y").alias("y"))
     shown = F.when(F.col("id") % 2 == 0, 1280.0).otherwise(1000.0)

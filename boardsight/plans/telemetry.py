@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F, types as T
 
+from boardsight.core.columns import once
 from boardsight.core.ordered import Ordered
 from boardsight.functions import signals as fn
 from boardsight.operators import paging, series, tracking
@@ -348,8 +349,8 @@ def _(t: Tables):
     return headed.filter(packets.endpoint_filter("udp", [("132.8.7.101", None), (None, 4097)])).select("event_id")
 
 
-@query("x7_picture_fields", """SELECT event_id, CASE event_type WHEN 'click' THEN CASE WHEN user_id % 2 = 0 THEN 'FOV_REQ' END WHEN 'view' THEN 'FOV_STS' WHEN 'signup' THEN 'LRF_REQ' ELSE 'LRF_STS' END AS description,
-  CASE WHEN event_type = 'view' THEN value END AS zoom, CASE event_type WHEN 'purchase' THEN value WHEN 'error' THEN -1000.0 END AS measurement FROM events""")
+@query("x7_picture_fields", """SELECT event_id, CASE event_type WHEN 'click' THEN 'FOV_REQ' WHEN 'view' THEN 'FOV_STS' WHEN 'signup' THEN 'LRF_REQ' ELSE 'LRF_STS' END AS description,
+  CASE WHEN event_type = 'view' THEN value END AS zoom, CASE event_type WHEN 'purchase' THEN value WHEN 'error' THEN -1000.0 END AS measurement FROM events WHERE NOT (event_type = 'click' AND user_id % 2 = 1)""")
 def _(t: Tables):
     c, number = F.col, F.col("value").cast("string")
     body = (F.when(c("event_type") == "click", F.when(c("user_id") % 2 == 0, "<a:ProfileToken>day</a:ProfileToken>").otherwise("<a:ProfileToken>side</a:ProfileToken>"))
@@ -359,8 +360,8 @@ def _(t: Tables):
             .otherwise(F.lit("<a:Measurement>[Error: 1001]</a:Measurement>")))
     ns = F.when(c("user_id") % 2 == 0, "s").otherwise("SOAP-ENV")
     xml = F.concat(F.lit("POST / HTTP/1.1\n\n<"), ns, F.lit(':Envelope xmlns:'), ns, F.lit('="urn:e" xmlns:a="urn:a">\n'), body, F.lit("</"), ns, F.lit(":Envelope>"))
-    fields = fn.x_picture_fields(fn.x_envelope(xml))
-    return t.events.select("event_id", *[e.alias(n) for n, e in fields.items()])
+    texts = once(t.events.select("event_id", xml.alias("text")), {"envelope": fn.x_envelope(F.col("text"))})
+    return tracking.picture_rows(texts).select("event_id", "description", "zoom", "measurement")
 
 
 @query("u16_reassemble", """SELECT conv_id, count(*) AS segments, md5(string_agg(text, '' ORDER BY turn)) AS digest, min(turn) AS first_turn FROM conversations GROUP BY conv_id""")

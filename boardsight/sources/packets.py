@@ -9,6 +9,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from boardsight.core.columns import once
 from boardsight.functions import signals as fn
 from boardsight.functions.commands import OPCODES
 from boardsight.sources.signals import split_valid
@@ -75,7 +76,8 @@ def with_headers(packets: DataFrame, packet: str = "packet") -> DataFrame:
     })
     size = F.length(b)
     udp = F.least(F.floor(F.col("_u32") / 65536) - 8, size - (l4 + 7)).cast("int")
-    return df.withColumns({
+    return once(df, {
+        **{c: F.col(c) for c in ("protocol", "src_ip", "dst_ip", "src_port", "dst_port")},
         "seq": F.when(F.col("protocol") == 6, F.col("_u32")),
         "payload": F.when(F.col("protocol") == 17, F.when(udp > 0, F.substring(b, l4 + 8, udp)))
                    .when(F.col("_tcp") <= size, F.substring(b, F.col("_tcp"), size)),
@@ -169,16 +171,17 @@ def motion_payload(packets: DataFrame, packet: str = "packet") -> DataFrame:
         "_data": (l4 + fn.x_nibble_length(fn.x_uint(b, l4 + 12, 1).cast("int"), high=True)).cast("int"),
     })
     behind = F.when(F.col("_data") <= size, F.substring(b, F.col("_data"), size))
-    return rows.withColumn("payload", F.when(at.isNotNull(), behind).otherwise(F.coalesce(behind, b))).drop("_b", "_ip", "_l4", "_data")
+    whole = F.when(at.isNotNull(), behind).otherwise(F.coalesce(behind, b))
+    return once(rows, {"src_port": F.col("src_port"), "payload": whole}).drop("_b", "_ip", "_l4", "_data")
 
 
 def decode_motion(packets: DataFrame, packet: str = "packet") -> tuple[DataFrame, DataFrame]:
     """Motion rows, and the packets that do not decode with the reason."""
     rows = motion_payload(packets, packet).withColumn("payload", F.when(F.length("payload") >= 7, F.col("payload")))
-    rows = rows.withColumns(fn.x_motion_fields(F.col("payload"))).withColumn("isCmd", F.col("src_port") != fn.MOTION_REPORT_PORT)
+    rows = once(rows, {**fn.x_motion_fields(F.col("payload")), "isCmd": F.col("src_port") != fn.MOTION_REPORT_PORT})
     typed = rows.join(opcode_table(packets.sparkSession), "opcode", "left")
     kind = F.when(F.col("isCmd"), F.col("sent")).otherwise(F.col("returned"))
-    ok, rejects = _decodable(typed.withColumn("value", x_wire_value(kind, F.col("data"))))
+    ok, rejects = _decodable(once(typed, {"value": x_wire_value(kind, F.col("data"))}))
     keep = [c for c in packets.columns if c != packet]
     motion = ok.select(
         *keep, fn.x_signal_key(F.lit("motion"), F.col("description"), F.col("isCmd"), F.col("axis")).alias("id"),
@@ -189,10 +192,12 @@ def decode_motion(packets: DataFrame, packet: str = "packet") -> tuple[DataFrame
 def decode_safety(packets: DataFrame, packet: str = "packet", include_name: bool = False) -> DataFrame:
     """Safety rows of UDP packets to a known device."""
     headed = with_headers(packets, packet).filter((F.col("protocol") == 17) & (F.length("payload") >= 4))
-    fields = fn.x_safety_fields(F.col("payload"), F.col("dst_ip"))
     keep = [c for c in packets.columns if c != packet]
-    rows = headed.select(*keep, F.lit(True).alias("isCmd"), *[c.alias(n) for n, c in fields.items()])
-    rows = rows.filter(F.col("name").isNotNull())
+    size = F.length("payload")
+    codes = once(headed, {"_do": fn.x_uint(F.col("payload"), size - 3, 2), "_st": fn.x_uint(F.col("payload"), size - 1, 2),
+                          "name": fn.literal_map(fn.SAFETY_DEVICES)[F.col("dst_ip")]})
+    fields = fn.x_safety_fields(F.col("name"), F.col("_do"), F.col("_st"))
+    rows = codes.filter(F.col("name").isNotNull()).select(*keep, F.lit(True).alias("isCmd"), "name", *[c.alias(n) for n, c in fields.items()])
     name = F.concat_ws("/", "name", "description") if include_name else F.col("description")
     return rows.withColumn("id", fn.x_signal_key(F.lit("safety"), name, F.col("isCmd")))
 
