@@ -59,6 +59,7 @@ def match_edges(edges: DataFrame, keys: list[str], cells_in_one_task: int = CELL
     components, solved each on its own.
     """
     keys = list(keys)
+    edges = cut(edges.select(*keys, "truth_id", "found_id", "distance"))  # read many times below
     edges = _only_best_of_lone(_only_best_of_lone(edges, keys, "truth_id", "found_id"), keys, "found_id", "truth_id")
     edges = cut(edges.select(*keys, "truth_id", "found_id", "distance"))
     for side in ("truth_id", "found_id"):
@@ -92,7 +93,7 @@ def match_edges(edges: DataFrame, keys: list[str], cells_in_one_task: int = CELL
         chosen = {(i, j) for i, j in enumerate(taken)} if n <= m else {(i, j) for j, i in enumerate(taken)}
         return pdf.loc[[(i, j) in chosen for i, j in zip(rows, cols)], schema.names]
     solved = tagged.groupBy(*keys, "_label").applyInPandas(solve, schema)
-    return done.unionByName(solved)
+    return cut(done.unionByName(solved))
 
 
 def _only_best_of_lone(edges: DataFrame, keys: list[str], one: str, many: str) -> DataFrame:

@@ -108,10 +108,7 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str] = (), max_r: fl
         near = places.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
         found = near.join(around, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumnsRenamed({"_hx": "_cx", "_hy": "_cy"})
         found = _could_be_nearest(_least_and_most(found).filter(F.col("_least") <= max_r), keys)
-    while True:
-        most = found.agg(F.max("_marks").alias("m")).first()["m"] or 0
-        if most <= dense_cell or size < 1e-9:
-            break
+    while size > 1e-9 and not _boxes(spots, keys, size).filter(F.col("_marks") > dense_cell).isEmpty():
         found, finer = cut(found.select(*keys, "x", "y", "_cx", "_cy")), size / 8
         boxes = _boxes(spots, keys, finer).withColumnsRenamed({"_cx": "_fx", "_cy": "_fy"})
         # a finer cell belongs to the coarse cell its marks lie in; cells do not
@@ -192,28 +189,33 @@ def components(nodes: DataFrame, edges: DataFrame, keys: list[str] = ()) -> Data
     """Least ``_label`` over each connected component: ``nodes`` (keys, node,
     _label), ``edges`` (keys, a, b).
 
-    Each round gives a node the least label around it, then labels follow the
-    label of the node they came from, so distances shrink by doubling. Rounds
-    end when nothing changes.
+    Each round gives a node the least label within two steps, then labels follow
+    the label of the node they came from, so distances shrink by doubling.
+    Rounds end when nothing changes.
     """
     keys = list(keys)
     both = cut(edges.select(*keys, F.col("a").alias("node"), F.col("b").alias("other"))
                .unionByName(edges.select(*keys, F.col("b").alias("node"), F.col("a").alias("other"))).distinct())
     if both.isEmpty():
         return nodes
-    current = cut(nodes.withColumn("_first", F.col("_label")))
-    while True:
-        told = (null_safe_join(both.withColumnRenamed("node", "_n").withColumnRenamed("other", "node"),
-                               current.select(*keys, "node", "_label"), [*keys, "node"])
+    # nodes without an edge keep their label and stay out of the rounds
+    lone = null_safe_join(nodes, both.select(*keys, "node").distinct(), [*keys, "node"], "left_anti")
+    linked = null_safe_join(nodes, both.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
+    current = cut(linked.withColumn("_first", F.col("_label")))
+
+    def around(labels: DataFrame) -> DataFrame:
+        told = (null_safe_join(both.withColumnsRenamed({"node": "_n", "other": "node"}), labels.select(*keys, "node", "_label"), [*keys, "node"])
                 .groupBy(*keys, F.col("_n").alias("node")).agg(F.min("_label").alias("_told")))
-        spread = null_safe_join(current, told, [*keys, "node"], "left").withColumn(
-            "_new", F.least("_label", "_told"))
+        near = null_safe_join(labels, told, [*keys, "node"], "left")
+        return near.withColumn("_label", F.least("_label", "_told")).drop("_told")
+
+    while True:
+        spread = around(around(current.withColumn("_old", F.col("_label"))))
         # follow the new label to the node it names, and take that node's label
-        owner = spread.select(*keys, F.col("_first").alias("_new"), F.col("_new").alias("_jump"))
-        moved = null_safe_join(spread, owner, [*keys, "_new"], "left").withColumn("_new", F.least("_new", "_jump"))
-        moved = cut(moved.select(*keys, "node", "_first", F.col("_label").alias("_old"), F.col("_new").alias("_label")))
+        owner = spread.select(*keys, F.col("_first").alias("_label"), F.col("_label").alias("_jump"))
+        moved = cut(null_safe_join(spread, owner, [*keys, "_label"], "left").withColumn("_label", F.least("_label", "_jump")).drop("_jump"))
         if moved.filter(F.col("_label") != F.col("_old")).isEmpty():
-            return moved.select(*keys, "node", "_label")
+            return moved.select(*keys, "node", "_label").unionByName(lone.select(*keys, "node", "_label"))
         current = moved.drop("_old")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 
 from boardsight.core.columns import once
 from boardsight.core.ordered import ROWS_PER_SLICE, Ordered, fold_in_order, null_safe_join
+from boardsight.core.runtime import cut
 from boardsight.functions import signals as fn
 from boardsight.functions.geometry import CENTRE_FACTOR, MATCH_PX, OVERLAP_SHARE, x_same_mark
 from boardsight.operators.filters import assign_polygon, is_due
@@ -342,7 +343,8 @@ def new_marks_of_run(looks: DataFrame, keys: list[str], outlines: DataFrame | No
         "_pos", F.col("x").alias("cx"), F.col("y").alias("cy"), "w", "h"))).alias("_l"))
     stripped = null_safe_join(later.select(*keys, "frame", "status"), back, [*keys, "frame"], "left").withColumn(
         "detections", F.transform("_l", lambda s: F.struct(s["cx"].alias("cx"), s["cy"].alias("cy"), s["w"].alias("w"), s["h"].alias("h")))).drop("_l")
-    tracks = retrack(stripped, keys, match_px)
+    stripped = cut(stripped)
+    tracks = cut(retrack(stripped, keys, match_px))  # the fold runs once, what follows reads it
     verdicts = persistence(tracks, stripped, keys).filter(F.col("verdict") == "persisted")
     marks = null_safe_join(candidates(tracks, keys), verdicts.select(*keys, "cand_id", "persistence"), [*keys, "cand_id"])
     if changes is not None:

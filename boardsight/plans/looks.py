@@ -181,7 +181,7 @@ def _(t: Tables):
     return tk.corroborated(_boxes(t, "view"), _boxes(t, "click").drop("cand_id"), ["user_id"]).select("cand_id", "corroborated")
 
 
-@query("u19_announce", f"SELECT c.cand_id, min(greatest(k.frame, c.frame)) AS announced_frame FROM {BY('view')} c LEFT JOIN {BY('click')} k ON k.user_id = c.user_id AND {SAME} GROUP BY 1")
+@query("u19_announce", f"SELECT c.cand_id, min(CASE WHEN k.frame IS NOT NULL THEN greatest(k.frame, c.frame) END) AS announced_frame FROM {BY('view')} c LEFT JOIN {BY('click')} k ON k.user_id = c.user_id AND {SAME} GROUP BY 1")
 def _(t: Tables):
     held = _boxes(t, "view").withColumnRenamed("frame", "persisted_frame")
     return tk.announce(held, _boxes(t, "click").drop("cand_id"), ["user_id"]).select("cand_id", "announced_frame")

@@ -210,7 +210,7 @@ LAT = """WITH f AS (SELECT user_id, event_id AS idx, CASE WHEN event_type <> 'er
   d AS (SELECT user_id, idx, taken, wait, value / 1000 AS look, value AS sent_at FROM f JOIN o USING (user_id) JOIN (SELECT user_id, event_id AS idx, value FROM events WHERE event_type <> 'view') USING (user_id, idx))"""
 
 
-@query("j19_latency_stages", LAT + """ SELECT user_id, stage, round(sum(s), 4) AS total, count(*) AS n FROM (SELECT user_id, 'sent_to_decoded' AS stage, taken - wait - sent_at AS s FROM d UNION ALL SELECT user_id, 'frame_wait', wait FROM d UNION ALL SELECT user_id, 'look_time', look FROM d
+@query("j19_latency_stages", LAT + """ SELECT user_id, stage, CAST(sum(CAST(round(s * 1e5) AS BIGINT)) AS BIGINT) AS total, count(*) AS n FROM (SELECT user_id, 'sent_to_decoded' AS stage, taken - wait - sent_at AS s FROM d UNION ALL SELECT user_id, 'frame_wait', wait FROM d UNION ALL SELECT user_id, 'look_time', look FROM d
   UNION ALL SELECT user_id, 'persistence', taken + 9 - taken - look FROM d WHERE idx % 3 = 0 UNION ALL SELECT user_id, 'posted', 1.0 FROM d WHERE idx % 6 = 0
   UNION ALL SELECT user_id, 'delivered', 2.0 FROM d WHERE idx % 9 = 0 UNION ALL SELECT user_id, 'sent_to_delivered', taken + 11 - sent_at FROM d WHERE idx % 9 = 0) GROUP BY ALL""")
 def _(t: Tables):
@@ -222,7 +222,7 @@ def _(t: Tables):
     holes = t.events.filter("event_id % 3 = 0").select("user_id", c("event_id").alias("first_frame"), confirmed.alias("confirmed"),
                                                        F.when(c("event_id") % 6 == 0, confirmed + 1).alias("posted"), F.when(c("event_id") % 9 == 0, confirmed + 2).alias("delivered"))
     out = sc.latency_stages(sent, frames, looks, holes, ["user_id"])
-    return out.groupBy("user_id", "stage").agg(F.round(F.sum("seconds"), 4).alias("total"), F.count(F.lit(1)).alias("n"))
+    return out.groupBy("user_id", "stage").agg(F.sum(F.round(F.col("seconds") * 1e5).cast("long")).alias("total"), F.count(F.lit(1)).alias("n"))
 
 
 @query("j19_stamp_mismatches", LAT + " SELECT user_id, count(*) FILTER (stamp IS NULL OR stamp <> off + idx) AS stamp_mismatches FROM f JOIN o USING (user_id) GROUP BY 1")

@@ -130,12 +130,11 @@ ERRORS = """(SELECT camera, on_target, dx, dy, sqrt(dx*dx + dy*dy) AS radial FRO
 
 
 def splits(t: Tables) -> DataFrame:
-    """Vectors with a split and two 64-bit hashes: signs of the values, and of
-    the steps between them."""
+    """Vectors with a split and two 64-bit hashes: which values are high, and
+    which are low."""
     e = F.col("embedding")
     bits = lambda test: F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"),
                                     lambda a, i: a.bitwiseOR(F.when(test(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    step = lambda i: F.get(e, (i + 1) % 64) > F.get(e, i)
     return t.embeddings.select(
         "vec_id", "embedding", F.when(F.col("label") < 7, "train").when(F.col("label") < 9, "valid").otherwise("test").alias("split"),
-        bits(lambda i: F.get(e, i) > 0).alias("h1"), bits(step).alias("h2"))
+        bits(lambda i: F.get(e, i) > 0.2).alias("h1"), bits(lambda i: F.get(e, i) < -0.2).alias("h2"))

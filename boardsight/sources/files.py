@@ -58,8 +58,11 @@ def parse_labels(lines: DataFrame, column: str = "value") -> DataFrame:
                              "_v": F.transform(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))),
                                                lambda w: w.try_cast("double"))})
     pairs = F.floor(F.col("_n") / 2).cast("int")
-    halves = [F.transform(F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i, p=p: (i % 2 == p) & (i < pairs * 2)),
-                          lambda i: F.try_element_at(F.col("_v"), i.cast("int") + 1)) for p in (0, 1)]
+    def every_other(odd: int):
+        places = F.filter(F.sequence(F.lit(0), F.col("_n") - 1), lambda i: (i % 2 == odd) & (i < pairs * 2))
+        return F.transform(places, lambda i: F.try_element_at(F.col("_v"), i.cast("int") + 1))
+
+    halves = [every_other(0), every_other(1)]
 
     def mean(values):
         return F.aggregate(values, F.lit(0.0), lambda a, v: a + v) / pairs

@@ -124,11 +124,12 @@ def stalls(stream: DataFrame, keys: list[str], ts: str = "timestamp", after_s: f
     def fold(state, batch: pd.DataFrame):
         return pd.DataFrame({f.name: [] for f in schema}), bool(batch["_down"].iloc[-1])
 
-    def expire(key, high, is_down, now):
-        return pd.DataFrame([(*key, high, bool(is_down))], columns=schema.names)
-    up = fold_stream(rows.filter(~F.col("_down")), keys, ["_ms"], fold, schema, int(after_s * 1000), expire)
-    out = fold_stream(rows.filter("_down"), keys, ["_ms"], fold, schema, int(down_s * 1000), expire)
-    return up.unionByName(out)
+    def expire(key, high, is_down):
+        return pd.DataFrame([(*key, high, bool(is_down))], columns=schema.names), is_down
+
+    def wait(is_down) -> int:
+        return int((down_s if is_down else after_s) * 1000)
+    return fold_stream(rows, keys, ["_ms"], fold, schema, wait, expire)
 
 
 def alive_stream(stream: DataFrame, keys: list[str], counter: str, ts: str = "timestamp", stale_s: float = 3) -> DataFrame:
@@ -149,8 +150,9 @@ def alive_stream(stream: DataFrame, keys: list[str], counter: str, ts: str = "ti
             counter, live = int(c), now
         return pd.DataFrame(changes, columns=schema.names), [counter, grown, live]
 
-    def expire(key, high, state, now):
-        return pd.DataFrame([(*key, high, False)], columns=schema.names) if state[2] else None
+    def expire(key, high, state):
+        gone = pd.DataFrame([(*key, high, False)] if state[2] else [], columns=schema.names)
+        return gone, [state[0], None, False]
     return fold_stream(rows, keys, ["_ms"], fold, schema, int(stale_s * 1000), expire)
 
 

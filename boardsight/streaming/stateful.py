@@ -25,7 +25,8 @@ class FoldProcessor(StatefulProcessor):
     newest one folded before come too late for a sequential rule and are left
     out, as a watermark does."""
 
-    def __init__(self, fold, order: list[str], schema: T.StructType, timer_ms: int | None = None, expire=None):
+    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType, timer_ms=None, expire=None):
+        self.columns = columns
         self.fold, self.order, self.schema = fold, order, schema
         self.timer_ms, self.expire = timer_ms, expire
 
@@ -33,8 +34,9 @@ class FoldProcessor(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("fold", TEXT)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True)
+        batch.columns = self.columns  # names with a leading underscore do not arrive as such
         text = self.state.get() if self.state.exists() else None
         high, state = json.loads(text[0]) if text else (None, None)
         lead = self.order[0]
@@ -48,15 +50,17 @@ class FoldProcessor(StatefulProcessor):
         if self.timer_ms is not None:
             for old in self.handle.listTimers():
                 self.handle.deleteTimer(old)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.timer_ms)
+            wait = self.timer_ms(state) if callable(self.timer_ms) else self.timer_ms
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait)
         if len(out):
             yield out[self.schema.names]
 
-    def handleExpiredTimer(self, key, timer_values, expired) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if self.expire is None or not self.state.exists():
             return
         high, state = json.loads(self.state.get()[0])
-        out = self.expire(key, high, state, timer_values.getCurrentProcessingTimeInMs())
+        out, state = self.expire(key, high, state)
+        self.state.update((json.dumps([high, state]),))
         if out is not None and len(out):
             yield out[self.schema.names]
 
@@ -65,10 +69,11 @@ class FoldProcessor(StatefulProcessor):
 
 
 def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold, schema: T.StructType,
-                timer_ms: int | None = None, expire=None) -> DataFrame:
-    """A fold over a keyed stream, append output; ``expire`` runs for a key that
-    stays silent for ``timer_ms`` of wall clock."""
+                timer_ms=None, expire=None) -> DataFrame:
+    """A fold over a keyed stream, append output. For a key that stays silent for
+    ``timer_ms`` of wall clock (a number, or a function of its state),
+    ``expire(key, newest order value, state)`` gives rows and the state after."""
     use_state_store(stream.sparkSession)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(fold, order, schema, timer_ms, expire), outputStructType=schema,
+        statefulProcessor=FoldProcessor(fold, stream.columns, order, schema, timer_ms, expire), outputStructType=schema,
         outputMode="append", timeMode="None" if timer_ms is None else "ProcessingTime")
