@@ -126,7 +126,7 @@ def _(t: Tables):
 
 
 SPLIT = "(SELECT *, CASE WHEN label < 7 THEN 'train' WHEN label < 9 THEN 'valid' ELSE 'test' END AS split FROM embeddings)"
-HAM = """len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0.2) <> (p[2] > 0.2))) <= 6 AND len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] < -0.2) <> (p[2] < -0.2))) <= 6"""
+HAM = """len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] > 0.15) <> (p[2] > 0.15))) <= 6 AND len(list_filter(list_zip(a.embedding, b.embedding), lambda p: (p[1] < -0.15) <> (p[2] < -0.15))) <= 6"""
 LEAK = f"(SELECT a.split AS ga, b.split AS gb, a.vec_id AS ia, b.vec_id AS ib FROM {SPLIT} a JOIN {SPLIT} b ON a.split < b.split WHERE {HAM})"
 
 

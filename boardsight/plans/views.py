@@ -137,4 +137,4 @@ def splits(t: Tables) -> DataFrame:
                                     lambda a, i: a.bitwiseOR(F.when(test(i), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
     return t.embeddings.select(
         "vec_id", "embedding", F.when(F.col("label") < 7, "train").when(F.col("label") < 9, "valid").otherwise("test").alias("split"),
-        bits(lambda i: F.get(e, i) > 0.2).alias("h1"), bits(lambda i: F.get(e, i) < -0.2).alias("h2"))
+        bits(lambda i: F.get(e, i) > 0.15).alias("h1"), bits(lambda i: F.get(e, i) < -0.15).alias("h2"))

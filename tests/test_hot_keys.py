@@ -1,0 +1,85 @@
+"""Results do not depend on which path a key's size takes."""
+
+import itertools
+import math
+
+from pyspark.sql import functions as F
+
+from boardsight.core.ordered import Ordered
+from boardsight.core.percentiles import percentiles
+from boardsight.operators import spatial, tracking
+from boardsight.plans import views
+from boardsight.plans.registry import Tables
+from boardsight.sources import files, packets
+
+
+def skewed(events):
+    """A third of all rows under one key, one value on a third of them."""
+    hot = F.when(F.col("event_id") % 3 == 0, 0).otherwise(F.col("user_id") + 1)
+    return events.withColumn("k", hot).withColumn("value", F.when(F.col("event_id") % 3 == 1, 5.0).otherwise(F.col("value")))
+
+
+def test_ordered_windows_agree(events):
+    def build(n):
+        o = Ordered(skewed(events), ["k"], ["ts", "event_id"], n).lag(p="value").lead(q="event_id").row_number("rn")
+        o = o.running_sum("s", F.lit(1)).running_max("m", F.col("event_id") % 17)
+        return o.last_known("l", F.when(F.col("event_id") % 5 == 0, F.col("event_id"))).done()
+    plain = build(10 ** 9)
+    cut = build(60).select(plain.columns)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, cut.collect()))
+
+
+def test_percentiles_agree(events):
+    rows = skewed(events)
+    get = lambda n: {r.k: (round(r.p50, 9), round(r.p95, 9)) for r in percentiles(rows, ["k"], "value", {"p50": 0.5, "p95": 0.95}, n).collect()}
+    assert get(10 ** 9) == get(50)
+
+
+def test_throttle_agrees(events):
+    rows = skewed(events).select("k", "event_id", "ts")
+    get = lambda n: sorted(r.event_id for r in tracking.throttle(rows, ["k"], "ts", 3_600_000, ["event_id"], n).collect())
+    assert get(10 ** 9) == get(120)
+
+
+def test_dense_cells_agree(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    pts, marks = views.points(t), views.marks(t)
+    for r in (None, 60.0):
+        get = lambda n: {x.id: (x.mark_id, x.distance) for x in spatial.nearest(pts, marks, [], r, "mark_id", dense_cell=n).collect()}  # noqa: E731,B023
+        assert get(10 ** 6) == get(4)
+
+
+def test_spread_is_exact(spark):
+    rows = views.points(Tables(spark, "/root/testdata/sf0.001"))
+    got = {r.label: r.extreme_spread for r in spatial.spread(rows, ["label"], few=4).collect()}
+    by = {}
+    for r in rows.collect():
+        by.setdefault(r.label, []).append((r.x, r.y))
+    for label, pts in by.items():
+        want = max((math.dist(a, b) for a, b in itertools.combinations(pts, 2)), default=None)
+        assert got[label] == want or abs(got[label] - want) < 1e-9
+
+
+def test_capture_files(spark, tmp_path):
+    import struct
+    tcp = bytes.fromhex("00" * 12 + "0800" + "45000000" + "00000000" + "40060000" + "0a000001" + "0a000002") + struct.pack(">HHIIBBHHH", 5000, 4949, 7, 0, 0x50, 0, 0, 0, 0)
+    body = bytes.fromhex("AA550000020131") + struct.pack(">f", 1.5) + b"\xff"
+    packet = tcp + body
+    head = struct.pack("<IHHiIII", 0xA1B2C3D4, 2, 4, 0, 0, 65535, 1)
+    record = lambda p, t: struct.pack("<IIII", t, 250, len(p), len(p)) + p
+    (tmp_path / "a.pcap").write_bytes(head + record(packet, 10) + record(tcp, 11))
+    got = packets.read_packets(spark, str(tmp_path / "*.pcap"))
+    row = got.first()
+    assert got.count() == 1 and (row.src_ip, row.dst_port, row.seq) == ("10.0.0.1", 4949, 7)
+    motion = packets.decode_motion(packets.read_captures(spark, str(tmp_path / "*.pcap")))[0].first()
+    assert (motion.description, motion.value, motion.axis, motion.isCmd) == ("MOT_SetSpeed", 1.5, 2, True)
+
+
+def test_timing_and_log_files(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("# made by hand\nframe,registered,look_ms,inference_ms\n1,1,10.5,\n2,1,11.5,4\n")
+    rows = files.read_timing(spark, str(tmp_path / "t.csv"), ["frame", "registered", "look_ms", "inference_ms"]).orderBy("frame").collect()
+    assert [r.inference_ms for r in rows] == [None, 4.0]
+    (tmp_path / "backend.log").write_text('{"time":"2024-01-01T00:00:01+00:00","level":"error","service":"backend","message":"b","n":1}\n\nnot json\n{"x":1}\n')
+    (tmp_path / "frontend.log").write_text('{"time":"2024-01-01T00:00:02Z","message":"bare"}\n')
+    logs = files.newest_logs(files.read_logs(spark, str(tmp_path / "*.log")), 5).collect()
+    assert [(r.message, r.level, r.service) for r in logs] == [("bare", "info", "unknown"), ("b", "error", "backend")]

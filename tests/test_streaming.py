@@ -85,27 +85,31 @@ def test_follow_runs_equals_keep_if_moved(feed):
     assert times == [at(0), at(1.5), at(2)]
 
 
+def wait_for(stream, name, seconds=60):
+    """Rows of a query with timers, which never runs out of work by itself."""
+    query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(processingTime="1 second").start()
+    try:
+        end = time.time() + seconds
+        while time.time() < end:
+            got = stream.sparkSession.sql(f"select * from {name}").collect()
+            if got:
+                return got
+            time.sleep(0.5)
+        return []
+    finally:
+        query.stop()
+
+
 def test_alive_stream_starts(feed):
     rows = [("c", at(0), 10), ("c", at(1), 20), ("c", at(2), 30)]
     stream, _ = feed([rows[:1], rows[1:]], "camera string, timestamp timestamp, bytes long")
-    got = run(feeds.alive_stream(stream, ["camera"], "bytes"), "alive")
+    got = wait_for(feeds.alive_stream(stream, ["camera"], "bytes"), "alive")
     assert (got[0].alive, got[0].at_ms) == (True, dt.datetime(2024, 1, 1, 0, 0, 1, tzinfo=dt.timezone.utc).timestamp() * 1000)
 
 
 def test_stalls_reports_silent_run(feed):
-    rows = [("r", at(0), False)]
-    stream, _ = feed([rows, [("q", at(1), True)]], "run string, timestamp timestamp, down boolean")
-    query = (feeds.stalls(stream, ["run"], after_s=1, down_s=3600).writeStream.format("memory").queryName("stalls")
-             .outputMode("append").start())
-    try:
-        query.processAllAvailable()
-        for _ in range(60):
-            got = stream.sparkSession.sql("select * from stalls").collect()
-            if got:
-                break
-            time.sleep(0.5)
-    finally:
-        query.stop()
+    stream, _ = feed([[("r", at(0), False)], [("q", at(1), True)]], "run string, timestamp timestamp, down boolean")
+    got = wait_for(feeds.stalls(stream, ["run"], after_s=1, down_s=3600), "stalls")
     assert [(r.run, r.camera_down) for r in got] == [("r", False)]
 
 
