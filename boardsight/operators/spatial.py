@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from boardsight.core.ordered import null_safe_join
+from boardsight.core.percentiles import percentiles
 from boardsight.core.runtime import cut
 
 DENSE_CELL = 256      # marks in a cell above which boxes narrow the search first
@@ -304,8 +305,9 @@ def carry_points(points: DataFrame, marks: DataFrame, keys: list[str] = (), id:
                                         F.sum(F.col("o.stray").cast("decimal(30,9)")).alias("total"))
     best = tally.groupBy(*keys).agg(F.min_by("s", F.struct(-F.col("n"), F.col("total"), F.col("s"))).alias("s"))
     agreed = null_safe_join(own, best, [*keys, "s"])
-    shift = agreed.groupBy(*keys).agg(F.percentile("o.bx", F.lit(0.5)).alias("dx"), F.percentile("o.by", F.lit(0.5)).alias("dy"),
-                                      F.count(F.lit(1)).alias("agreeing"))
+    agreed = cut(agreed.select(*keys, F.col("o.bx").alias("bx"), F.col("o.by").alias("by")))
+    shift = percentiles(agreed, keys, "bx", {"dx": 0.5}, extra=[F.count(F.lit(1)).alias("agreeing")])
+    shift = null_safe_join(shift, percentiles(agreed, keys, "by", {"dy": 0.5}), keys)
     every = points.select(*keys).distinct() if keys else None
     if every is None:
         return shift.select(F.coalesce("dx", F.lit(0.0)).alias("dx"), F.coalesce("dy", F.lit(0.0)).alias("dy"), "agreeing")

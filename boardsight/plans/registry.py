@@ -14,6 +14,7 @@ class Tables:
     """The parquet tables of one folder, by name."""
 
     def __init__(self, spark: SparkSession, folder: str):
+        spark.conf.set("spark.sql.session.timeZone", "UTC")  # times of the data model are UTC
         self.spark, self.folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
