@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boardsight.llm import decontaminate, fingerprint, lang_id, mixing, near_dedup, secret_scan
+from boardsight.llm import decontaminate, fingerprint, html_text, lang_id, mixing, near_dedup, rnn_score, secret_scan, toxicity
 from boardsight.llm.common import held_out, learnt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,6 +45,27 @@ def _(table):
     return decontaminate.contamination(table("documents"), table("benchmark")).drop("h")
 
 
+@query("op4_toxicity")
+def _(table):
+    docs = table("documents")
+    model = toxicity.learn(docs, toxicity.learnt_labels(table("labels")))
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), 4).alias("held_out"), "text")
+    return toxicity.score(rows, model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op5_lm_score")
+def _(table):
+    docs = table("documents")
+    rows = docs.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), "text")
+    return rnn_score.score(rows, docs.filter(learnt(F.col("doc_id"), 7)), keep=("doc_id", "held_out"))
+
+
+@query("op6_html_text")
+def _(table):
+    pages = table("pages")
+    return html_text.extract(pages, html_text.learn_weights(pages))
+
+
 @query("op7_language_id")
 def _(table):
     docs = table("documents")
