@@ -116,14 +116,29 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, ids: DataFrame, threshold: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets are made anew for the ids in question only."""
+def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """The full sets (id, shingles) of the documents with these ids, made anew from their texts."""
     wanted = staged(ids, "wanted")
     texts = docs.join(sized(wanted.withColumnRenamed("id", "__id"), 16), F.expr("doc_id = __id"), "left_semi")
-    sets = staged(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(lambda f: _sets(f, width), "id long, shingles array<long>"), "sets")
+    return staged(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(lambda f: _sets(f, width), "id long, shingles array<long>"), "sets")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    return staged(both.filter(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
+
+
+def shared_sizes(sets: DataFrame) -> DataFrame:
+    """For each id: size of its set, and how many of its shingles another of these sets has too.
+
+    An id with several sets counts all its shingles as shared.
+    """
+    own = sets.groupBy("id").agg(F.min(F.size("shingles")).alias("size"), F.count(F.lit(1)).alias("n"))
+    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
+    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
+    return own.join(alone, "id", "left").select("id", "size", (F.col("size") - F.when(F.col("n") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"))
 
 
 def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
@@ -131,8 +146,11 @@ def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
 
     First every member of a band's bucket is tried with the least id there. What is confirmed
     makes components. A bucket whose members are then all in one component holds nothing new.
-    In the others, all members outside its largest component are tried with every member of
-    another component, so no pair of a bucket stays untried unless its ends are already together.
+    In the others, members outside the largest component are tried with those of any other, but
+    for pairs that cannot be similar: two sets have no more in common than the lesser count of
+    shingles that each shares with anything in an open bucket, and texts changed at random have
+    too few of those. So no pair stays untried unless its ends are already together or its full
+    sets rule it out.
     """
     c = F.col
     keyed = sketches.select(c("doc_id").alias("id"), F.explode("bands").alias("band"))
@@ -144,21 +162,23 @@ def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
         both = pairs.distinct().join(sigs.select(c("id").alias("a"), c("bits").alias("x")), "a").join(sigs.select(c("id").alias("b"), c("bits").alias("y")), "b")
         return staged(both.filter(estimate("x", "y") >= threshold / 100 - SLACK).select("a", "b"), "pairs")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        return staged(confirm(pairs, docs, pairs.select(c("a").alias("id")).union(pairs.select("b")).distinct(), threshold, width), "links")
-
-    first = confirmed(likely(members.filter("id <> lead").select(c("lead").alias("a"), c("id").alias("b"))))
+    tried = likely(members.filter("id <> lead").select(c("lead").alias("a"), c("id").alias("b")))
+    first = confirm(tried, sets_of(docs, tried.select(c("a").alias("id")).union(tried.select("b")).distinct(), width), threshold)
     stars = staged(components(first), "components")
     placed = members.select("band", "id").join(stars, "id", "left").select("band", "id", F.coalesce("least", "id").alias("part"))
     sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
     split = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
     open_ = staged(placed.join(split, "band").select("band", "id", "part", "main"), "open")
-    strays = open_.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"))
-    others = open_.select("band", c("id").alias("b"), c("part").alias("pb"), "main")
+    sets = sets_of(docs, open_.select("id").distinct(), width)
+    able = shared_sizes(sets).filter(100 * c("shared") >= threshold * c("size"))
+    open_ = staged(open_.join(able, "id"), "able")
+    strays = open_.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"), c("size").alias("na"), c("shared").alias("ca"))
+    others = open_.select("band", c("id").alias("b"), c("part").alias("pb"), "main", c("size").alias("nb"), c("shared").alias("cb"))
+    most = F.least("ca", "cb", "na", "nb")
     # Two strays meet once, a stray and a member of the largest component once.
-    tried = members.filter("id <> lead").select(c("lead").alias("a"), c("id").alias("b")).distinct()
-    cross = strays.join(others, "band").filter("pa <> pb AND (pb = main OR a < b)").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = confirmed(likely(cross.join(tried, ["a", "b"], "left_anti")))
+    cross = strays.join(others, "band").filter("pa <> pb AND (pb = main OR a < b)").filter(100 * most >= threshold * (c("na") + c("nb") - most))
+    cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    second = confirm(likely(cross.join(tried, ["a", "b"], "left_anti")), sets, threshold)
     return components(stars.select(c("id").alias("a"), c("least").alias("b")).union(second))
 
 
