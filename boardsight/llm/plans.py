@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boardsight.llm import decontaminate, fingerprint, html_text, lang_id, mixing, near_dedup, rnn_score, secret_scan, toxicity
+from boardsight.llm import decontaminate, fingerprint, html_text, lang_id, line_dedup, mixing, near_dedup, rnn_score, secret_scan, toxicity
 from boardsight.llm.common import held_out, learnt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,27 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+OP1_SQL = r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+o AS (SELECT doc_id, unnest(range(len(parts))) AS pos, unnest(parts) AS line FROM l),
+u AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS first FROM o WHERE trim(line, ' ') <> '' GROUP BY line),
+big AS (SELECT * FROM u WHERE n >= 20),
+cand AS (
+  SELECT a.line AS s, b.line AS r, a.n AS n, b.n AS m, a.first AS fa, b.first AS fb FROM big a JOIN big b ON b.n = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2) AND a.line < b.line
+  UNION SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM big a JOIN big b ON b.n = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2) AND a.line < b.line
+  UNION SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM big a JOIN big b ON b.n - 1 = a.n AND left(a.line, a.n // 2) = left(b.line, a.n // 2)
+  UNION SELECT a.line, b.line, a.n, b.n, a.first, b.first FROM big a JOIN big b ON b.n - 1 = a.n AND right(a.line, a.n - a.n // 2) = right(b.line, a.n - a.n // 2)),
+near AS (SELECT *, list_max(list_filter(range(0, n + 1), lambda k: left(s, k) = left(r, k))) AS pre, list_max(list_filter(range(0, n + 1), lambda k: right(s, k) = right(r, k))) AS suf FROM cand),
+gone AS (SELECT DISTINCT CASE WHEN fa < fb THEN r ELSE s END AS line FROM near WHERE pre + suf >= m - 1),
+k AS (SELECT doc_id, pos, o.line, trim(o.line, ' ') = '' OR ((o.doc_id, o.pos) = u.first AND gone.line IS NULL) AS stays FROM o LEFT JOIN u ON o.line = u.line LEFT JOIN gone ON o.line = gone.line),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (stays), '') AS text FROM k GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, length(g.text) AS n_chars, md5(g.text) AS text_md5 FROM documents d LEFT JOIN g USING (doc_id)"""
+
+
+@query("op1_line_dedup", OP1_SQL)
+def _(table):
+    return line_dedup.dedup_lines(table("documents")).select("doc_id", "n_lines", "n_dropped", "n_chars", F.md5("text").alias("text_md5"))
+
+
 @query("op2_fingerprint")
 def _(table):
     return fingerprint.compare_with_next(table("documents"))
