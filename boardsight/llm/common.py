@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boardsight.core.runtime import ensure_checkpoint_dir
 
@@ -48,3 +51,25 @@ def held_out(doc_id: Column, mod: int) -> Column:
 
 def learnt(doc_id: Column, mod: int) -> Column:
     return F.coalesce(remainder(doc_id, mod) != 2, F.lit(False))
+
+
+def appended(df: DataFrame, column: str, make: Callable[[], Callable[[list], Iterable[tuple]]], fields: str, drop: bool = False) -> DataFrame:
+    """``df`` with more columns, made in Python from the values of ``column``, a batch at a time.
+
+    ``make`` is called once a task and gives a function from a list of values to one tuple of
+    ``fields`` for each. Other columns pass through untouched; those of the same names are
+    replaced, and ``column`` itself goes with ``drop``.
+    """
+    new = T.StructType.fromDDL(fields)
+    kept = [f for f in df.schema if f.name not in new.names and not (drop and f.name == column)]
+    types = [to_arrow_type(f.dataType) for f in new]
+    names = [f.name for f in kept] + new.names
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            rows = list(work(batch.column(column).to_pylist()))
+            made = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, names=names)
+
+    return df.mapInArrow(run, T.StructType([*kept, *new.fields]))

@@ -121,14 +121,16 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
                 before = (part, is_guest, i, t, vector)
             result = pd.DataFrame(out, columns=names)
             out = []
-            yield result.astype({"doc_id": "Int64"})
+            yield result
 
-    return dealt.select("part", "guest", "doc_id", "text").mapInPandas(
-        run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    # Ids travel as text: pandas has no whole numbers beside nulls.
+    out = dealt.select("part", "guest", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+        run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _row(doc_id, text: str, vector: np.ndarray, following: str, its: np.ndarray) -> tuple:
     new, at = edited(text, following)
     changed = insert(delete(vector, text[at:]), new[at:])
-    return (None if doc_id != doc_id else doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(vector),
+    return (doc_id, len(text), hashlib.sha256(new.encode("utf-8", "surrogatepass")).hexdigest(), encode(vector),
             encode(changed), likeness(vector, changed), likeness(vector, its))

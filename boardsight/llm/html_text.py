@@ -18,6 +18,8 @@ from math import log
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from boardsight.llm.common import appended
+
 FIT_PAGES = 2_000  # labelled pages to learn from, the first by a digest of their id
 BORDER = -1e4  # weight of the tags that the labels themselves are made of
 
@@ -160,11 +162,9 @@ def extract(pages: DataFrame, weights: dict[str, float], html: str = "html", kee
     The whole page is read; character references are decoded, blanks inside a block become one
     space, and blocks are joined by one. A null page, and one without words, has empty text.
     """
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            text = [main_text(p, weights) for p in frame.pop("html_")]
-            yield frame.assign(text=text, n_chars=[len(t) for t in text])
-
-    rows = pages.select(*keep, F.col(html).alias("html_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "html_")
-    return rows.mapInPandas(run, f"{schema}, text string, n_chars long")
+    def texts(values: list) -> Iterator[tuple[str, int]]:
+        for page in values:
+            text = main_text(page, weights)
+            yield text, len(text)
+
+    return appended(pages.select(*keep, F.col(html).alias("html_")), "html_", lambda: texts, "text string, n_chars long", drop=True)

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from boardsight.llm.common import appended
+
 SYMBOLS = 64  # 0: anything but a letter; 1-26: a-z; the rest: other letters by their code
 DIM = 512
 PIECE = 1 << 20  # characters looked at together
@@ -119,30 +121,20 @@ def identify(docs: DataFrame, profiles: tuple[list[str], np.ndarray], text: str
     langs, sums = profiles
     unit = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            texts = list(frame.pop("text_"))
-            pred, score = ["und"] * len(texts), np.zeros(len(texts))
-            todo: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
-
-            def settle(todo=todo, pred=pred, score=score) -> None:
+    def predict(texts: list) -> Iterator[tuple[str, float]]:
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        todo: list[tuple[int, tuple[np.ndarray, np.ndarray]]] = []
+        for i, t in enumerate([*texts, None]):
+            if i < len(texts) and t and langs:
+                ids, n = trigrams(t)
+                if ids.any():
+                    todo.append((i, (ids, n)))
+            if todo and (len(todo) == BATCH or i == len(texts)):
                 v = bundles([t for _, t in todo])
                 cosine = v @ unit.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-                best = cosine.argmax(axis=1)
-                for k, (i, _) in enumerate(todo):
-                    pred[i], score[i] = langs[best[k]], min(1.0, max(0.0, float(cosine[k, best[k]])))
+                for (k, _), best, own in zip(todo, cosine.argmax(axis=1), cosine, strict=True):
+                    out[k] = langs[best], min(1.0, max(0.0, float(own[best])))
                 todo.clear()
+        yield from out
 
-            for i, t in enumerate(texts if langs else []):
-                ids, n = trigrams(t) if t else (np.zeros(0, dtype=np.int64), None)
-                if ids.any():
-                    todo.append((i, (ids, n)))
-                    if len(todo) == BATCH:
-                        settle()
-            if todo:
-                settle()
-            yield frame.assign(lang_pred=pred, score=score)
-
-    rows = docs.select(*keep, F.col(text).alias("text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_")
-    return rows.mapInPandas(run, f"{schema}, lang_pred string, score double")
+    return appended(docs.select(*keep, F.col(text).alias("text_")), "text_", lambda: predict, "lang_pred string, score double", drop=True)

@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boardsight.llm.common import sized, staged
+from boardsight.llm.common import appended, sized, staged
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -69,18 +69,16 @@ def sketch(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys.view(np.int64), np.packbits(bits).view(np.int64)
 
 
-def _sketches(frames: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        out = []
-        for i, text in zip(frame["doc_id"], frame["text"], strict=True):
-            s = shingles(text, width)
-            if len(s):
-                keys, bits = sketch(s)
-                same = mixed(s * _M[1])
-                out.append((i, len(s), int(np.bitwise_xor.reduce(same).view(np.int64)), int(np.add.reduce(same * _M[0]).view(np.int64)), bits.tolist(), keys.tolist()))
-            else:
-                out.append((i, 0, 0, 0, None, None))
-        yield pd.DataFrame(out, columns=["doc_id", "n_shingles", "h1", "h2", "bits", "bands"]).astype({"doc_id": "Int64"})
+def sketched(texts: list, width: int) -> Iterator[tuple]:
+    """Of each text in UTF-8: size of its set, two hashes of the whole set, packed bits and band keys."""
+    for text in texts:
+        s = shingles(text, width)
+        if len(s):
+            keys, bits = sketch(s)
+            same = mixed(s * _M[1])
+            yield len(s), int(np.bitwise_xor.reduce(same).view(np.int64)), int(np.add.reduce(same * _M[0]).view(np.int64)), bits.tolist(), keys.tolist()
+        else:
+            yield 0, 0, 0, None, None
 
 
 def _sets(frames: Iterable[pd.DataFrame], width: int) -> Iterator[pd.DataFrame]:
@@ -196,8 +194,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     c = F.col
     docs = docs.select(c(doc_id).alias("doc_id"), c(text).alias("text"))
-    rows = staged(docs.select("doc_id", c("text").cast("binary").alias("text")).mapInPandas(
-        lambda f: _sketches(f, width), "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>, bands array<long>"), "sketches")
+    rows = staged(appended(docs.select("doc_id", c("text").cast("binary").alias("text")), "text", lambda: lambda texts: sketched(texts, width),
+                           "n_shingles long, h1 long, h2 long, bits array<long>, bands array<long>", drop=True), "sketches")
     full = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     same = staged(full.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n")), "copies")
     reps = full.join(same.select("h1", "h2", c("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "h1", "h2"])

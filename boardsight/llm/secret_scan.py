@@ -11,13 +11,13 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_left
-from collections.abc import Iterable, Iterator
 from itertools import accumulate
 from math import log2
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from boardsight.llm.common import appended
+
 # Fixed patterns: kind, pattern, group whose length counts, least length.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -112,11 +112,5 @@ def find_secrets(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("
     High-entropy spans that meet a pattern span are left to it. Each row is scanned on its own,
     so repeated rows give repeated results.
     """
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            got = [scan(t) for t in frame.pop("text_")]
-            yield frame.assign(**{c: [g[k] for g in got] for k, c in enumerate(("n_assign", "n_access", "n_hex", "base_sha256", "spans"))})
-
     rows = docs.select(*keep, F.col(text).alias("text_"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text_")
-    return rows.mapInPandas(run, f"{schema}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return appended(rows, "text_", lambda: lambda texts: map(scan, texts), "n_assign long, n_access long, n_hex long, base_sha256 string, spans string", drop=True)

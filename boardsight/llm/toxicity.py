@@ -10,14 +10,12 @@ sums of what was matched, abusive and quoted, exact and misspelled, gives the pr
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from math import exp, log1p
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F
 
-from boardsight.llm.common import remainder
+from boardsight.llm.common import appended, remainder
 
 FIT_ROWS = 10_000  # labelled rows to learn from, the first by a digest of their id
 TERMS = 4_000  # terms in the lexicon
@@ -193,26 +191,23 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
 
 
 def _measured(rows: DataFrame, terms: list[tuple[str, bool, float]]) -> DataFrame:
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon = Lexicon(terms)
-        for frame in frames:
-            yield pd.DataFrame({"x": [features(t, lexicon) for t in frame["text"]], "toxic": frame["toxic"]})
+    return appended(rows.select("text", "toxic"), "text", lambda: _measure(terms), "x array<double>", drop=True)
+
 
-    return rows.select("text", "toxic").mapInPandas(run, "x array<double>, toxic int")
+def _measure(terms: list[tuple[str, bool, float]]):
+    lexicon = Lexicon(terms)
+    return lambda texts: ((features(t, lexicon),) for t in texts)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
     """``docs`` with the probability that each whole text is toxic; a null text is an empty one. A column of that name is replaced."""
     terms, weights = model.terms, model.weights
 
-    def run(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         lexicon = Lexicon(terms)
-        for frame in frames:
-            x = np.array([features(t, lexicon) for t in frame[text]]).reshape(-1, FEATURES)
-            yield frame.assign(**{name: 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))})
+        return lambda texts: ((1 / (1 + exp(-max(-30.0, min(30.0, float(weights @ features(t, lexicon)))))),) for t in texts)
 
-    docs = docs.drop(name)
-    return docs.mapInPandas(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return appended(docs, text, make, f"`{name}` double")
 
 
 def learnt_labels(labels: DataFrame, mod: int = 4, doc_id: str = "doc_id") -> DataFrame:
