@@ -22,6 +22,7 @@ from boardsight.llm.common import appended
 
 FIT_PAGES = 2_000  # labelled pages to learn from, the first by a digest of their id
 BORDER = -1e4  # weight of the tags that the labels themselves are made of
+LIGHT = -0.01  # the least a tag costs
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
@@ -31,6 +32,7 @@ RAW = frozenset("script style textarea title xmp iframe noembed noframes noscrip
 DROPPED = frozenset("nav header footer aside form button select option datalist fieldset menu dialog svg math object applet audio video canvas map head".split())
 PAGE_PARTS = frozenset("nav header footer aside head".split())
 ENDS_ITSELF = frozenset("p li dt dd option".split())
+BORDERS = frozenset(("article", "/article", "main", "/main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 # Parts of class and id names that mark what is not the article.
@@ -109,11 +111,23 @@ def after_raw(page: str, name: str, at: int) -> int:
 
 
 def region(found: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int, int]:
-    """The tokens from and up to which the sum of scores is greatest, by one scan; the first and shortest of equals."""
-    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    """The tokens from and up to which the sum of scores is greatest, by one scan; the first and shortest of equals.
+
+    Inside an element that the page itself marks as its article, no tag weighs more than a
+    paragraph's would, so short headings at its edges are not cut off; nor do inline tags anywhere.
+    """
+    best, span, total, start, inside = 0.0, (0, 0), 0.0, 0, False
     word, other = weights.get("word", 1.0), weights.get("tag", -1.0)
     for i, (tag, run) in enumerate(found):
-        total += word * len(run.split()) if tag == "text" else weights.get(tag, other if tag != "gone" else 0.0)
+        if tag == "text":
+            total += word * len(run.split())
+        elif tag in BORDERS:
+            inside = tag[0] != "/"
+            total += weights.get(tag, other)
+        elif inside or tag.lstrip("/") in INLINE:
+            total += LIGHT
+        elif tag != "gone":
+            total += weights.get(tag, other)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
@@ -146,14 +160,14 @@ def learn_weights(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     """Weight of a word ("word"), of each tag, and of tags never seen ("tag").
 
     A word weighs 1. A tag weighs the logarithm of how much more often it is inside an article
-    than outside, at most -0.01; the borders of articles weigh ``BORDER``. With no labelled page
+    than outside, at most ``LIGHT``; the borders of articles weigh ``BORDER``. With no labelled page
     other tags weigh -1. Only counts by tag reach the driver.
     """
     chosen = pages.select(F.col(html).alias("html"), F.md5(F.col(page_id).cast("string")).alias("d")).filter(F.lower("html").contains("<article"))
     chosen = chosen.orderBy("d").limit(rows).select("html").repartition(8)
     got = chosen.mapInPandas(_count, "token string, inside long, outside long").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
-    weights = {"word": 1.0, "tag": -1.0} | {r["token"]: min(-0.01, log((r["i"] + 0.5) / (r["o"] + 0.5))) for r in got if r["token"] not in ("word", "gone")}
-    return weights | dict.fromkeys(("article", "/article", "main", "/main"), BORDER)
+    weights = {"word": 1.0, "tag": -1.0} | {r["token"]: min(LIGHT, log((r["i"] + 0.5) / (r["o"] + 0.5))) for r in got if r["token"] not in ("word", "gone")}
+    return weights | dict.fromkeys(BORDERS, BORDER)
 
 
 def extract(pages: DataFrame, weights: dict[str, float], html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
