@@ -84,15 +84,15 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     full = F.floor(c("n") / block_rows)
     plan = (counts.join(weights.withColumnRenamed("source", "__w"), F.expr("source <=> __w"))
             .join(period, c("source").eqNullSafe(c("__p")) & (full % c("q") == c("__k")))
-            .select(c("source").alias("__source"), "q", "period", F.ceil(c("n") / stretch_rows).alias("stretches"),
-                    F.min(F.floor(full / c("q")) * c("period") + c("__at")).over(W.partitionBy()).alias("dry")))
-    placed = keyed.join(F.broadcast(plan), c(source).eqNullSafe(c("__source"))).withColumn("__stretch", F.floor(c("__h") / F.lit(2.0**60) * c("stretches")))
+            .select(c("source").alias("__source"), c("q").alias("__q"), c("period").alias("__period"), F.ceil(c("n") / stretch_rows).alias("__stretches"),
+                    F.min(F.floor(full / c("q")) * c("period") + c("__at")).over(W.partitionBy()).alias("__dry")))
+    placed = keyed.join(F.broadcast(plan), c(source).eqNullSafe(c("__source"))).withColumn("__stretch", F.floor(c("__h") / F.lit(2.0**60) * c("__stretches")))
     sizes = placed.groupBy("__source", "__stretch").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select(c("__source").alias("__s"), c("__stretch").alias("__t"), (F.sum("size").over(W.partitionBy("__source").orderBy("__stretch")) - c("size")).alias("__before"))
     within = F.row_number().over(W.partitionBy("__source", "__stretch").orderBy("__h", c(doc_id), c(text)))
     ranked = placed.withColumn("__within", within).join(before, F.expr("__source <=> __s AND __stretch = __t"))
     rank = c("__before") + c("__within") - 1
     blocked = ranked.withColumn("mix_block", F.floor(rank / block_rows)).withColumn("mix_row", (rank % block_rows).cast("int"))
-    slotted = blocked.join(F.broadcast(period), F.expr("__source <=> __p AND mix_block % q = __k"))
-    return slotted.withColumn("mix_slot", F.floor(c("mix_block") / c("q")) * c("period") + c("__at")).select(
-        *[c(f"`{x}`") for x in docs.columns], "mix_block", "mix_slot", "mix_row", (c("mix_slot") < c("dry")).alias("in_mix"))
+    slotted = blocked.join(F.broadcast(period), F.expr("__source <=> __p AND mix_block % __q = __k"))
+    return slotted.withColumn("mix_slot", F.floor(c("mix_block") / c("__q")) * c("__period") + c("__at")).select(
+        *[c(f"`{x}`") for x in docs.columns], "mix_block", "mix_slot", "mix_row", (c("mix_slot") < c("__dry")).alias("in_mix"))
