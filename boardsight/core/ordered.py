@@ -5,7 +5,8 @@ per key (partial aggregation, so cheap) decides: with no key above
 ``rows_per_slice`` the plain window is used; otherwise the hot keys are cut
 into time slices at quantiles of the order column. Windows then run per
 (key, slice), and what a slice needs from the ones before it, its carry, comes
-from one summary row per (key, slice).
+from one summary row per (key, slice). Numbers and times are cut at quantiles;
+texts, structs and very many slices by a range sort, which cuts any order.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from boardsight.core.runtime import cut
 
 ROWS_PER_SLICE = 2_000_000
-MAX_SLICES = 8192
+QUANTILES = 8192  # cuts asked for at once; beyond them a range sort makes the slices
 SMALL_TABLE = 50_000  # rows a broadcast may hold, checked by a count
 
 SLICE = "_slice"
@@ -45,17 +46,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str
     return out.drop(*[f"_r_{k}" for k in keys])
 
 
-def as_number(df: DataFrame, name: str) -> Column:
-    """The order column as a double: microseconds for timestamps."""
+def as_number(df: DataFrame, name: str) -> Column | None:
+    """The order column as a double: microseconds for timestamps. None for what is no number."""
     kind = df.schema[name].dataType
     if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(F.col(name).cast("timestamp")).cast("double")
     if isinstance(kind, T.DateType):
         return F.unix_date(F.col(name)).cast("double")
-    if isinstance(kind, T.StringType):
-        # the first six bytes as a number: sorts as the text does, ties aside
-        return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
+    return F.col(name).cast("double") if isinstance(kind, T.NumericType) else None
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_TABLE) -> DataFrame:
@@ -86,8 +84,13 @@ def slice_hot(df: DataFrame, keys: list[str], order: str,
         marks = F.broadcast(marks)
     flagged = (null_safe_join(df, marks, keys, "left") if keys
                else df.withColumn("_hot", F.lit(True)))
-    flagged = flagged.withColumn("_at", as_number(df, order))
-    n = min(MAX_SLICES, max(2, -(-2 * rows // rows_per_slice)))
+    at, n = as_number(df, order), max(2, -(-2 * rows // rows_per_slice))
+    if at is None or n > QUANTILES:
+        # rows of equal order value meet in one partition, and later partitions hold greater values;
+        # written, so that the numbers hold
+        sorted_ = cut(flagged.filter("_hot").repartitionByRange(n, F.col(order).asc_nulls_first()).withColumn(SLICE, F.spark_partition_id()))
+        return sorted_.unionByName(flagged.filter("_hot IS NULL").withColumn(SLICE, F.lit(0))).drop("_hot"), True
+    flagged = flagged.withColumn("_at", at)
     cuts = flagged.filter("_hot").approxQuantile("_at", [i / n for i in range(1, n)], 1 / (4 * n))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     placed = Bucketizer(splits=splits, inputCol="_at", outputCol="_bin", handleInvalid="keep").transform(flagged)

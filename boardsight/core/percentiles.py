@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from boardsight.core.ordered import SMALL_TABLE, hot_keys, null_safe_join
 
 ROWS_IN_ONE_STATE = 2_000_000
-VALUE_BINS = 4096
+ROWS_IN_A_BIN = 500_000
 
 
 def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, float],
@@ -25,18 +25,18 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     """
     extra = extra or []
     rows = df.filter(F.col(value).isNotNull())
-    hot, n_hot, _ = hot_keys(rows, keys, rows_in_one_state)
+    hot, n_hot, n_rows = hot_keys(rows, keys, rows_in_one_state)
     builtin = [F.percentile(F.col(value), F.lit(p)).alias(o) for o, p in probs.items()]
     if not n_hot:
         return df.groupBy(*keys).agg(*builtin, *extra)
     marks = hot.select(*keys, F.lit(True).alias("_hot"))
     if not keys:
-        return _ranked(rows, keys, value, probs).crossJoin(df.agg(*extra)) if extra else _ranked(rows, keys, value, probs)
+        return _ranked(rows, keys, value, probs, n_rows).crossJoin(df.agg(*extra)) if extra else _ranked(rows, keys, value, probs, n_rows)
     if n_hot <= SMALL_TABLE:
         marks = F.broadcast(marks)
     flagged = null_safe_join(rows, marks, keys, "left")
     cold = flagged.filter(F.col("_hot").isNull()).groupBy(*keys).agg(*builtin)
-    warm = _ranked(flagged.filter("_hot").drop("_hot"), keys, value, probs)
+    warm = _ranked(flagged.filter("_hot").drop("_hot"), keys, value, probs, n_rows)
     found = cold.unionByName(warm)
     if not extra:
         return null_safe_join(df.select(*keys).distinct(), found, keys, "left")
@@ -47,9 +47,11 @@ def _names(df: DataFrame, extra: list[Column], keys: list[str]) -> list[str]:
     return [c for c in df.groupBy(*keys).agg(*extra).columns if c not in keys]
 
 
-def _ranked(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float]) -> DataFrame:
+def _ranked(rows: DataFrame, keys: list[str], value: str, probs: dict[str, float], n_rows: int) -> DataFrame:
+    """``n_rows`` in all set the number of bins, so that a bin holds about as many rows at any size."""
+    bins = max(64, 2 * n_rows // ROWS_IN_A_BIN)
     at = rows.select(*keys, F.col(value).cast("double").alias("_v"))
-    cuts = at.approxQuantile("_v", [i / VALUE_BINS for i in range(1, VALUE_BINS)], 1 / (2 * VALUE_BINS))
+    cuts = at.approxQuantile("_v", [i / bins for i in range(1, bins)], 1 / (2 * bins))
     splits = [float("-inf"), *sorted(set(cuts)), float("inf")]
     binned = Bucketizer(splits=splits, inputCol="_v", outputCol="_bin", handleInvalid="keep").transform(at)
     # equal values collapse before the ranking, so ties never pile up in a task

@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from boardsight.core.ordered import null_safe_join
 from boardsight.sources.signals import split_valid
 
 
@@ -63,10 +64,10 @@ def assign_rect(points: DataFrame, rects: DataFrame, keys: list[str], point_id:
     listed = (rects.withColumn("_cx", F.explode(span("x0", "x1")))
               .withColumn("_cy", F.explode(span("y0", "y1"))))
     placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    held = placed.join(listed, [*keys, "_cx", "_cy"]).filter(
+    held = null_safe_join(placed, listed, [*keys, "_cx", "_cy"]).filter(
         (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1")))
     best = held.groupBy(*keys, point_id).agg(F.min("idx").alias("sheet"))
-    return points.join(best, [*keys, point_id], "left").withColumn("sheet", F.coalesce("sheet", F.lit(-1)))
+    return null_safe_join(points, best, [*keys, point_id], "left").withColumn("sheet", F.coalesce("sheet", F.lit(-1)))
 
 
 def x_in_outline(x: Column, y: Column, outline: Column) -> Column:
@@ -101,9 +102,9 @@ def assign_polygon(points: DataFrame, polygons: DataFrame, keys: list[str], poin
     listed = (boxed.withColumn("_cx", F.explode(span("x0", "x1")))
               .withColumn("_cy", F.explode(span("y0", "y1"))))
     placed = points.withColumns({"_cx": F.floor(F.col("x") / cell), "_cy": F.floor(F.col("y") / cell)})
-    held = placed.join(listed, [*keys, "_cx", "_cy"]).filter(x_in_outline(F.col("x"), F.col("y"), F.col("outline")))
+    held = null_safe_join(placed, listed, [*keys, "_cx", "_cy"]).filter(x_in_outline(F.col("x"), F.col("y"), F.col("outline")))
     best = held.groupBy(*keys, point_id).agg(F.min("idx").alias("target_index"))
-    return points.join(best, [*keys, point_id], "left")
+    return null_safe_join(points, best, [*keys, point_id], "left")
 
 
 # Patterns a camera row must match.

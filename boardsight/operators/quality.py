@@ -53,7 +53,7 @@ def near_duplicate_pairs(rows: DataFrame, id: str, vec: str, max_mad: float, key
     """Pairs (a < b) of different vectors closer than ``max_mad``."""
     placed = _cells(rows.select(*keys, F.col(id).alias("a"), F.col(vec).alias("va")), "va", max_mad)
     others = _neighbours(_cells(rows.select(*keys, F.col(id).alias("b"), F.col(vec).alias("vb")), "vb", max_mad))
-    met = placed.join(others, [*keys, "_cell"]).filter(F.col("a") < F.col("b"))
+    met = null_safe_join(placed, others, [*keys, "_cell"]).filter(F.col("a") < F.col("b"))
     return met.withColumn("mad", mean_abs_difference(F.col("va"), F.col("vb"))).filter(F.col("mad") < max_mad).select(*keys, "a", "b", "mad")
 
 
@@ -154,7 +154,7 @@ def leaked_share(df: DataFrame, train: str = "train", group: str = "split", h1:
     twins = side("ga", "gb", "a", "b").unionByName(side("gb", "ga", "b", "a")).distinct()
     leaked = twins.groupBy(group).agg(F.sum("n").alias("leaked"))
     total = df.filter(F.col(group) != train).groupBy(group).agg(F.count(F.lit(1)).alias("rows"))
-    return (total.join(leaked, group, "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
+    return (null_safe_join(total, leaked, [group], "left").withColumn("leaked", F.coalesce("leaked", F.lit(0)))
             .withColumn("share", F.col("leaked") / F.col("rows")))
 
 
@@ -198,7 +198,7 @@ def audit_splits(boxes: DataFrame, images: DataFrame, classes: list[str], rules:
         n.alias("boxes"), *[(F.count_if(F.col("class") == c) / n).alias(f"share_{c}") for c in classes],
         *[F.count_if(bad).alias(f"bad_{r}") for r, bad in rules.items()])
     i = images.groupBy(split).agg(F.count(F.lit(1)).alias("images"))
-    return i.join(b, split, "left").withColumn("boxes_per_image", F.col("boxes") / F.col("images"))
+    return null_safe_join(i, b, [split], "left").withColumn("boxes_per_image", F.col("boxes") / F.col("images"))
 
 
 # The checks of the annotation audit, over x, y, w, h, image size, area and class.

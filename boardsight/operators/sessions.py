@@ -35,7 +35,8 @@ def nested(df: DataFrame, keys: list[str], order: list[str], item: list[str], na
 def session_detail(sessions: DataFrame, holes: DataFrame, runs: DataFrame,
                    per_row: int = 10_000) -> DataFrame:
     """Sessions with their active holes (board and rank order) and runs (by
-    ``taken_at``) nested."""
+    ``taken_at``) nested, empty if there are none. Every session has a row of
+    ``part`` 0; what goes on past ``per_row`` is in the rows of later parts."""
     active = not_deleted(holes).withColumnRenamed("session_id", "sid")
     hole_cols = [c for c in active.columns if c not in ("sid", "deleted_at")]
     ordered = active.withColumn("_b", F.coalesce("camera_alias", F.lit("￿")))
@@ -43,7 +44,9 @@ def session_detail(sessions: DataFrame, holes: DataFrame, runs: DataFrame,
     run_cols = [c for c in runs.columns if c != "session_id"]
     watched = nested(runs.withColumnRenamed("session_id", "sid"), ["sid"], ["taken_at", "id"], run_cols, "runs", per_row)
     both = held.join(watched, ["sid", "part"], "full_outer").withColumnRenamed("sid", "id")
-    return sessions.join(both, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    full = sessions.join(both, "id", "left").withColumn("part", F.coalesce("part", F.lit(0)))
+    kinds = {c: full.schema[c].dataType for c in ("bullet_holes", "runs")}
+    return full.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in kinds.items()})
 
 
 def range_tree(ranges: DataFrame, events: DataFrame, hits: DataFrame, targets: DataFrame) -> DataFrame:

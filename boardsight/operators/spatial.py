@@ -50,7 +50,7 @@ def distance_join(a: DataFrame, b: DataFrame, r: float, keys: list[str] = (), in
         right = null_safe_join(right, crowded, on, "left").withColumn("_s", salt).drop("_n")
         on = [*on, "_s"]
     d = F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))
-    pairs = left.join(right, on).withColumn("distance", d)
+    pairs = null_safe_join(left, right, on).withColumn("distance", d)
     near = F.col("distance") <= r if inclusive else F.col("distance") < r
     return pairs.filter(near).drop("_cx", "_cy", "_s")
 
@@ -107,7 +107,7 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str] = (), max_r: fl
         size = float(max_r)
         around = _around(_boxes(spots, keys, size).withColumns({"_hx": F.col("_cx"), "_hy": F.col("_cy")}))
         near = places.withColumns({"_cx": _cell("x", size), "_cy": _cell("y", size)})
-        found = near.join(around, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumnsRenamed({"_hx": "_cx", "_hy": "_cy"})
+        found = null_safe_join(near, around, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").withColumnsRenamed({"_hx": "_cx", "_hy": "_cy"})
         found = _could_be_nearest(_least_and_most(found).filter(F.col("_least") <= max_r), keys)
     while size > 1e-9 and not _boxes(spots, keys, size).filter(F.col("_marks") > dense_cell).isEmpty():
         found, finer = cut(found.select(*keys, "x", "y", "_cx", "_cy")), size / 8
@@ -118,11 +118,11 @@ def nearest(points: DataFrame, marks: DataFrame, keys: list[str] = (), max_r: fl
                                    "_ex": F.floor(F.col("x1") / size).cast("long"), "_ey": F.floor(F.col("y1") / size).cast("long")})
         boxes = (boxes.withColumn("_cx", F.explode(F.sequence("_cx", "_ex")))
                  .withColumn("_cy", F.explode(F.sequence("_cy", "_ey"))).drop("_ex", "_ey"))
-        met = found.join(boxes, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").distinct()
+        met = null_safe_join(found, boxes, [*keys, "_cx", "_cy"]).drop("_cx", "_cy").distinct()
         met = met.withColumnsRenamed({"_fx": "_cx", "_fy": "_cy"})
         found, size = _could_be_nearest(_least_and_most(met), keys), finer
     cells = spots.withColumns({"_cx": _cell("mx", size), "_cy": _cell("my", size)})
-    met = found.select(*keys, "x", "y", "_cx", "_cy").join(cells, [*keys, "_cx", "_cy"])
+    met = null_safe_join(found.select(*keys, "x", "y", "_cx", "_cy"), cells, [*keys, "_cx", "_cy"])
     met = met.withColumn("_d", F.hypot(F.col("x") - F.col("mx"), F.col("y") - F.col("my")))
     if max_r is not None:
         met = met.filter(F.col("_d") <= max_r)
@@ -171,11 +171,11 @@ def label_groups(points: DataFrame, keys: list[str], px: float, id: str = "id")
     pairs = cells.withColumn("_o", F.explode(offsets)).withColumns(
         {"_qx": F.col("_px") + F.col("_o.i"), "_qy": F.col("_py") + F.col("_o.j")}).drop("_o")
     there = cells.withColumnsRenamed({"_px": "_qx", "_py": "_qy"})
-    pairs = cut(pairs.join(there, [*keys, "_qx", "_qy"], "left_semi"))
+    pairs = cut(null_safe_join(pairs, there, [*keys, "_qx", "_qy"], "left_semi"))
     pair = ["_px", "_py", "_qx", "_qy"]
-    near_side = placed.select(*keys, "x", "y", "_px", "_py").distinct().join(pairs, [*keys, "_px", "_py"])
-    far_side = (placed.select(*keys, "x", "y", F.col("_px").alias("_qx"), F.col("_py").alias("_qy")).distinct()
-                .join(pairs, [*keys, "_qx", "_qy"]))
+    near_side = null_safe_join(placed.select(*keys, "x", "y", "_px", "_py").distinct(), pairs, [*keys, "_px", "_py"])
+    far_side = null_safe_join(placed.select(*keys, "x", "y", F.col("_px").alias("_qx"), F.col("_py").alias("_qy")).distinct(),
+                              pairs, [*keys, "_qx", "_qy"])
     links = (nearest(near_side, far_side, [*keys, *pair], max_r=px).filter(F.col("distance") < px)
              .select(*keys, *pair).distinct())
     node = lambda a, b: F.struct(F.col(a).alias("x"), F.col(b).alias("y"))

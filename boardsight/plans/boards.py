@@ -72,13 +72,14 @@ def _(t: Tables):
     return ss.sessions_with_counts(v.sessions(t), v.holes(t)).select("id", "name", "hole_count")
 
 
-@query("j2_session_detail", f"""SELECT s.id, 0 AS part, coalesce(list(h.id ORDER BY h.camera_alias NULLS LAST, h.created_at, h.id), []) AS hole_ids FROM {v.SESSIONS} s
-  LEFT JOIN (SELECT * FROM {v.HOLES} WHERE deleted_at IS NULL) h ON h.session_id = s.id WHERE s.id IN (SELECT o_custkey FROM orders) GROUP BY s.id HAVING count(h.id) > 0""")
+@query("j2_session_detail", f"""SELECT s.id, 0 AS part, coalesce(hole_ids, []) AS hole_ids, coalesce(run_ids, []) AS run_ids FROM {v.SESSIONS} s
+  LEFT JOIN (SELECT session_id, list(id ORDER BY camera_alias NULLS LAST, created_at, id) AS hole_ids FROM {v.HOLES} WHERE deleted_at IS NULL GROUP BY 1) h ON h.session_id = s.id
+  LEFT JOIN (SELECT o_custkey AS session_id, list(o_orderkey ORDER BY o_orderdate, o_orderkey) AS run_ids FROM orders WHERE o_orderstatus = 'P' GROUP BY 1) r ON r.session_id = s.id""")
 def _(t: Tables):
     ranked = ss.rank_per_board(v.holes(t)).withColumn("rank", F.col("rank").cast("int"))
     runs = t.orders.filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("session_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("taken_at"))
-    full = ss.session_detail(v.sessions(t), ranked, runs).filter("bullet_holes is not null")
-    return full.select("id", "part", F.transform("bullet_holes", lambda h: h["id"]).alias("hole_ids"))
+    full = ss.session_detail(v.sessions(t), ranked, runs)
+    return full.select("id", "part", F.transform("bullet_holes", lambda h: h["id"]).alias("hole_ids"), F.transform("runs", lambda r: r["id"]).alias("run_ids"))
 
 
 @query("j3_range_tree", """SELECT l_orderkey * 10 + l_linenumber AS hit_id, o_orderkey AS event_id, c_custkey AS range_id, p_size AS center_x FROM lineitem

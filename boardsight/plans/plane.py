@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from boardsight.functions import geometry as geo
 from boardsight.operators import filters, scoring as sc, spatial as sp
 from boardsight.plans import views as v
-from boardsight.plans.registry import Tables, query
+from boardsight.plans.registry import SQL, Tables, query
 
 r6 = lambda c: F.round(c, 6).alias(c)
 D = "sqrt((p.x - m.x) ** 2 + (p.y - m.y) ** 2)"
@@ -300,3 +300,52 @@ def _(t: Tables):
 @query("x19_scaled_tolerance", "SELECT p_partkey, round(40.0 * p_size / p_retailprice, 6) AS tolerance FROM part")
 def _(t: Tables):
     return t.part.select("p_partkey", F.round(geo.x_scaled_tolerance(40, F.col("p_size"), F.col("p_retailprice")), 6).alias("tolerance"))
+
+
+# the same with a board key that is null for one board: points of label 0
+def _boards(df):
+    return df.withColumn("board", F.when(F.col("label") != 0, F.col("label").cast("string"))).drop("label")
+
+
+@query("j8_pairs_by_board", f"SELECT id, mark_id, round(d, 6) AS distance FROM {PAIRS} WHERE d <= 60")
+def _(t: Tables):
+    return sp.distance_join(_boards(v.points(t)), _boards(v.marks(t)), 60.0, ["board"]).select("id", "mark_id", r6("distance"))
+
+
+@query("j9_nearest_by_board", f"SELECT id, arg_min(mark_id, (d, mark_id)) FILTER (d <= 50) AS mark_id, round(min(d) FILTER (d <= 50), 6) AS distance FROM {PAIRS} GROUP BY id")
+def _(t: Tables):
+    return sp.nearest(_boards(v.points(t)), _boards(v.marks(t)), ["board"], 50.0, "mark_id").select("id", "mark_id", r6("distance"))
+
+
+@query("j10_survivors_by_board", f"SELECT id FROM {STRIP} WHERE d >= 60")
+def _(t: Tables):
+    return sp.strip_known(_boards(v.points(t)), _boards(v.marks(t)), 60.0, ["board"])[0].select("id")
+
+
+@query("g1_groups_by_board", SQL["g1_label_groups"])
+def _(t: Tables):
+    return sp.label_groups(_boards(v.points(t)), ["board"], 40.0).select("id", "group_id")
+
+
+@query("u14_carry_by_board", f"SELECT CASE WHEN label <> 0 THEN CAST(label AS VARCHAR) END AS board, dx, dy, agreeing FROM ({SQL['u14_carry_points']})")
+def _(t: Tables):
+    return sp.carry_points(_boards(v.points(t)), _boards(v.marks(t)), ["board"]).select("board", r6("dx"), r6("dy"), "agreeing")
+
+
+def _keyed(df, by: str):
+    return df.withColumn("board", F.when(F.col(by) % 3 != 0, F.col(by) % 3))
+
+
+@query("f11_rect_by_board", f"""SELECT id, coalesce(min(idx), -1) AS sheet FROM (SELECT id, position_x AS x, position_y AS y FROM {v.HOLES}) LEFT JOIN {RECTS} ON id % 3 = idx % 3 AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY id""")
+def _(t: Tables):
+    pts = _keyed(v.holes(t).select("id", F.col("position_x").alias("x"), F.col("position_y").alias("y")), "id")
+    return filters.assign_rect(pts, _keyed(_rects(t), "idx"), ["board"]).select("id", "sheet")
+
+
+@query("f12_polygon_by_board", f"""SELECT id, min(idx) AS target_index FROM (SELECT id, position_x AS x, position_y AS y FROM {v.HOLES}) LEFT JOIN {RECTS}
+  ON id % 3 = idx % 3 AND abs(x - x0 - 140) / 140 + abs(y - y0 - 50) / 50 <= 1 GROUP BY id""")
+def _(t: Tables):
+    corner = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
+    shapes = _keyed(_rects(t), "idx").select("idx", "board", F.array(corner(140, 0), corner(280, 50), corner(140, 100), corner(0, 50)).alias("outline"))
+    pts = _keyed(v.holes(t).select("id", F.col("position_x").alias("x"), F.col("position_y").alias("y")), "id")
+    return filters.assign_polygon(pts, shapes, ["board"]).select("id", "target_index")

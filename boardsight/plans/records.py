@@ -74,10 +74,14 @@ def _(t: Tables):
     return files.label_damage(files.parse_labels(label_lines(t)), ["l_orderkey"])
 
 
-@query("s9_strict_labels", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_linenumber NOT IN (5, 6)")
+@query("s9_strict_labels", "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber IN (5, 6))")
 def _(t: Tables):
-    clean = label_lines(t).filter("l_linenumber not in (5, 6)").withColumn("path", F.lit("lines"))
-    return files.refuse_damaged(files.parse_labels(clean)).select("l_orderkey", "l_linenumber")
+    return files.strict_labels(files.parse_labels(label_lines(t)), "l_orderkey")[0].select("l_orderkey", "l_linenumber")
+
+
+@query("s9_refused_files", "SELECT l_orderkey, count(*) AS damaged_lines FROM lineitem WHERE l_linenumber IN (5, 6) GROUP BY 1")
+def _(t: Tables):
+    return files.strict_labels(files.parse_labels(label_lines(t)), "l_orderkey")[1]
 
 
 def manifest_lines(t: Tables):

@@ -130,6 +130,13 @@ def interval_page(t: Tables):
     return paging.interval_page(t.events, "ts", "event_id", A, B, HOUR, ["user_id"], page=2, size=500).select("event_id", "user_id", "value")
 
 
+@query("l3_first_page", f"""SELECT event_id, user_id, value FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p
+  FROM events WHERE ts >= '{A}' AND ts < '{B}') WHERE p IS NULL OR epoch_us(ts) - epoch_us(p) > {HOUR * 1000 - 1}
+  ORDER BY ts, event_id LIMIT 500""")
+def first_interval_page(t: Tables):
+    return paging.interval_page(t.events, "ts", "event_id", A, B, HOUR, ["user_id"], page=1, size=500).select("event_id", "user_id", "value")
+
+
 @query("l4_entity_page", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 50")
 def _(t: Tables):
     items, _ = paging.paginate(t.orders, 3, 25, "o_orderdate", "o_orderkey")

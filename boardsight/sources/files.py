@@ -92,6 +92,14 @@ def read_labels_strict(spark: SparkSession, glob: str) -> DataFrame:
     return refuse_damaged(read_labels(spark, glob))
 
 
+def strict_labels(labels: DataFrame, by: str = "path") -> tuple[DataFrame, DataFrame]:
+    """The labels of the files without a damaged line, and the refused files
+    with how many of their lines are damaged."""
+    refused = labels.groupBy(by).agg(F.count_if("damaged").alias("damaged_lines")).filter("damaged_lines > 0")
+    marks = refused.select(F.col(by).alias("_refused"))
+    return labels.join(marks, F.col(by).eqNullSafe(F.col("_refused")), "left_anti"), refused
+
+
 def refuse_damaged(labels: DataFrame) -> DataFrame:
     """Fail the job on the first damaged line."""
     refused = F.raise_error(F.concat(F.lit("damaged label line in "), F.coalesce("path", F.lit("input"))))

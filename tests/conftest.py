@@ -19,4 +19,4 @@ def spark():
 
 @pytest.fixture(scope="session")
 def events(spark):
-    return spark.read.parquet(f"{SF}/events.parquet").cache()
+    return spark.read.parquet(f"{SF}/events.parquet")
