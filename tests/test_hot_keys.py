@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import functions as F
 
+from boardsight.core import ordered
 from boardsight.core.ordered import Ordered
 from boardsight.core.percentiles import percentiles
 from boardsight.operators import spatial, tracking
@@ -83,3 +84,24 @@ def test_timing_and_log_files(spark, tmp_path):
     (tmp_path / "frontend.log").write_text('{"time":"2024-01-01T00:00:02Z","message":"bare"}\n')
     logs = files.newest_logs(files.read_logs(spark, str(tmp_path / "*.log")), 5).collect()
     assert [(r.message, r.level, r.service) for r in logs] == [("bare", "info", "unknown"), ("b", "error", "backend")]
+
+
+def test_text_and_struct_orders_are_cut(spark):
+    """Names with a long common beginning, and struct order columns, are cut like numbers; ties share a slice."""
+    rows = [("k", f"frame_{i // 2:06d}", i) for i in range(1000)] + [("c", "frame_1", 5), ("k", None, -1)]
+    df = spark.createDataFrame(rows, "key string, name string, i long").repartition(4)
+    for order in (F.col("name"), F.struct("name", "i")):
+        placed, was_cut = ordered.slice_hot(df.withColumn("o", order), ["key"], "o", 50)
+        sizes = {r["_slice"]: r["count"] for r in placed.filter("key = 'k'").groupBy("_slice").count().collect()}
+        assert was_cut and len(sizes) > 10 and max(sizes.values()) < 200
+        out = ordered.Ordered(df.withColumn("o", order), ["key"], ["o", "i"], 50).row_number("n").lag(before="i").done().collect()
+        want = sorted((r for r in rows if r[0] == "k"), key=lambda r: (r[1] is not None, r[1] or "", r[2]))
+        got = sorted((r for r in out if r["key"] == "k"), key=lambda r: r["n"])
+        assert [r["i"] for r in got] == [r[2] for r in want] and [r["before"] for r in got] == [None, *[r[2] for r in want[:-1]]]
+
+
+def test_many_slices_go_by_range(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "QUANTILES", 3)
+    df = spark.range(500).withColumn("key", F.lit(1))
+    out = ordered.Ordered(df, ["key"], ["id"], 40).running_sum("s", F.col("id")).done().collect()
+    assert all(r["s"] == r["id"] * (r["id"] + 1) // 2 for r in out)
