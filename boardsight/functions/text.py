@@ -65,9 +65,19 @@ def x_parse_iso(text: Column) -> Column:
     return text.try_cast("timestamp")
 
 
+# Forms that case folding writes with other letters.
+FOLDS = [("ß", "ss"), ("ς", "σ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
+# Fixed value: white space at either end, Unicode's and the four separators of ASCII.
+SPACE_AROUND = r"^[\s\x1c-\x1f\x85\p{Z}]+|[\s\x1c-\x1f\x85\p{Z}]+$"
+
+
 def x_name_key(name: Column) -> Column:
-    """Trimmed, case ignored."""
-    return F.lower(F.trim(name))
+    """Without white space around it, and case folded: a letter's upper
+    case, lowered, is the same for all its forms but those of ``FOLDS``."""
+    key = F.lower(F.upper(F.regexp_replace(name, SPACE_AROUND, "")))
+    for form, folded in FOLDS:
+        key = F.replace(key, F.lit(form), F.lit(folded))
+    return key
 
 
 def x_plain_json(value: Column) -> Column:

@@ -371,16 +371,28 @@ def _(t: Tables):
     return m.audit_constraints(v.sessions(t), v.holes(t), runs, t.part.select(F.upper("p_name").alias("alias")))
 
 
+def _event_log(t: Tables):
+    """Events as a log: hole events, and signups as updates of their session."""
+    whole = F.floor("value").cast("int")
+    kind = F.when(F.col("event_type") == "error", "bullet_deleted").when(F.col("event_type") == "signup", "session_updated").otherwise("bullet_created")
+    return t.events.select(
+        F.col("user_id").alias("session_id"), (whole % 40).cast("string").alias("bullet_id"), (whole % 40).alias("slot"), F.col("event_id").alias("seq"), F.col("event_id").alias("bullet_event"),
+        kind.alias("type"), (whole % 40 % 3).alias("camera_alias"), F.struct((whole * 100).alias("w"), (whole % 40).alias("s")).alias("rank"),
+        F.concat(F.lit("n"), (whole % 5).cast("string")).alias("name"), F.when(whole % 2 == 0, "active").otherwise("completed").alias("status"),
+        F.when(whole % 2 == 1, F.col("ts").cast("timestamp")).alias("ended_at"))
+
+
+@query("u18_headers", """SELECT user_id, 'n' || (whole % 5) AS name, CASE WHEN whole % 2 = 0 THEN 'active' ELSE 'completed' END AS status, CASE WHEN whole % 2 = 1 THEN epoch_us(ts) END AS ended_us
+  FROM (SELECT user_id, event_id, ts, CAST(floor(value) AS INT) AS whole FROM events WHERE event_type = 'signup') QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1""")
+def _(t: Tables):
+    return ss.fold_events(_event_log(t))[1].select(F.col("session_id").alias("user_id"), "name", "status", F.unix_micros("ended_at").alias("ended_us"))
+
+
 @query("u18_fold_events", """SELECT event_id AS bullet_event, user_id, slot, row_number() OVER (PARTITION BY user_id, board ORDER BY was, slot) AS rank FROM (SELECT *, CAST(value AS INT) % 40 AS slot, CAST(value AS INT) % 40 % 3 AS board,
   CAST(value * 100 AS BIGINT) AS was FROM (SELECT event_id, user_id, event_type, floor(value) AS value FROM events WHERE event_type <> 'signup')
   QUALIFY row_number() OVER (PARTITION BY user_id, CAST(value AS INT) % 40 ORDER BY event_id DESC) = 1) WHERE event_type <> 'error'""")
 def _(t: Tables):
-    whole = F.floor("value").cast("int")
-    log = t.events.filter("event_type <> 'signup'").select(
-        F.col("user_id").alias("session_id"), (whole % 40).cast("string").alias("bullet_id"), (whole % 40).alias("slot"), F.col("event_id").alias("seq"), F.col("event_id").alias("bullet_event"),
-        F.when(F.col("event_type") == "error", "bullet_deleted").otherwise("bullet_created").alias("type"), (whole % 40 % 3).alias("camera_alias"),
-        F.struct((whole * 100).alias("w"), (whole % 40).alias("s")).alias("rank"), F.lit("n").alias("name"), F.lit("active").alias("status"), F.lit(None).cast("timestamp").alias("ended_at"))
-    return ss.fold_events(log)[0].select("bullet_event", F.col("session_id").alias("user_id"), "slot", "rank")
+    return ss.fold_events(_event_log(t))[0].select("bullet_event", F.col("session_id").alias("user_id"), "slot", "rank")
 
 
 VERSIONS = """(SELECT user_id, event_id, ts, CASE WHEN event_type IN ('click', 'view') THEN 'active' ELSE 'completed' END AS status, 'n' || (CAST(floor(value) AS BIGINT) % 3) AS name FROM events)"""
@@ -432,9 +444,10 @@ def _(t: Tables):
     return t.events.select("event_id", text.alias("at"), F.unix_millis(tx.x_parse_iso(F.regexp_replace(text, "Z$", "+00:00"))).alias("ms"))
 
 
-@query("x25_name_key", "SELECT p_partkey, lower(trim(p_name)) AS key FROM part")
+@query("x25_name_key", "SELECT p_partkey, lower(trim(p_name)) || ' strasse équipe σασ' AS key FROM part")
 def _(t: Tables):
-    return t.part.select("p_partkey", tx.x_name_key(F.concat(F.lit(" "), F.upper("p_name"), F.lit("  "))).alias("key"))
+    name = F.concat(F.lit("\u00a0 \t"), F.upper("p_name"), F.lit(" STRAße ÉQUIPE Σας\u2003\n "))
+    return t.part.select("p_partkey", tx.x_name_key(name).alias("key"))
 
 
 @query("x26_plain_json", "SELECT o_orderkey, o_custkey AS k, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.000Z') AS at FROM orders")

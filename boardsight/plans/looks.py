@@ -82,11 +82,16 @@ def _timed(t: Tables):
     return t.events.join(first, "user_id").withColumn("ms", F.floor((s("ts") - s("_t0")) / 8).cast("long")).drop("_t0")
 
 
-@query("w14_frame_index", f"SELECT event_id, CAST(i + max(round_even(ms / 40.0, 0) - i) OVER (PARTITION BY user_id ORDER BY i) AS BIGINT) AS frame FROM {ORIGIN} WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, ms <= lag(ms) OVER (PARTITION BY user_id ORDER BY i) AS u FROM {ORIGIN}) WHERE u)")
-def _(t: Tables):
-    placed = series.frame_index(_timed(t), ["user_id"], "ts", "ms")
-    mixed = placed.filter("untimed").select("user_id").distinct()
-    return placed.join(mixed, "user_id", "left_anti").select("event_id", "frame")
+@query("w14_frame_index", f"""WITH RECURSIVE o AS {ORIGIN},
+r AS (SELECT user_id, event_id, i, ms, CAST(0 AS BIGINT) AS frame, false AS untimed, ms AS o_ms, CAST(0 AS BIGINT) AS o_at, CAST(NULL AS BIGINT) AS t_ms, CAST(NULL AS BIGINT) AS t_at FROM o WHERE i = 0
+  UNION ALL SELECT user_id, event_id, i, ms, frame, kind = 'untimed', CASE kind WHEN 'head' THEN ms WHEN 'timed' THEN o_ms END, CASE kind WHEN 'head' THEN frame WHEN 'timed' THEN o_at END,
+    CASE WHEN kind = 'timed' OR kind = 'head' AND t_ms < ms THEN ms ELSE t_ms END, CASE WHEN kind = 'timed' OR kind = 'head' AND t_ms < ms THEN frame ELSE t_at END
+  FROM (SELECT o.*, r.o_ms, r.o_at, r.t_ms, r.t_at, CASE WHEN o.ms <= r.ms THEN 'untimed' WHEN r.o_ms IS NULL THEN 'head' ELSE 'timed' END AS kind,
+    CAST(greatest(r.frame + 1, CASE WHEN o.ms <= r.ms THEN 0 WHEN r.o_ms IS NULL THEN CASE WHEN r.t_ms < o.ms THEN r.t_at + round_even((o.ms - r.t_ms) / 40.0, 0) ELSE 0 END
+      ELSE r.o_at + round_even((o.ms - r.o_ms) / 40.0, 0) END) AS BIGINT) AS frame FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1))
+SELECT event_id, frame, untimed FROM r""")
+def _(t: Tables):
+    return series.frame_index(_timed(t), ["user_id"], "ts", "ms").select("event_id", "frame", "untimed")
 
 
 @query("w14_unseen_frames", f"""WITH l AS (SELECT user_id, frame, lead(frame) OVER (PARTITION BY user_id ORDER BY frame) AS nx FROM {v.LOOKS} WHERE event_type = 'view')

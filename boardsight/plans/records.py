@@ -116,6 +116,15 @@ def _(t: Tables):
     return files.fingerprint(named, ["board.arrival.txt"], ["lang"])
 
 
+@query("d8_truth_hash", """SELECT lang, sha256(string_agg(name || chr(0) || text || chr(0), '' ORDER BY photo, name)) AS truth_hash FROM
+  (SELECT lang, 'd' || doc_id AS name, coalesce(text, '') AS text, CASE WHEN source = 'src5' THEN doc_id ELSE -1 END AS photo FROM documents WHERE source NOT IN ('src3', 'src4')) GROUP BY lang""")
+def _(t: Tables):
+    c = F.col
+    named = t.documents.select("lang", F.when(c("source") == "src3", ".hidden").when(c("source") == "src4", "board.arrival.txt").otherwise(F.concat(F.lit("d"), c("doc_id").cast("string"))).alias("name"),
+                               c("text").alias("content"), F.when(c("source") == "src5", c("doc_id")).alias("photo"))
+    return files.truth_hash(named, ["board.arrival.txt"], ["lang"], photograph="photo")
+
+
 MAD = "list_sum(list_transform(list_zip(a.embedding, b.embedding), lambda p: abs(CAST(p[1] AS DOUBLE) - CAST(p[2] AS DOUBLE)))) / 64"
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from boardsight.core.ordered import Ordered
 from boardsight.functions import text as tx
@@ -144,6 +148,41 @@ def read_timing(spark: SparkSession, path: str, columns: list[str]) -> DataFrame
     return spark.read.schema(schema).option("comment", "#").option("header", True).csv(path)
 
 
+def truth_hash(files: DataFrame, skip: list[str], keys: list[str], name: str = "name", content: str = "content",
+               photograph: str | None = None) -> DataFrame:
+    """One digest per folder over its files in order of name, each as its
+    name, a zero byte, its bytes and a zero byte, then over its photographs
+    (``photograph``: a column that numbers them, null for other files). Files in
+    ``skip`` and hidden ones are left out.
+
+    One digest is one stream of bytes, so a folder is read by one task; its
+    files pass through in sorted batches and are never gathered.
+    """
+    keys = list(keys)
+    place = F.col(photograph) if photograph else F.lit(None).cast("int")
+    kept = files.select(*keys, F.col(name).alias("_name"), F.col(content).cast("binary").alias("_bytes"), place.alias("_photo"))
+    kept = kept.filter(F.col("_photo").isNotNull() | (~F.col("_name").isin(skip) & ~F.col("_name").startswith(".")))
+    dealt = kept.repartition(*[F.col(k) for k in keys]).sortWithinPartitions(*keys, F.col("_photo").asc_nulls_first(), F.col("_name").cast("binary"))
+    kinds = [kept.schema[k] for k in keys]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, digest = None, None
+        done: list[tuple] = []
+        for batch in batches:
+            for *key, label, data, _ in zip(*[batch.column(c).to_pylist() for c in batch.schema.names], strict=True):
+                if digest is None or key != at:
+                    if digest is not None:
+                        done.append((*at, digest.hexdigest()))
+                    at, digest = key, hashlib.sha256()
+                digest.update(label.encode() + b"\0" + (data or b"") + b"\0")
+        if digest is not None:
+            done.append((*at, digest.hexdigest()))
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], to_arrow_type(f.dataType)) for i, f in enumerate(schema)], names=schema.names)
+
+    schema = T.StructType([*kinds, T.StructField("truth_hash", T.StringType())])
+    return dealt.mapInArrow(run, schema)
+
+
 def fingerprint(files: DataFrame, skip: list[str], keys: list[str] = (), name: str = "name",
                 content: str = "content", per_chunk: int = 10_000) -> DataFrame:
     """One hash per folder over its sorted (name, content) pairs, without
