@@ -26,6 +26,7 @@ from boardsight.llm.common import appended, sized, staged
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SLACK = 0.22  # how far under the threshold an estimate may lie
+RARE = 16  # sets that a shingle may be in to count as rare
 BLOCK = 4096  # shingles hashed together
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
@@ -128,15 +129,11 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return staged(both.filter(100 * common >= threshold * (F.size("sa") + F.size("sb") - common)).select("a", "b"), "links")
 
 
-def shared_sizes(sets: DataFrame) -> DataFrame:
-    """For each id: size of its set, and how many of its shingles another of these sets has too.
-
-    An id with several sets counts all its shingles as shared.
-    """
-    own = sets.groupBy("id").agg(F.min(F.size("shingles")).alias("size"), F.count(F.lit(1)).alias("n"))
-    alone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id")).filter("n = 1")
-    alone = alone.groupBy("id").agg(F.count(F.lit(1)).alias("alone"))
-    return own.join(alone, "id", "left").select("id", "size", (F.col("size") - F.when(F.col("n") == 1, F.coalesce("alone", F.lit(0))).otherwise(0)).alias("shared"))
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(s, id, n) of the shingles that at most ``RARE`` of these sets have."""
+    each = sets.select("id", F.explode("shingles").alias("s"))
+    few = each.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= RARE)
+    return staged(each.join(few, "s"), "rare")
 
 
 def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> DataFrame:
@@ -144,11 +141,11 @@ def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
 
     First every member of a band's bucket is tried with the least id there. What is confirmed
     makes components. A bucket whose members are then all in one component holds nothing new.
-    In the others, members outside the largest component are tried with those of any other, but
-    for pairs that cannot be similar: two sets have no more in common than the lesser count of
-    shingles that each shares with anything in an open bucket, and texts changed at random have
-    too few of those. So no pair stays untried unless its ends are already together or its full
-    sets rule it out.
+    In the others, no pair stays untried unless its ends are already together or what their full
+    sets can have in common is too little. That is no more than the lesser count of frequent
+    shingles of the two, and the rare ones in common: pairs with any of those are found by a
+    join on rare shingles, of a bounded number of rows each; pairs without are ruled out by the
+    frequent ones alone. Texts changed at random have too few of these.
     """
     c = F.col
     keyed = sketches.select(c("doc_id").alias("id"), F.explode("bands").alias("band"))
@@ -163,21 +160,41 @@ def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
     tried = likely(members.filter("id <> lead").select(c("lead").alias("a"), c("id").alias("b")))
     first = confirm(tried, sets_of(docs, tried.select(c("a").alias("id")).union(tried.select("b")).distinct(), width), threshold)
     stars = staged(components(first), "components")
-    placed = members.select("band", "id").join(stars, "id", "left").select("band", "id", F.coalesce("least", "id").alias("part"))
-    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
-    split = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = staged(placed.join(split, "band").select("band", "id", "part", "main"), "open")
+    open_ = staged(_parted(members.select("band", "id"), stars), "open")
     sets = sets_of(docs, open_.select("id").distinct(), width)
-    able = shared_sizes(sets).filter(100 * c("shared") >= threshold * c("size"))
-    open_ = staged(open_.join(able, "id"), "able")
-    strays = open_.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"), c("size").alias("na"), c("shared").alias("ca"))
-    others = open_.select("band", c("id").alias("b"), c("part").alias("pb"), "main", c("size").alias("nb"), c("shared").alias("cb"))
-    most = F.least("ca", "cb", "na", "nb")
+    rare = rare_shingles(sets)
+    # An id with several texts has the least size and counts all shingles of its largest as frequent.
+    sizes = sets.groupBy("id").agg(F.min(F.size("shingles")).alias("size"), F.max(F.size("shingles")).alias("most"), F.count(F.lit(1)).alias("texts"))
+    sizes = sizes.join(rare.groupBy("id").agg(F.count(F.lit(1)).alias("rare")), "id", "left")
+    sizes = sizes.select("id", "size", (c("most") - F.when(c("texts") == 1, F.coalesce("rare", F.lit(0))).otherwise(0)).alias("often"))
+    sizes = staged(open_.select("id", "part").distinct().join(sizes, "id"), "sizes")
+
+    def possible(pairs: DataFrame, more: Column) -> DataFrame:
+        """Pairs (a, b) of different components whose sets can be similar, with ``more`` in common beside frequent shingles."""
+        of = lambda x: sizes.select(c("id").alias(x), c("part").alias(f"p{x}"), c("size").alias(f"n{x}"), c("often").alias(f"o{x}"))
+        most = F.least("oa", "ob") + more
+        both = pairs.join(of("a"), "a").join(of("b"), "b")
+        return both.filter((c("pa") != c("pb")) & (100 * most >= threshold * (c("na") + c("nb") - most))).select("a", "b")
+
+    met = rare.filter("n > 1").select("s", "id").distinct()
+    met = met.withColumnRenamed("id", "a").join(met.withColumnRenamed("id", "b"), "s").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    able = staged(open_.join(sizes.filter(100 * c("often") >= threshold * c("size")).select("id", "size", "often"), "id"), "able")
+    strays = able.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"), c("size").alias("na"), c("often").alias("oa"))
+    others = able.select("band", c("id").alias("b"), c("part").alias("pb"), "main", c("size").alias("nb"), c("often").alias("ob"))
+    most = F.least("oa", "ob")
     # Two strays meet once, a stray and a member of the largest component once.
     cross = strays.join(others, "band").filter("pa <> pb AND (pb = main OR a < b)").filter(100 * most >= threshold * (c("na") + c("nb") - most))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = confirm(likely(cross.join(tried, ["a", "b"], "left_anti")), sets, threshold)
-    return components(stars.select(c("id").alias("a"), c("least").alias("b")).union(second))
+    left = cross.union(possible(met, c("shared"))).distinct().join(tried, ["a", "b"], "left_anti")
+    return components(stars.select(c("id").alias("a"), c("least").alias("b")).union(confirm(likely(left), sets, threshold)))
+
+
+def _parted(members: DataFrame, stars: DataFrame) -> DataFrame:
+    """``members`` (band, id) of buckets that hold several components, with their own (part) and the bucket's largest (main)."""
+    placed = members.join(stars, "id", "left").withColumn("part", F.coalesce("least", "id")).drop("least")
+    sizes = placed.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"))
+    split = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").drop("parts")
+    return placed.join(split, "band")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, threshold: int = 80) -> DataFrame:
