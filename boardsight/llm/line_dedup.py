@@ -108,7 +108,7 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     keys = docs.select(c(doc_id).alias("doc_id"), c(text).alias("text"))
     out = staged(drops(keys), "drops").select(c("doc_id").alias("__d"), c("t").alias("__t"), c("places").alias("__places"))
     docs = docs.drop("n_lines", "n_dropped")
-    marked = docs.withColumn("__h", F.xxhash64(text)).join(sized(out, 200), F.expr(f"`{doc_id}` <=> __d AND __h = __t"), "left")
+    marked = docs.withColumn("__h", F.xxhash64(text)).join(out, F.expr(f"`{doc_id}` <=> __d AND __h = __t"), "left")
     lines = F.split(c(text), "\n", -1)
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), c("__places"))
     new = F.when(c("__places").isNull() | c(text).isNull(), c(text)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
