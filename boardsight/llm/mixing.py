@@ -65,7 +65,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
 
     Every row comes back once. ``in_mix`` marks the slots before the first source runs dry, where
     the target weights hold; rows of sources that have more than their weight follow after it.
-    A null source is a source. Rows of equal id are ordered by their text; repeated rows take
+    A null source is a source. Rows of equal id are ordered by a hash of their text; repeated rows take
     neighbouring places. Names of the added columns that ``docs`` has already are replaced.
 
     A source may hold most rows: it is ranked in stretches of hash order of about
@@ -89,7 +89,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, doc_id: str = "doc_id
     placed = keyed.join(F.broadcast(plan), c(source).eqNullSafe(c("__source"))).withColumn("__stretch", F.floor(c("__h") / F.lit(2.0**60) * c("__stretches")))
     sizes = placed.groupBy("__source", "__stretch").agg(F.count(F.lit(1)).alias("size"))
     before = sizes.select(c("__source").alias("__s"), c("__stretch").alias("__t"), (F.sum("size").over(W.partitionBy("__source").orderBy("__stretch")) - c("size")).alias("__before"))
-    within = F.row_number().over(W.partitionBy("__source", "__stretch").orderBy("__h", c(doc_id), c(text)))
+    placed = placed.withColumn("__tie", F.xxhash64(text))
+    within = F.row_number().over(W.partitionBy("__source", "__stretch").orderBy("__h", c(doc_id), "__tie"))
     ranked = placed.withColumn("__within", within).join(before, F.expr("__source <=> __s AND __stretch = __t"))
     rank = c("__before") + c("__within") - 1
     blocked = ranked.withColumn("mix_block", F.floor(rank / block_rows)).withColumn("mix_row", (rank % block_rows).cast("int"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boardsight.llm import decontaminate, line_dedup, mixing, near_dedup, toxicity
-from boardsight.llm.common import staged
+from boardsight.llm.common import sized, staged
 
 #: Texts with this probability of being toxic, or more, go.
 TOXIC = 0.3
@@ -29,15 +29,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: that with the least id. Those without words stay."""
     groups = near_dedup.near_duplicates(docs, width=5, threshold=80)
-    gone = groups.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.expr("doc_id = __gone"), "left_anti")
+    gone = staged(groups.filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
+    return docs.join(sized(gone, 8), F.expr("doc_id = __gone"), "left_anti")
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
     hits = decontaminate.hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaks = hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct()
-    return docs.join(leaks, F.expr("doc_id <=> __d AND xxhash64(text) = __h"), "left_anti")
+    leaks = staged(hits.select(F.col("doc_id").alias("__d"), F.col("h").alias("__h")).distinct(), "leaks")
+    return docs.join(sized(leaks, 16), F.expr("doc_id <=> __d AND xxhash64(text) = __h"), "left_anti")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
