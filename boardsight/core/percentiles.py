@@ -26,9 +26,14 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     extra = extra or []
     rows = df.filter(F.col(value).isNotNull())
     hot, n_hot, n_rows = hot_keys(rows, keys, rows_in_one_state)
-    builtin = [F.percentile(F.col(value), F.lit(p)).alias(o) for o, p in probs.items()]
+    builtin = [F.percentile(F.col(value), F.array(*[F.lit(p) for p in probs.values()])).alias("_ps")]  # one state for all
+
+    def apart(found: DataFrame) -> DataFrame:
+        rest = [c for c in found.columns if c not in (*keys, "_ps")]
+        return found.select(*keys, *[F.get("_ps", F.lit(i)).alias(o) for i, o in enumerate(probs)], *rest)
+
     if not n_hot:
-        return df.groupBy(*keys).agg(*builtin, *extra)
+        return apart(df.groupBy(*keys).agg(*builtin, *extra))
     marks = hot.select(*keys, F.lit(True).alias("_hot"))
     if not keys:
         return _ranked(rows, keys, value, probs, n_rows).crossJoin(df.agg(*extra)) if extra else _ranked(rows, keys, value, probs, n_rows)
@@ -36,6 +41,7 @@ def percentiles(df: DataFrame, keys: list[str], value: str, probs: dict[str, flo
         marks = F.broadcast(marks)
     flagged = null_safe_join(rows, marks, keys, "left")
     cold = flagged.filter(F.col("_hot").isNull()).groupBy(*keys).agg(*builtin)
+    cold = apart(cold)
     warm = _ranked(flagged.filter("_hot").drop("_hot"), keys, value, probs, n_rows)
     found = cold.unionByName(warm)
     if not extra:

@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from boardsight.core.ordered import null_safe_join
+from boardsight.core.ordered import hot_keys, null_safe_join
 from boardsight.core.percentiles import ROWS_IN_ONE_STATE, percentiles
 from boardsight.core.runtime import cut
 from boardsight.functions.geometry import TRUTH_TOLERANCE, x_cause
@@ -164,6 +164,8 @@ def error_summary(errors: DataFrame, by: list[str] | None = None, rows_in_one_st
             F.count_if((F.col("adx") < LIMIT_MM) & (F.col("ady") < LIMIT_MM)).alias("under")]
 
     def at(keys: list[str]) -> DataFrame:
+        if not hot_keys(abs_, keys, rows_in_one_state)[1]:
+            return abs_.groupBy(*keys).agg(*sums, *[F.percentile(c, F.lit(0.95)).alias(f"{c}_p95") for c in ("adx", "ady", "radial")])
         out = abs_.groupBy(*keys).agg(*sums)
         for c in ("adx", "ady", "radial"):
             p = percentiles(abs_, keys, c, {f"{c}_p95": 0.95}, rows_in_one_state)

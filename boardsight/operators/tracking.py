@@ -61,7 +61,7 @@ def collapse_repeats(df: DataFrame, keys: list[str], ts: str, interval_ms: float
                      rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """The kept events, each with how many repeats were dropped since the
     kept one before it."""
-    marked = _kept(df, keys, ts, interval_ms, tie, rows_per_slice)
+    marked = cut(_kept(df, keys, ts, interval_ms, tie, rows_per_slice))  # the rule runs once
     seen = Ordered(marked, keys, ["_ms", *tie], rows_per_slice).row_number("_n")
     kept = seen.done().filter("_kept")
     return (Ordered(kept, keys, ["_ms", *tie], rows_per_slice).lag(_p="_n").done()

@@ -14,29 +14,33 @@ from boardsight.functions import signals as fn
 from boardsight.functions.commands import OPCODES
 from boardsight.sources.signals import split_valid
 
-CAPTURE_COLUMNS = "path string, n long, captured_us long, packet binary"
+CAPTURE_COLUMNS = "path string, n long, captured_us long, packet binary, reason string"
 _CAPTURE_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
                   b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 
 
 def _records(path: str, data: bytes) -> Iterator[tuple]:
-    """The records of one capture file: (path, number, microseconds, bytes)."""
+    """The records of one capture file: (path, number, microseconds, bytes, None),
+    and where it can't be read on (path, number, None, None, reason)."""
     known = _CAPTURE_MAGIC.get(bytes(data[:4]))
     if known is None:
+        yield path, 0, None, None, "unknown kind of file"
         return
     order, per_us = known
     at, n = 24, 0
     while at + 16 <= len(data):
         seconds, fraction, kept, _ = struct.unpack_from(f"{order}IIII", data, at)
         if at + 16 + kept > len(data):
-            return  # cut off mid-record
-        yield path, n, seconds * 1_000_000 + fraction // per_us, bytes(data[at + 16:at + 16 + kept])
+            break
+        yield path, n, seconds * 1_000_000 + fraction // per_us, bytes(data[at + 16:at + 16 + kept]), None
         at, n = at + 16 + kept, n + 1
+    if at != len(data):
+        yield path, n, None, None, "cut off"
 
 
 def _split_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["path", "n", "captured_us", "packet"]
-    types = [pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["path", "n", "captured_us", "packet", "reason"]
+    types = [pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.string()]
     for batch in batches:
         for path, data in zip(batch.column("path").to_pylist(), batch.column("content")):
             rows: list[tuple] = []
@@ -49,11 +53,21 @@ def _split_captures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
 
+def _captures(spark: SparkSession, glob: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(glob).select("path", "content").mapInArrow(_split_captures, CAPTURE_COLUMNS)
+
+
 def read_captures(spark: SparkSession, glob: str) -> DataFrame:
-    """Every record of the capture files under ``glob``."""
-    files = spark.read.format("binaryFile").load(glob).select("path", "content")
-    return (files.mapInArrow(_split_captures, CAPTURE_COLUMNS)
-            .withColumn("timestamp", F.timestamp_micros("captured_us")).drop("captured_us"))
+    """Every whole record of the capture files under ``glob``; what can't be
+    read is in ``refused_captures``."""
+    rows = _captures(spark, glob).filter("reason IS NULL")
+    return rows.withColumn("timestamp", F.timestamp_micros("captured_us")).drop("captured_us", "reason")
+
+
+def refused_captures(spark: SparkSession, glob: str) -> DataFrame:
+    """Capture files of unknown kind and those cut off within a record:
+    path, how many records were read (``n``), and the reason."""
+    return _captures(spark, glob).filter("reason IS NOT NULL").select("path", "n", "reason")
 
 
 def with_headers(packets: DataFrame, packet: str = "packet") -> DataFrame:

@@ -74,6 +74,11 @@ def test_capture_files(spark, tmp_path):
     assert got.count() == 1 and (row.src_ip, row.dst_port, row.seq) == ("10.0.0.1", 4949, 7)
     motion = packets.decode_motion(packets.read_captures(spark, str(tmp_path / "*.pcap")))[0].first()
     assert (motion.description, motion.value, motion.axis, motion.isCmd) == ("MOT_SetSpeed", 1.5, 2, True)
+    (tmp_path / "b.pcap").write_bytes(head + record(packet, 10) + record(packet, 11)[:-3])
+    (tmp_path / "c.pcap").write_bytes(b"not a capture")
+    refused = {r.path.rsplit("/")[-1]: (r.n, r.reason) for r in packets.refused_captures(spark, str(tmp_path / "*.pcap")).collect()}
+    assert refused == {"b.pcap": (1, "cut off"), "c.pcap": (0, "unknown kind of file")}
+    assert packets.read_captures(spark, str(tmp_path / "*.pcap")).count() == 3
 
 
 def test_timing_and_log_files(spark, tmp_path):
