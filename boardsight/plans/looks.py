@@ -203,7 +203,12 @@ def _(t: Tables):
     return tk.merge_displaced(tracks, ["user_id"], (200.0, 5.0)).select("user_id", "cand_id", "into")
 
 
-@query("u2_keep_if_moved")
+@query("u2_keep_if_moved", """WITH RECURSIVE f AS (SELECT user_id, event_id, value % 9 AS x, value % 5 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
+  FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events) WHERE high IS NULL OR ts > high),
+  r AS (SELECT user_id, event_id, i, x, y, true AS moved FROM f WHERE i = 1 UNION ALL
+    SELECT user_id, event_id, i, CASE WHEN moved THEN nx ELSE x END, CASE WHEN moved THEN ny ELSE y END, moved FROM (
+      SELECT f.user_id, f.event_id, f.i, r.x, r.y, f.x AS nx, f.y AS ny, sqrt((f.x - r.x) ** 2 + (f.y - r.y) ** 2) > 2 AS moved FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1))
+  SELECT user_id, event_id FROM r WHERE moved""")
 def _(t: Tables):
     c = F.col
     spot = F.array(F.struct((c("value") % 9).alias("x"), (c("value") % 5).alias("y")), F.struct((c("value") % 9 + 50).alias("x"), F.lit(50.0).alias("y")))

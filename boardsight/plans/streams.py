@@ -46,9 +46,14 @@ def _(t: Tables):
     return drain(feeds.session_feed(rows, "7")).select("event_id")
 
 
-@query("r13_follow_runs")
+@query("r13_follow_runs", """WITH RECURSIVE f AS (SELECT user_id, epoch_us(ts) // 1000 AS ms, value % 9 AS x, value % 5 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
+  FROM (SELECT *, max(epoch_us(ts) // 1000) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events) WHERE high IS NULL OR epoch_us(ts) // 1000 > high),
+  r AS (SELECT user_id, ms, i, x, y, true AS moved FROM f WHERE i = 1 UNION ALL
+    SELECT user_id, ms, i, CASE WHEN moved THEN nx ELSE x END, CASE WHEN moved THEN ny ELSE y END, moved FROM (
+      SELECT f.user_id, f.ms, f.i, r.x, r.y, f.x AS nx, f.y AS ny, sqrt((f.x - r.x) ** 2 + (f.y - r.y) ** 2) > 2 AS moved FROM r JOIN f ON f.user_id = r.user_id AND f.i = r.i + 1))
+  SELECT user_id, ms AS at_ms FROM r WHERE moved""")
 def _(t: Tables):
     c = F.col
     spot = F.array(F.struct((c("value") % 9).alias("x"), (c("value") % 5).alias("y")))
-    rows = _events(t).select("user_id", c("ts").cast("timestamp").alias("looked_at"), spot.alias("outline"))
-    return drain(feeds.follow_runs(rows, ["user_id"])).select("user_id", "at")
+    rows = _events(t).select("user_id", "event_id", c("ts").cast("timestamp").alias("looked_at"), spot.alias("outline"))
+    return drain(feeds.follow_runs(rows, ["user_id"], "event_id")).select("user_id", F.unix_millis("at").alias("at_ms"))

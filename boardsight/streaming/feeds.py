@@ -164,23 +164,25 @@ def session_feed(events: DataFrame, session: str | Column) -> DataFrame:
     return events.filter((F.col("session_id") == session) & F.col("type").isin(FEED_TYPES))
 
 
-def follow_runs(stream: DataFrame, keys: list[str], ts: str = "looked_at", outline: str = "outline", moved_px: float = MOVED_PX) -> DataFrame:
+def follow_runs(stream: DataFrame, keys: list[str], arrival: str, ts: str = "looked_at", outline: str = "outline", moved_px: float = MOVED_PX) -> DataFrame:
     """As a run is looked at, the places it has moved to; a look no
-    newer than the newest before it changes nothing."""
-    slim = stream.select(*keys, F.unix_millis(ts).alias("_ms"),
+    newer than any that arrived before it changes nothing. ``arrival`` numbers
+    looks as they arrive, so batch borders make no difference."""
+    slim = stream.select(*keys, F.col(arrival).alias("_arrival"), F.unix_millis(ts).alias("_ms"),
                          F.flatten(F.transform(outline, lambda p: F.array(p["x"], p["y"]))).alias("_xy"))
     schema = T.StructType([*[slim.schema[k] for k in keys], slim.schema["_ms"], slim.schema["_xy"]])
     inner = moved_fold(moved_px, schema.names)
 
     def fold(state, rows: pd.DataFrame):
         high, last = state or (None, None)
-        rows = rows.drop_duplicates("_ms")
-        rows = rows if high is None else rows[rows["_ms"] > high]
+        before = rows["_ms"].cummax().shift()
+        before = before if high is None else before.fillna(high).clip(lower=high)
+        rows = rows[~(rows["_ms"] <= before)].reset_index(drop=True)
         if rows.empty:
             return rows[schema.names], state
         out, last = inner(last, rows)
         return out, [int(rows["_ms"].max()), last]
-    return fold_stream(slim, keys, ["_ms"], fold, schema).select(
+    return fold_stream(slim, keys, ["_arrival"], fold, schema, keep_late=True).select(
         *keys, F.timestamp_millis("_ms").alias("at"), F.col("_xy").alias("outline"))
 
 

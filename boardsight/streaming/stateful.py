@@ -23,9 +23,11 @@ def use_state_store(spark) -> None:
 class FoldProcessor(StatefulProcessor):
     """Feeds each key's new rows, in order, to a fold. Rows older than the
     newest one folded before come too late for a sequential rule and are left
-    out, as a watermark does."""
+    out, as a watermark does; with ``keep_late`` the rule gets them where they
+    arrived."""
 
-    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType, timer_ms=None, expire=None):
+    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType, timer_ms=None, expire=None, keep_late: bool = False):
+        self.keep_late = keep_late
         self.columns = columns
         self.fold, self.order, self.schema = fold, order, schema
         self.timer_ms, self.expire = timer_ms, expire
@@ -41,7 +43,7 @@ class FoldProcessor(StatefulProcessor):
         high, state = json.loads(text[0]) if text else (None, None)
         lead = self.order[0]
         number = batch[lead].astype("int64") if str(batch[lead].dtype).startswith("datetime") else batch[lead]
-        if high is not None:
+        if high is not None and not self.keep_late:
             batch, number = batch[number >= high], number[number >= high]
         if batch.empty:
             return
@@ -69,11 +71,11 @@ class FoldProcessor(StatefulProcessor):
 
 
 def fold_stream(stream: DataFrame, keys: list[str], order: list[str], fold, schema: T.StructType,
-                timer_ms=None, expire=None) -> DataFrame:
+                timer_ms=None, expire=None, keep_late: bool = False) -> DataFrame:
     """A fold over a keyed stream, append output. For a key that stays silent for
     ``timer_ms`` of wall clock (a number, or a function of its state),
     ``expire(key, newest order value, state)`` gives rows and the state after."""
     use_state_store(stream.sparkSession)
     return stream.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=FoldProcessor(fold, stream.columns, order, schema, timer_ms, expire), outputStructType=schema,
+        statefulProcessor=FoldProcessor(fold, stream.columns, order, schema, timer_ms, expire, keep_late), outputStructType=schema,
         outputMode="append", timeMode="None" if timer_ms is None else "ProcessingTime")
