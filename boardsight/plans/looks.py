@@ -142,7 +142,13 @@ def _(t: Tables):
     return tk.retrack(v.looks(t), ["user_id"]).select("user_id", "frame", "cand_id", "first")
 
 
-@query("u8_baseline_marks")
+@query("u8_baseline_marks", f"""WITH RECURSIVE d AS (SELECT user_id, CAST(spot * 40.0 + value % 3 AS FLOAT) AS x, CAST(spot % 4 * 55.0 AS FLOAT) AS y, row_number() OVER (PARTITION BY user_id ORDER BY frame) AS i
+    FROM {v.LOOKS} WHERE frame < 5 AND status = 'registered' AND event_type <> 'click'),
+  r AS (SELECT user_id, i, [struct_pack(x := x, y := y)] AS kept FROM d WHERE i = 1 UNION ALL
+    SELECT d.user_id, d.i, CASE WHEN len(list_filter(r.kept, lambda k: sqrt((k.x - d.x) ** 2 + (k.y - d.y) ** 2) < 20)) > 0 THEN r.kept ELSE list_append(r.kept, struct_pack(x := d.x, y := d.y)) END
+    FROM r JOIN d ON d.user_id = r.user_id AND d.i = r.i + 1),
+  m AS (SELECT user_id, kept, unnest(range(len(kept))) AS n FROM (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY i DESC) = 1))
+  SELECT user_id, CAST(n AS INT) AS mark_id, round(CAST(kept[n + 1].x AS DOUBLE), 6) AS x, round(CAST(kept[n + 1].y AS DOUBLE), 6) AS y FROM m""")
 def _(t: Tables):
     return tk.baseline_marks(v.looks(t), ["user_id"]).select("user_id", "mark_id", r6("x"), r6("y"))
 

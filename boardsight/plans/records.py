@@ -133,7 +133,13 @@ def _(t: Tables):
     return q.near_duplicate_pairs(t.embeddings, "vec_id", "embedding", 0.1).select("a", "b", r6("mad"))
 
 
-@query("d9_near_duplicates")
+@query("d9_near_duplicates", f"""WITH RECURSIVE e AS (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+  near AS (SELECT b.label, b.i, list(a.i) AS before FROM e a JOIN e b ON a.label IS NOT DISTINCT FROM b.label AND a.i < b.i WHERE {MAD} < 0.1 GROUP BY ALL),
+  r AS (SELECT label, i, [i] AS kept FROM e WHERE i = 1 UNION ALL
+    SELECT e.label, e.i, CASE WHEN len(list_intersect(r.kept, coalesce(near.before, []))) > 0 THEN r.kept ELSE list_append(r.kept, e.i) END
+    FROM r JOIN e ON e.label IS NOT DISTINCT FROM r.label AND e.i = r.i + 1 LEFT JOIN near ON near.label IS NOT DISTINCT FROM e.label AND near.i = e.i),
+  k AS (SELECT label, unnest(kept) AS i FROM r QUALIFY row_number() OVER (PARTITION BY label ORDER BY r.i DESC) = 1)
+  SELECT vec_id, e.label FROM e JOIN k ON e.label IS NOT DISTINCT FROM k.label AND e.i = k.i""")
 def _(t: Tables):
     return q.near_duplicates(t.embeddings, "embedding", 0.1, ["label"], "vec_id").select("vec_id", "label")
 
