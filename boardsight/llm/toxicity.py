@@ -15,7 +15,7 @@ from math import exp, log1p
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from boardsight.llm.common import appended, remainder
+from boardsight.llm.common import appended, remainder, staged
 
 FIT_ROWS = 10_000  # labelled rows to learn from, the first by a digest of their id
 TERMS = 4_000  # terms in the lexicon
@@ -122,19 +122,34 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     return [*map(log1p, sums), log1p(len({t.strip(EDGES) for t in hits})), 1.0]
 
 
-def mine_terms(rows: DataFrame) -> list[tuple[str, bool, float]]:
-    """The lexicon of labelled ``rows`` (text, toxic): terms by how much more often they occur in toxic texts.
+def count_words(rows: DataFrame) -> tuple[DataFrame, dict[bool, tuple[int, int]]]:
+    """Of labelled ``rows`` (text, toxic, half): a table of words with how many texts of each half
+    have them, and how many toxic ones; and how many texts and toxic texts each half has.
 
-    Texts count once, however often they are repeated. A term needs at least 3 toxic texts, and 1
-    in 200 of them; a beginning, counted over the words
-    that go on from it, also three of those.
+    Texts count once, however often they are repeated.
     """
     c = F.col
-    texts = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
-    n, toxic = texts.agg(F.count(F.lit(1)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    word = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("word")
-    each = texts.select("h", "toxic", word).filter(F.length("word").between(3, 40))
-    found = each.groupBy(c("word").alias("term")).agg(F.sum("toxic").alias("pos"), F.count(F.lit(1)).alias("n"))
+    texts = rows.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("half").alias("half"), F.first("text").alias("text"))
+    texts = staged(texts, "labelled")
+    word = F.explode(F.array_distinct(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.btrim(w, F.lit(EDGES))))).alias("term")
+    each = texts.select("toxic", "half", word).filter(F.length("term").between(3, 40))
+    toxic = c("toxic") == 1
+    words = each.groupBy("term").agg(F.count_if("half").alias("n1"), F.count_if(~c("half")).alias("n0"),
+                                      F.count_if(c("half") & toxic).alias("pos1"), F.count_if(~c("half") & toxic).alias("pos0"))
+    sizes = texts.groupBy("half").agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("toxic")).collect()
+    return staged(words, "words"), {r["half"]: (r["n"], r["toxic"]) for r in sizes}
+
+
+def mine_terms(words: DataFrame, sizes: dict[bool, tuple[int, int]], halves: tuple[bool, ...] = (True, False)) -> list[tuple[str, bool, float]]:
+    """The lexicon of the given halves: terms by how much more often they occur in toxic texts.
+
+    A term needs at least 3 toxic texts, and 1 in 200 of them; a beginning, counted over the
+    words that go on from it, also three of those.
+    """
+    c = F.col
+    n, toxic = (sum(sizes.get(h, (0, 0))[k] for h in halves) for k in (0, 1))
+    added = lambda name: sum((c(f"{name}{int(h)}") for h in halves), F.lit(0))
+    found = words.select("term", added("pos").alias("pos"), added("n").alias("n")).filter("n > 0")
     lengths = F.filter(F.array(*[F.lit(k) for k in range(STEM[0], STEM[1] + 1)]), lambda k: k < F.length("term"))
     stems = found.select("pos", "n", F.explode(F.transform(lengths, lambda k: F.substring(c("term"), F.lit(1), k))).alias("term"))
     stems = stems.groupBy("term").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("forms"), F.lit(True).alias("stem"))
@@ -175,19 +190,16 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     chosen = (labels.filter(c(doc_id).isNotNull() & c(label).isNotNull()).groupBy(c(doc_id).alias("__id")).agg(F.max(label).cast("int").alias("toxic"))
               .orderBy(F.md5(c("__id").cast("string")), "__id").limit(rows))
     picked = docs.select(c(doc_id).alias("__doc"), F.coalesce(c(text), F.lit("")).alias("text")).join(F.broadcast(chosen), c("__doc") == c("__id"))
-    picked = picked.select("text", "toxic", (F.substring(F.md5("text"), 1, 1) < "8").alias("half")).persist()
-    try:
-        terms = mine_terms(picked)
-        table = []
-        for half in (True, False):
-            other = mine_terms(picked.filter(c("half") != half))
-            table += _measured(picked.filter(c("half") == half), other).collect()
-    finally:
-        picked.unpersist()
+    picked = staged(picked.select("text", "toxic", (F.substring(F.md5("text"), 1, 1) < "8").alias("half")), "picked")
+    words, sizes = count_words(picked)
+    table = []
+    for half in (True, False):
+        other = mine_terms(words, sizes, (not half,))
+        table += _measured(picked.filter(c("half") == half), other).collect()
     if not table:
         return Model([], np.array([0.0] * (FEATURES - 1) + [-30.0]))
     x, y = np.array([r["x"] for r in table]), np.array([r["toxic"] for r in table], dtype=float)
-    return Model(terms, fit(x, y))
+    return Model(mine_terms(words, sizes), fit(x, y))
 
 
 def _measured(rows: DataFrame, terms: list[tuple[str, bool, float]]) -> DataFrame:
