@@ -21,7 +21,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from boardsight.llm.common import appended, sized, staged
+from boardsight.llm.common import appended, sized, small_batches, staged
 
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
@@ -119,7 +119,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """The full sets (id, shingles) of the documents with these ids, made anew from their texts."""
     wanted = staged(ids, "wanted")
     texts = docs.join(sized(wanted.withColumnRenamed("id", "__id"), 16), F.expr("doc_id = __id"), "left_semi")
-    return staged(texts.select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(lambda f: _sets(f, width), "id long, shingles array<long>"), "sets")
+    return staged(small_batches(texts).select("doc_id", F.col("text").cast("binary").alias("text")).mapInPandas(lambda f: _sets(f, width), "id long, shingles array<long>"), "sets")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -178,12 +178,14 @@ def link(sketches: DataFrame, docs: DataFrame, threshold: int, width: int) -> Da
 
     met = rare.filter("n > 1").select("s", "id").distinct()
     met = met.withColumnRenamed("id", "a").join(met.withColumnRenamed("id", "b"), "s").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
-    able = staged(open_.join(sizes.filter(100 * c("often") >= threshold * c("size")).select("id", "size", "often"), "id"), "able")
-    strays = able.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"), c("size").alias("na"), c("often").alias("oa"))
-    others = able.select("band", c("id").alias("b"), c("part").alias("pb"), "main", c("size").alias("nb"), c("often").alias("ob"))
+    able = open_.join(sizes.filter(100 * c("often") >= threshold * c("size")).select("id", "size", "often"), "id")
+    able = staged(able.join(sketches.select(c("doc_id").alias("id"), "bands"), "id"), "able")
+    strays = able.filter("part <> main").select("band", c("id").alias("a"), c("part").alias("pa"), c("size").alias("na"), c("often").alias("oa"), c("bands").alias("ba"))
+    others = able.select("band", c("id").alias("b"), c("part").alias("pb"), "main", c("size").alias("nb"), c("often").alias("ob"), c("bands").alias("bb"))
     most = F.least("oa", "ob")
-    # Two strays meet once, a stray and a member of the largest component once.
+    # Two strays meet once, a stray and a member of the largest component once, and that in the first of their common bands.
     cross = strays.join(others, "band").filter("pa <> pb AND (pb = main OR a < b)").filter(100 * most >= threshold * (c("na") + c("nb") - most))
+    cross = cross.filter(F.get(F.array_intersect("ba", "bb"), F.lit(0)) == c("band"))
     cross = cross.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     left = cross.union(possible(met, c("shared"))).distinct().join(tried, ["a", "b"], "left_anti")
     return components(stars.select(c("id").alias("a"), c("least").alias("b")).union(confirm(likely(left), sets, threshold)))
