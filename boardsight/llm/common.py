@@ -13,6 +13,9 @@ from boardsight.core.runtime import ensure_checkpoint_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+#: Bytes handed to Python at once.
+BATCH_BYTES = 8 << 20
+
 #: A side of a join is broadcast up to this many bytes, after it has been counted.
 BROADCAST_BYTES = 16 << 20
 
@@ -53,11 +56,17 @@ def learnt(doc_id: Column, mod: int) -> Column:
     return F.coalesce(remainder(doc_id, mod) != 2, F.lit(False))
 
 
-def appended(df: DataFrame, column: str, make: Callable[[], Callable[[list], Iterable[tuple]]], fields: str, drop: bool = False) -> DataFrame:
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches hold ``BATCH_BYTES`` at most, so that long texts don't pile up in Python."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
+def appended(df: DataFrame, column: str, make: Callable[[], Callable[[list], Iterable[tuple]]], fields: str, drop: bool = False, at_once: int = 1024) -> DataFrame:
     """``df`` with more columns, made in Python from the values of ``column``, a batch at a time.
 
-    ``make`` is called once a task and gives a function from a list of values to one tuple of
-    ``fields`` for each. Other columns pass through untouched; those of the same names are
+    ``make`` is called once a task and gives a function from a list of values, ``at_once`` at most,
+    to one tuple of ``fields`` for each. Other columns pass through untouched; those of the same names are
     replaced, and ``column`` itself goes with ``drop``.
     """
     new = T.StructType.fromDDL(fields)
@@ -67,9 +76,9 @@ def appended(df: DataFrame, column: str, make: Callable[[], Callable[[list], Ite
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
+        for batch in (whole.slice(at, at_once) for whole in batches for at in range(0, whole.num_rows, at_once)):
             rows = list(work(batch.column(column).to_pylist()))
             made = [pa.array([r[k] for r in rows], type=t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + made, names=names)
 
-    return df.mapInArrow(run, T.StructType([*kept, *new.fields]))
+    return small_batches(df).mapInArrow(run, T.StructType([*kept, *new.fields]))

@@ -18,6 +18,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from boardsight.llm.common import small_batches
+
 EQUAL, LIKE = 32, 256
 LANES = EQUAL + LIKE
 PART_BYTES = 32 << 20
@@ -124,7 +126,7 @@ def compare_with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield result
 
     # Ids travel as text: pandas has no whole numbers beside nulls.
-    out = dealt.select("part", "guest", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
+    out = small_batches(dealt).select("part", "guest", F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(
         run, "doc_id string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 

@@ -18,7 +18,7 @@ from math import log
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from boardsight.llm.common import appended
+from boardsight.llm.common import appended, small_batches
 
 FIT_PAGES = 2_000  # labelled pages to learn from, the first by a digest of their id
 BORDER = -1e4  # weight of the tags that the labels themselves are made of
@@ -163,9 +163,11 @@ def learn_weights(pages: DataFrame, page_id: str = "page_id", html: str = "html"
     than outside, at most ``LIGHT``; the borders of articles weigh ``BORDER``. With no labelled page
     other tags weigh -1. Only counts by tag reach the driver.
     """
-    chosen = pages.select(F.col(html).alias("html"), F.md5(F.col(page_id).cast("string")).alias("d")).filter(F.lower("html").contains("<article"))
-    chosen = chosen.orderBy("d").limit(rows).select("html").repartition(8)
-    got = chosen.mapInPandas(_count, "token string, inside long, outside long").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
+    digest = F.md5(F.col(page_id).cast("string"))
+    marked = pages.filter(F.col(html).contains("<article"))
+    chosen = marked.select(digest.alias("d")).orderBy("d").limit(rows).distinct()
+    picked = marked.join(F.broadcast(chosen), digest == F.col("d"), "left_semi").select(F.col(html).alias("html"))
+    got = small_batches(picked).mapInPandas(_count, "token string, inside long, outside long").groupBy("token").agg(F.sum("inside").alias("i"), F.sum("outside").alias("o")).collect()
     weights = {"word": 1.0, "tag": -1.0} | {r["token"]: min(LIGHT, log((r["i"] + 0.5) / (r["o"] + 0.5))) for r in got if r["token"] not in ("word", "gone")}
     return weights | dict.fromkeys(BORDERS, BORDER)
 

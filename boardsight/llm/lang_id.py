@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from boardsight.llm.common import appended
+from boardsight.llm.common import appended, small_batches
 
 SYMBOLS = 64  # 0: anything but a letter; 1-26: a-z; the rest: other letters by their code
 DIM = 512
@@ -103,7 +103,7 @@ def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> t
     ``DIM`` sums a language.
     """
     rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).dropna()
-    parts = rows.mapInPandas(_sum_profiles, "lang string, profile array<double>")
+    parts = small_batches(rows).mapInPandas(_sum_profiles, "lang string, profile array<double>")
     sums = parts.select("lang", F.posexplode("profile").alias("at", "x")).groupBy("lang", "at").agg(F.sum("x").alias("x"))
     got = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "x"))).alias("v")).limit(LANGUAGES + 1).collect()
     if len(got) > LANGUAGES:

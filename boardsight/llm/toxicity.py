@@ -23,7 +23,7 @@ STEM = (4, 7)  # lengths of the word beginnings that may become terms
 LEAST_LOG_ODDS = 2.0
 FUZZY_LENGTH = 5  # a term this long forgives one edit
 AROUND = 8  # words to either side that make the context
-MEMO = 300_000  # words whose match a task remembers
+MEMO = 100_000  # words whose match a task remembers
 FEATURES = 6
 
 EDGES = ".,;:!?\"'()[]{}<>*$%&#@|~^_=+-/\\…«»“”„‘’‚`´"
