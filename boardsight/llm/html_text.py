@@ -4,7 +4,9 @@ A page is cut into tags and runs of text. Words score above zero and tags below,
 learnt from labelled pages: those that mark their article themselves, with one ``article``
 element that is opened and closed. One pass over the page finds the run of tokens with the
 greatest sum. What can never be article text, such as scripts, forms, menus and elements named
-as adverts or comments, is taken out first and has no say in the sum.
+as adverts or comments, is taken out first and has no say in the sum. A name alone takes out no
+element that is or holds an article, nor one with most of the words of a page that marks no article
+elsewhere: its tags weigh ``NAMED``, and the sum decides.
 """
 
 from __future__ import annotations
@@ -23,16 +25,17 @@ from boardsight.llm.common import appended, small_batches
 FIT_PAGES = 2_000  # labelled pages to learn from, the first by a digest of their id
 BORDER = -1e4  # weight of the tags that the labels themselves are made of
 LIGHT = -0.01  # the least a tag costs
+NAMED = -20.0  # weight of the tags of an element that is named as something else, but kept
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.DOTALL)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 
 # Fixed lists of element names, from the HTML standard.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript template".split())
 DROPPED = frozenset("nav header footer aside form button select option datalist fieldset menu dialog svg math object applet audio video canvas map head".split())
 PAGE_PARTS = frozenset("nav header footer aside head".split())
 ENDS_ITSELF = frozenset("p li dt dd option".split())
-BORDERS = frozenset(("article", "/article", "main", "/main"))
+BORDERS = frozenset(("article", "/article", "main", "/main", "named article", "/named article", "named main", "/named main"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 # Parts of class and id names that mark what is not the article.
@@ -44,15 +47,57 @@ CHROME = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar alert dialog alertdialog".split())
 
 
-def is_chrome(attributes: str) -> bool:
-    """Whether an element's attributes name it as something else than article text."""
+def furniture(attributes: str) -> str:
+    """What an element's attributes say against it: "hidden", "named" as something else than article text, or nothing."""
+    named = ""
     for name, *values in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
-        if name in ("class", "id") and CHROME.search(value) or name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
+            return "hidden"
+        if name in ("class", "id") and CHROME.search(value) or name == "role" and value.lower() in ROLES:
+            named = "named"
+    return named
+
+
+def main_holders(page: str) -> dict[int, int]:
+    """Elements that a name must not take out, by where their opening tags begin: where their closing tags do, or -1.
+
+    They are or hold an article or main element, or have most of the page's words and no such
+    element stands outside them. One pass, with a stack for each element name.
+    """
+    found: list[tuple[int, int, int, int]] = []  # opening, closing, words, articles
+    opened: dict[str, list[tuple[int, int, int]]] = {}
+    at = words = marks = 0
+
+    def close(name: str, where: int) -> None:
+        if opened.get(name):
+            start, before, marked = opened[name].pop()
+            found.append((start, where, words - before, marks - marked))
+
+    for m in iter(lambda: TOKEN.search(page, at), None):
+        words += len(page[at:m.start()].split())
+        at = m.end()
+        closing, name, attributes = m.group(1), (m.group(2) or "").lower(), m.group(3) or ""
+        if not name:
+            continue
+        if name not in INLINE | VOID:
+            close("p", m.start() if closing and name == "p" else -1)
+        if closing:
+            if name in ("ul", "ol"):
+                close("li", -1)
+            close(name, m.start())
+        elif name in RAW:
+            at = after_raw(page, name, at)
+        elif name not in VOID and not attributes.rstrip().endswith("/"):
+            if name in ENDS_ITSELF:
+                close(name, -1)
+            opened.setdefault(name, []).append((m.start(), words, marks))
+            marks += name in ("article", "main")
+    words += len(page[at:].split())
+    for name, left in opened.items():
+        while left:
+            close(name, -1)
+    return {start: end for start, end, own, marked in found if marked or not marks and 2 * own > words}
 
 
 def tokens(page: str) -> list[tuple[str, str]]:
@@ -60,7 +105,9 @@ def tokens(page: str) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
     at = 0  # where the text after the last tag begins
     gone, depth = "", 0  # the element that is being taken out, and how many of its name are open
-    by_name = False  # it is taken out for its class or id
+    by_name = False  # it is taken out for its attributes
+    holders: dict[int, int] | None = None
+    named: set[int] = set()  # where the closing tags of kept elements stand
     while True:
         m = TOKEN.search(page, at)
         if not m:
@@ -93,11 +140,20 @@ def tokens(page: str) -> list[tuple[str, str]]:
             at = after_raw(page, name, at)
             continue
         if not closing and name not in VOID and not attributes.rstrip().endswith("/"):
-            by_name = name not in ("html", "body") and is_chrome(attributes)
+            against = furniture(attributes) if name not in ("html", "body") else ""
+            if against == "named":
+                holders = main_holders(page) if holders is None else holders
+            kept = against == "named" and m.start() in holders
+            by_name = bool(against) and not kept
             if by_name or name in DROPPED:
                 gone, depth = name, 1
                 out.append(("gone", ""))
                 continue
+            if kept:
+                named.add(holders[m.start()])
+                name = "named " + name
+        elif closing and m.start() in named:
+            name = "named " + name
         out.append((closing + name, ""))
     if not gone and at < len(page):
         out.append(("text", page[at:]))
@@ -123,7 +179,9 @@ def region(found: list[tuple[str, str]], weights: dict[str, float]) -> tuple[int
             total += word * len(run.split())
         elif tag in BORDERS:
             inside = tag[0] != "/"
-            total += weights.get(tag, other)
+            total += weights.get(tag, BORDER if "named " in tag else other)
+        elif "named " in tag:
+            total += weights.get("named", NAMED)
         elif inside or tag.lstrip("/") in INLINE:
             total += LIGHT
         elif tag != "gone":
@@ -142,12 +200,25 @@ def main_text(page: str | None, weights: dict[str, float]) -> str:
     return " ".join(text.split())
 
 
+def unnamed(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """Tokens outside elements that are named as something else: what labels are learnt from."""
+    out, depth = [], 0
+    for tag, run in found:
+        if tag.startswith("named "):
+            depth += 1
+        if not depth:
+            out.append((tag, run))
+        if tag.startswith("/named "):
+            depth -= 1
+    return out
+
+
 def _count(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Tokens inside and outside the article of labelled pages, counted by task."""
     inside, outside = Counter(), Counter()
     for frame in frames:
         for page in frame["html"]:
-            found = tokens(page)
+            found = unnamed(tokens(page))
             marks = [i for i, (tag, _) in enumerate(found) if tag in ("article", "/article")]
             if len(marks) != 2 or found[marks[0]][0] != "article":
                 continue

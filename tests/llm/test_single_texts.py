@@ -47,6 +47,19 @@ def test_main_text(page, text):
     assert html_text.main_text(page, weights) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<p>top</p><article class="post comments-open"><h1>Title</h1><p>the text is here</p></article>', "Title the text is here"),
+    ('<div class="content has-sidebar"><ul><li>x</ul><article><p>the text is here</p></article></div>', "the text is here"),
+    ('<main class="page with-sidebar"><p>the text is here</p></main><div class=footer>f</div>', "the text is here"),
+    ('<p>top</p><div class="content has-sidebar"><p>the text is here and long enough to be most</p></div>', "the text is here and long enough to be most"),
+    ('<article><p>old <a href="/hidden-history">link</a> and <a title="the hidden life">life</a></p><p title=\'so hidden now\'>more</p><p data-id="comments">last</p></article>', "old link and life more last"),
+    ("<article><p>text of the page</p><div hidden>not seen</div><p id=comments>no</p></article><div id=comments><p>far more words in here than the article itself ever had</p></div>", "text of the page"),
+])
+def test_names_take_out_no_article(page, text):
+    weights = {"word": 1.0, "tag": -1.0, "p": -0.01, "/p": -0.01, "div": -3.0} | dict.fromkeys(html_text.BORDERS, html_text.BORDER)
+    assert html_text.main_text(page, weights) == text
+
+
 def test_html_query_equals_the_article(spark):
     import html
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{SMALL}/pages.parquet").collect()}
