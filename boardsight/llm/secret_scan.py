@@ -3,7 +3,7 @@
 Candidate strings are long runs of key characters with both letters and digits. Over each a
 window slides; its entropy comes from counts that change by one character in and one out. The
 window and the bits that it must reach depend on the narrowest character class the string fits.
-Windows above the mark are joined into spans, unless the string is on the allow-list.
+Windows above the mark are joined into spans; those that meet a stretch on the allow-list do not count.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ CLASSES = (
     ("alnum", re.compile(r"[0-9a-z]+|[0-9A-Z]+"), 20, 3.5),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+"), 20, 3.75),
 )
-# Allow-list: known harmless strings.
+# Allow-list: known harmless strings. A word stands for all letters and digits around it.
 ALLOWED = re.compile(
-    r"example|sample|dummy|placeholder|changeme|your[-_]|xxxx|0123456789|abcdefghij|qwertyuiop"
+    r"(?P<word>example|sample|dummy|placeholder|changeme|your[-_]|(?<![A-Za-z0-9])x{4,}(?![A-Za-z0-9])|0123456789|abcdefghij|qwertyuiop)"
     r"|[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
     r"|d41d8cd98f00b204e9800998ecf8427e|da39a3ee5e6b4b0d3255bfef95601890afd80709|e3b0c44298fc1c149afbf4c8996fb924",
     re.IGNORECASE,
@@ -75,15 +75,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def between_allowed(s: str) -> list[tuple[int, int]]:
+    """The stretches of ``s`` before, between and after those on the allow-list."""
+    out, at = [], 0
+    while m := ALLOWED.search(s, at):
+        start, end = m.span()
+        if m["word"]:
+            while start > at and s[start - 1].isalnum():
+                start -= 1
+            while end < len(s) and s[end].isalnum():
+                end += 1
+        out.append((at, start))
+        at = end
+    return [*out, (at, len(s))]
+
+
 def entropy_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of high-entropy stretches."""
     found = []
     for m in CANDIDATE.finditer(text):
         s = m.group()
-        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s) or ALLOWED.search(s):
+        if not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
             continue
         _, _, width, bits = next(c for c in CLASSES if c[1].fullmatch(s))
-        found += [(m.start() + a, 3, m.start() + b) for a, b in entropy_windows(s, width, bits)]
+        for start, end in between_allowed(s):
+            found += [(m.start() + start + a, 3, m.start() + start + b) for a, b in entropy_windows(s[start:end], width, bits)]
     return found
 
 

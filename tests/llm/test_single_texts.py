@@ -130,6 +130,17 @@ def test_allow_list_and_classes():
     assert secret_scan.entropy_spans("123e4567-e89b-42d3-a456-426614174000") == []
 
 
+def test_allow_list_hides_only_what_it_names():
+    key = "q7ZtkP4xW9vB2nL8sD5fG1hJ6mR3cT0yU"
+    for before in ("hooks/example-team/T0/", "123e4567-e89b-42d3-a456-426614174000-", "123e4567-e89b-42d3-a456-426614174000"):
+        (start, _, end), = secret_scan.entropy_spans(before + key)
+        assert end == len(before + key) and start <= len(before) and "example" not in (before + key)[start:end]
+        assert not before.startswith("1") or start >= 36
+    rng = random.Random(11)
+    run = "".join(rng.choice("ABCDEFGHabcdefghijklmnopqrstuvwyz0123456789+/") for _ in range(2000))
+    assert secret_scan.entropy_spans(run[:1000] + "bXxxXb" + run[1000:]) and secret_scan.entropy_spans("xxxx-xxxx-xxxx-xxxx-1234") == []
+
+
 def test_secrets_of_odd_rows(odd_docs, no_docs):
     got = secret_scan.find_secrets(odd_docs, keep=("doc_id", "score")).collect()
     assert len(got) == odd_docs.count() and {r["score"] for r in got} == {0.5}
