@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boardsight.llm import decontaminate, fingerprint, html_text, lang_id, line_dedup, mixing, near_dedup, rnn_score, secret_scan, toxicity
+from boardsight.llm import (collocations, decontaminate, fingerprint, html_text, lang_id, line_dedup, mixing, near_dedup, periodic_runs, rnn_score,
+                            secret_scan, toxicity)
 from boardsight.llm.common import held_out, learnt
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,3 +128,44 @@ def _(table):
 @query("op10_secret_scan")
 def _(table):
     return secret_scan.find_secrets(table("documents"))
+
+
+OP11_SQL = r"""WITH ids AS (SELECT doc_id, text, list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda ch: [CAST(unicode(ch) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+  lambda c, s: CASE WHEN s >= 0 THEN xor(c, s) WHEN c % 2 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END) AS raw FROM documents),
+d AS (SELECT doc_id, xor(raw, CAST(4294967295 AS BIGINT)) AS h, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM ids),
+e AS (SELECT doc_id, w, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS parts FROM d),
+t AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // parts) + 1] END) END AS w FROM e),
+five AS (SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS g FROM (SELECT doc_id, w, unnest(range(n - 4)) AS i FROM t WHERE n > 4)),
+pair AS (SELECT x.doc_id, x.i AS i, y.i - x.i AS q FROM five x JOIN five y ON x.doc_id = y.doc_id AND x.g = y.g AND y.i > x.i),
+isle AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pair) GROUP BY doc_id, q, g),
+run AS (SELECT doc_id, start, length, min(q) AS period FROM isle WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+r AS (SELECT doc_id, count(*) AS n_runs, string_agg(concat(start, ',', length, ',', period, chr(10)), '' ORDER BY start, period) AS s,
+  arg_min({'s': start, 'n': length, 'q': period}, (-length, start, period)) AS b, list({'f': start + period, 't': start + length}) AS gone FROM run GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, b.s AS start, b.n AS length, b.q AS period, 1000 * b.n // b.q AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_transform(list_filter(range(n), lambda i: len(list_filter(gone, lambda x: i >= x.f AND i < x.t)) = 0), lambda i: w[i + 1]) END, ' '), '')) AS collapsed_sha256
+FROM t LEFT JOIN r USING (doc_id)"""
+
+
+@query("op11_periodic_runs", OP11_SQL)
+def _(table):
+    docs = table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return periodic_runs.find_runs(periodic_runs.with_repeats(docs)).drop("text")
+
+
+OP13_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM p)),
+g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL),
+tot AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.k, c.phrase, a, w, j, array_to_string(w[:j], ' ') AS lp, array_to_string(w[j + 1:], ' ') AS rp FROM c, (SELECT unnest([1, 2]) AS j) WHERE j < c.k),
+s AS (SELECT cut.lang, cut.k, cut.phrase, a, j, x.f AS l, y.f AS r, CAST((1000000::HUGEINT * a * a) // (x.f::HUGEINT * y.f) AS BIGINT) AS score FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = lp JOIN f y ON y.lang = cut.lang AND y.phrase = rp),
+best AS (SELECT lang, k, phrase, a, arg_min({'l': l, 'r': r, 'score': score}, (score, j)) AS b FROM s GROUP BY ALL),
+longer AS (SELECT lang, phrase, max(a) AS m FROM (SELECT lang, a, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase FROM c WHERE k = 3) GROUP BY ALL),
+kept AS (SELECT best.lang, best.phrase, a, b.l AS l, b.r AS r, b.score AS score FROM best LEFT JOIN longer USING (lang, phrase) WHERE m IS NULL OR 100 * m < 50 * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM kept JOIN tot USING (lang) QUALIFY rank <= 2000"""
+
+
+@query("op13_collocations", OP13_SQL)
+def _(table):
+    return collocations.collocations(table("documents"))
