@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from boardsight.llm import (collocations, decontaminate, fingerprint, html_text, lang_id, line_dedup, mixing, near_dedup, periodic_runs, rnn_score,
+from boardsight.llm import (byte_quality, collocations, decontaminate, fingerprint, html_text, lang_id, line_dedup, mixing, near_dedup, periodic_runs, rnn_score,
                             secret_scan, toxicity)
-from boardsight.llm.common import held_out, learnt
+from boardsight.llm.common import held_out, learnt, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -152,6 +152,14 @@ def _(table):
     return periodic_runs.find_runs(periodic_runs.with_repeats(docs)).drop("text")
 
 
+@query("op12_quality")
+def _(table):
+    docs = table("documents")
+    model = byte_quality.learn(docs, byte_quality.learnt_labels(table("labels")))
+    out = F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False))
+    return byte_quality.score(docs.select("doc_id", out.alias("held_out"), "text"), model).select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 OP13_SQL = r"""WITH p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces FROM documents),
 w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM p)),
 g AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), (SELECT unnest([1, 2, 3]) AS k) WHERE i + k - 1 <= len(w)),
