@@ -11,6 +11,8 @@ from boardsight.operators.tracking import MOVED_PX, PERSIST, TRACK_FIELDS, WINDO
 from boardsight.functions.geometry import MATCH_PX
 from boardsight.sources.packets import decode_motion
 from boardsight.sources.signals import stamp
+from boardsight.core.ordered import null_safe_join
+from boardsight.streaming.ontime import AT, fold_on_time
 from boardsight.streaming.stateful import fold_stream
 
 
@@ -52,19 +54,75 @@ def subscriptions(requests: DataFrame) -> DataFrame:
     return set_by
 
 
-def sampled_feed(stream: DataFrame, control: DataFrame, ts: str = "timestamp", key: str = "key") -> DataFrame:
+def sampled_feed(stream: DataFrame, control: DataFrame, ts: str = "timestamp", key: str = "key", late: str = "1 minute") -> DataFrame:
     """The rows subscribers get: those of subscribed keys, at most one per
-    interval after the last sent. Event time, so a replay gives the same rows."""
-    rows = stream.join(control, key).withColumn("_ms", F.unix_millis(ts))
-    schema = T.StructType(rows.schema.fields)
+    interval after the last sent. Event time, so a replay gives the same rows
+    in whatever files they come. Rows that come later than ``late`` behind the
+    newest are marked by the column ``late`` and were not sent."""
+    # a left join, so that rows without a key still move the watermark on
+    rows = stream.join(control, key, "left").filter(F.col("client").isNotNull() | F.col(key).isNull())
+    schema = T.StructType([f for f in rows.schema if f.name != ts] + [T.StructField(AT, T.LongType())])
 
     def fold(last, batch: pd.DataFrame):
         interval = batch["interval_ms"].iloc[-1]
         if pd.isna(interval):
             return batch, last
-        marked, last = throttle_fold(float(interval), [*schema.names, "_kept"])(last, batch)
+        marked, last = throttle_fold(float(interval), [*schema.names, "_kept"])(last, batch.assign(_ms=batch[AT] / 1000))
         return marked[marked["_kept"]], last
-    return fold_stream(rows, [key, "client"], ["_ms"], fold, schema).drop("_ms")
+    sent = fold_on_time(rows, [key, "client"], ts, fold, schema, late=late)
+    return sent.withColumn(ts, F.timestamp_micros(AT)).drop(AT)
+
+
+CONTROL = ["action", "client", "interval_ms", "seq"]
+
+
+def live_feed(data: DataFrame, control: DataFrame, ts: str = "timestamp", key: str = "key", late: str = "1 minute") -> DataFrame:
+    """R4 into R3: rows of ``data`` as subscribers get them while subscriptions
+    change. ``control`` rows are (key, time, seq, action, client, interval_ms)
+    with the action ``register``, ``interval`` or ``drop``; both are folded
+    together by key in order of time, a control row before data of its time.
+
+    The first client to register a key holds it until it drops it, and what
+    others ask is passed over. No interval, or 0, sends every row; a changed
+    one counts from the last row sent by an interval.
+    """
+    rest = [c for c in data.columns if c not in (key, ts)]
+    asked = control.select(key, ts, *[F.col(c).alias(f"c_{c}") for c in CONTROL], *[F.lit(None).cast(data.schema[c].dataType).alias(c) for c in rest])
+    kinds = {f"c_{c}": control.schema[c].dataType for c in CONTROL}
+    rows = data.select(key, ts, *[F.lit(None).cast(k).alias(c) for c, k in kinds.items()], *rest).unionByName(asked)
+    schema = T.StructType([data.schema[key], T.StructField(AT, T.LongType()), *[data.schema[c] for c in rest], T.StructField("client", T.StringType())])
+
+    def fold(state, batch: pd.DataFrame):
+        client, interval, last = state or (None, None, None)
+        asks = batch["c_action"].notna().to_numpy()
+        out, start = [], 0
+        for i in [*asks.nonzero()[0], len(batch)]:
+            part = batch.iloc[start:i]
+            if len(part) and client is not None:
+                if interval is not None:
+                    part, last = throttle_fold(float(interval), [*batch.columns, "_kept"])(last, part.assign(_ms=part[AT] / 1000))
+                    part = part[part["_kept"]]
+                out.append(part.assign(client=client))
+            if i < len(batch):
+                client, interval, last = subscribed((client, interval, last), *batch.iloc[i][["c_action", "c_client", "c_interval_ms"]])
+            start = i + 1
+        sent = pd.concat(out, ignore_index=True) if out else batch.iloc[:0].assign(client=None)
+        return sent[schema.names], [client, interval, last]
+    sent = fold_on_time(rows.withColumn("c_data", F.col("c_action").isNull()), [key], ts, fold, schema, ["c_data", "c_seq"], late)
+    return sent.withColumn(ts, F.timestamp_micros(AT)).drop(AT)
+
+
+def subscribed(state: tuple, action: str, client: str, interval_ms) -> tuple:
+    """(client, interval, last sent) of a key after one request."""
+    holder, interval, last = state
+    if holder is not None and client != holder:
+        return state
+    if action == "drop":
+        return None, None, None
+    if holder is None and action != "register":
+        return state
+    interval = None if pd.isna(interval_ms) or interval_ms <= 0 else float(interval_ms)
+    return client, interval, last if interval is not None else None
 
 
 def metrics_stream(events: DataFrame, stages: list[str]) -> DataFrame:
@@ -85,33 +143,92 @@ def reassemble_stream(segments: DataFrame, keys: list[str], ts: str = "timestamp
 
 
 def idempotent_stream(stream: DataFrame, keys: list[str], ts: str = "timestamp", within: str = "1 hour") -> DataFrame:
-    """The first of rows with one key, a retry within the watermark
-    being dropped; rows with a null key all pass."""
+    """R7 in bounded state: the first of rows with one key, a retry within the
+    watermark being dropped; rows with a null key all pass. For keys that must
+    stay unique for good there is ``idempotent_ingest``."""
     watched = stream.withWatermark(ts, within)
     keyed = watched.filter(F.col(keys[-1]).isNotNull()).dropDuplicatesWithinWatermark(keys)
     return keyed.unionByName(watched.filter(F.col(keys[-1]).isNull()))
 
 
+KEY_BUCKETS = 64
+
+
+def idempotent_ingest(stream: DataFrame, keys: list[str], order: list[str], sink: str, store: str, checkpoint: str,
+                      trigger: dict | None = None, buckets: int = KEY_BUCKETS):
+    """Append the first row of each key to ``sink``, for good: a retry
+    after any time is dropped. Rows whose last key is null all pass.
+
+    The keys seen are a table of their own, in buckets of a hash of the key.
+    Each micro-batch reads the buckets its keys fall in, of earlier batches
+    only, and then adds its new keys under its number. A batch run again after
+    a failure so finds what it found before, and replaces what it wrote.
+    """
+    spark = stream.sparkSession
+    seen = T.StructType([*[stream.schema[k] for k in keys], T.StructField("bucket", T.IntegerType()), T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], seen).write.mode("append").partitionBy("bucket", "batch").parquet(store)  # so that there is a folder to read
+
+    def replace(rows: DataFrame, path: str, *parts: str) -> None:
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        named = F.col(keys[-1]).isNotNull()
+        rest = [c for c in batch.columns if c not in (*keys, *order)]
+        firsts = (batch.filter(named).groupBy(*keys).agg(F.min(F.struct(*[c for c in order if c not in keys], *rest)).alias("_r")).select(*keys, "_r.*")
+                  .withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist())
+        touched = [r["bucket"] for r in firsts.select("bucket").distinct().collect()]  # no more than there are buckets
+        known = session.read.schema(seen).parquet(store).filter(F.col("bucket").isin(touched) & (F.col("batch") < number))
+        new = null_safe_join(firsts, known.select(*keys, "bucket"), [*keys, "bucket"], "left_anti").persist()
+        rows = new.select(*batch.columns).unionByName(batch.filter(~named))
+        replace(rows.withColumn("batch", F.lit(number).cast("long")), sink, "batch")
+        replace(new.select(*keys, "bucket").withColumn("batch", F.lit(number).cast("long")), store, "bucket", "batch")
+        new.unpersist()
+        firsts.unpersist()
+    return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 second"})).start())
+
+
 PERSISTED = [T.StructField("cand_id", T.StringType()), T.StructField("first", T.LongType()), T.StructField("judged_frame", T.LongType()),
              T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType()), T.StructField("persistence", T.DoubleType())]
 
 
-def persistence_stream(looks: DataFrame, keys: list[str], match_px: float = MATCH_PX, persist: float = PERSIST, window: int = WINDOW) -> DataFrame:
-    """Candidates that persist, each once, as its window passes. Frames
-    a stream missed come as ``unseen`` rows and count as tried."""
+def persistence_stream(looks: DataFrame, keys: list[str], match_px: float = MATCH_PX, persist: float = PERSIST, window: int = WINDOW,
+                       late_frames: int = WINDOW, fill_missing: bool = False) -> DataFrame:
+    """Candidates that persist, each once, as its window passes.
+
+    The frame number is the event time: looks may come in any order up to
+    ``late_frames`` behind the newest, in whatever files, and later ones are
+    marked by ``late``. Frames a stream missed come as ``unseen`` rows and count
+    as tried; with ``fill_missing`` a frame that has not come by the time the
+    watermark passes it is taken for one.
+    """
     slim = looks.select(*keys, F.col("frame").cast("long").alias("frame"), "status", F.transform(
-        "detections", lambda d: F.array(*[d[c].cast("double") for c in ("cx", "cy", "w", "h")])).alias("_d"))
+        "detections", lambda d: F.array(*[d[c].cast("double") for c in ("cx", "cy", "w", "h")])).alias("_d"), F.timestamp_millis("frame").alias("_at"))
+    slim = slim.withColumnRenamed("_d", "d").withColumnRenamed("_at", "shown")
     schema = T.StructType([slim.schema[k] for k in keys] + PERSISTED)
 
     def fold(state, rows: pd.DataFrame):
+        newest, inner_state = state or (None, None)
         judged: list = []
+        known = rows[[*keys, "frame", "status", "d"]].rename(columns={"d": "_d"})
+        if fill_missing:
+            known = with_missing(known, keys, newest)
         inner = tracking_fold(keys, [*keys, *[f.name for f in TRACK_FIELDS]], match_px, True, persist, window, judged)
-        _, state = inner(state, rows)
+        _, inner_state = inner(inner_state, known)
         out = pd.DataFrame(judged, columns=[f.name for f in PERSISTED])
         for k in keys:
             out[k] = rows[k].iloc[0]
-        return out, state
-    return fold_stream(slim, keys, ["frame"], fold, schema)
+        return out, [int(rows["frame"].max()), inner_state]
+    return fold_on_time(slim, keys, "shown", fold, schema, late=f"{late_frames} milliseconds")
+
+
+def with_missing(rows: pd.DataFrame, keys: list[str], newest: int | None) -> pd.DataFrame:
+    """Looks in order of frame, with an ``unseen`` one for each frame left out since ``newest``."""
+    first = int(rows["frame"].iloc[0]) if newest is None else newest + 1
+    gone = sorted(set(range(first, int(rows["frame"].iloc[-1]))) - set(rows["frame"]))
+    blank = pd.DataFrame({"frame": gone, "status": "unseen", "_d": [[] for _ in gone], **{k: rows[k].iloc[0] for k in keys}})
+    return pd.concat([rows, blank[rows.columns]]).sort_values("frame", ignore_index=True) if gone else rows
 
 
 def stalls(stream: DataFrame, keys: list[str], ts: str = "timestamp", after_s: float = 10, down_s: float = 120, down: str = "down") -> DataFrame:

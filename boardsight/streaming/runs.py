@@ -4,11 +4,17 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from boardsight.core.runtime import ensure_checkpoint_dir
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new place in the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
 def read_table_stream(spark: SparkSession, folder: str, files: str, files_per_trigger: int = 100) -> DataFrame:
     """The stored files of a folder that match ``files``, as a stream."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
@@ -20,9 +26,27 @@ def drain(stream: DataFrame) -> DataFrame:
     """All rows an append stream gives for the input there is now, written to
     and read from the shared checkpoint folder."""
     spark = stream.sparkSession
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4()}"
+    base = new_folder(spark, "stream")
     query = (stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state")
              .outputMode("append").trigger(availableNow=True).start())
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
+
+
+def replay(df: DataFrame, ts: str, files: int = 1, newest_first: bool = False, files_per_trigger: int = 1, final: str = "2999-01-01") -> DataFrame:
+    """``df`` as a stream of ``files`` files, cut by ``ts`` and landing one after another, the newest rows first if asked for.
+
+    The last file holds one row with nothing but the time ``final``: it moves the watermark past all others.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, "replay")
+    kind = df.schema[ts].dataType
+    us = F.unix_micros(F.col(ts).cast("timestamp"))
+    low, high = df.agg(F.min(us), F.max(us)).first()
+    part = F.least(F.lit(files - 1), F.floor((us - F.lit(low)) * files / F.lit(max(1, (high or 0) - (low or 0))))) if low is not None else F.lit(0)
+    numbered = df.withColumn("_part", F.coalesce(part, F.lit(0)).cast("int"))
+    for k in sorted(range(files), reverse=newest_first):
+        numbered.filter(F.col("_part") == k).drop("_part").coalesce(1).write.mode("append").parquet(path)
+    tick = spark.range(1).select(*[F.lit(final).cast("timestamp").cast(kind).alias(c) if c == ts else F.lit(None).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+    tick.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from boardsight.operators import tracking
-from boardsight.streaming import feeds
+from boardsight.streaming import feeds, ontime
+from boardsight.streaming.runs import drain, replay
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -39,13 +40,35 @@ def run(stream, name, mode="append"):
         query.stop()
 
 
-def test_sampled_feed_equals_throttle(spark, feed):
+@pytest.mark.parametrize("files, newest_first, late", [(1, False, "1 second"), (3, False, "1 second"), (3, True, "1 hour")])
+def test_sampled_feed_equals_throttle(spark, files, newest_first, late):
     rows = [("a", at(s)) for s in (0, 0.4, 0.8, 1.2, 2.5)] + [("b", at(s)) for s in (0, 5)]
-    stream, batch = feed([rows[:3], rows[3:]], "key string, timestamp timestamp")
+    batch = spark.createDataFrame(rows, "key string, timestamp timestamp")
     control = spark.createDataFrame([("a", "me", 1000)], "key string, client string, interval_ms long")
-    got = sorted(r.timestamp for r in run(feeds.sampled_feed(stream, control), "sampled"))
+    out = drain(feeds.sampled_feed(replay(batch, "timestamp", files, newest_first), control, late=late)).collect()
     want = sorted(r.timestamp for r in tracking.throttle(batch.filter("key = 'a'"), ["key"], "timestamp", 1000).collect())
-    assert got == want == [at(0), at(1.2), at(2.5)]
+    assert sorted(r.timestamp for r in out) == want == [at(0), at(1.2), at(2.5)] and not any(r.late for r in out)
+
+
+def test_rows_behind_the_watermark_go_to_a_side_table(spark, tmp_path):
+    rows = [("a", at(10 * i)) for i in range(12)] + [(None, at(1))]
+    batch = spark.createDataFrame(rows, "key string, timestamp timestamp")
+    control = spark.createDataFrame([("a", "me", 1)], "key string, client string, interval_ms long")
+    sent = feeds.sampled_feed(replay(batch, "timestamp", 4, newest_first=True), control, late="1 second")
+    sink, late = str(tmp_path / "sink"), str(tmp_path / "late")
+    ontime.write_on_time(sent, sink, late, str(tmp_path / "state"), {"availableNow": True}).awaitTermination(120)
+    kept, behind = (sorted(r.timestamp for r in spark.read.parquet(f).collect()) for f in (sink, late))
+    assert sorted(kept + behind) == [at(10 * i) for i in range(12)] and behind and max(kept) == at(110)
+
+
+def test_live_feed_follows_requests(spark):
+    data = spark.createDataFrame([("k", at(s), i) for i, s in enumerate((0, 1, 2, 3, 4, 5, 6, 7, 8))], "key string, timestamp timestamp, n int")
+    asks = [("k", at(1), 1, "register", "a", None), ("k", at(2.5), 2, "interval", "b", 9000), ("k", at(3), 3, "interval", "a", 2000),
+            ("k", at(5.5), 4, "register", "b", None), ("k", at(6.5), 5, "drop", "a", None), ("k", at(8), 6, "register", "b", 1000)]
+    control = spark.createDataFrame(asks, "key string, timestamp timestamp, seq int, action string, client string, interval_ms long")
+    for files, back in ((1, False), (3, True)):
+        out = drain(feeds.live_feed(replay(data, "timestamp", files, back), replay(control, "timestamp", files), late="1 hour")).collect()
+        assert sorted((r.n, r.client) for r in out) == [(1, "a"), (2, "a"), (3, "a"), (5, "a"), (8, "b")]
 
 
 def test_subscriptions_first_client_holds(spark):
@@ -62,19 +85,46 @@ def test_idempotent_stream(feed):
     assert sorted(r.id for r in got) == [1, 3, 4, 5]
 
 
-def test_persistence_stream_equals_batch(feed):
+def test_idempotent_ingest_drops_retries_for_good(spark, feed, tmp_path):
+    rows = [("s", "k1", 1), ("s", "k1", 2), ("s", None, 3), (None, "k1", 4)], [("s", "k1", 5), ("s", None, 6), ("t", "k1", 7)], [("s", "k1", 8), (None, "k1", 9)]
+    stream, _ = feed(rows, "session string, idem string, id int")
+    base = str(tmp_path / "base")
+    args = (stream, ["session", "idem"], ["id"], f"{base}/rows", f"{base}/keys")
+    for state in ("state", "state", "again"):  # drained, restarted with nothing new, and all batches run again
+        feeds.idempotent_ingest(*args, f"{base}/{state}", {"availableNow": True}).awaitTermination(120)
+        assert sorted(r.id for r in spark.read.parquet(f"{base}/rows").collect()) == [1, 3, 4, 6, 7]
+
+
+def _looks():
     def look(f):
         seen = 10 <= f < 30
         return ("r", f, "registered", [(50.0, 50.0, 10.0, 10.0)] if seen else [])
-    looks = [look(f) for f in range(60)]
-    schema = "recording string, frame int, status string, detections array<struct<cx:double,cy:double,w:double,h:double>>"
-    stream, batch = feed([looks[:25], looks[25:40], looks[40:]], schema)
-    got = run(feeds.persistence_stream(stream, ["recording"]), "persist")
+    return [look(f) for f in range(60)]
+
+
+LOOKS = "recording string, frame int, status string, detections array<struct<cx:double,cy:double,w:double,h:double>>"
+
+
+@pytest.mark.parametrize("cuts, late", [((25, 40), 5), ((25, 40), 100)])
+def test_persistence_stream_equals_batch(feed, cuts, late):
+    looks = _looks()
+    parts = [looks[:cuts[0]], looks[cuts[0]:cuts[1]], looks[cuts[1]:]]
+    ordered = parts if late < 60 else parts[::-1]
+    stream, batch = feed([*ordered, [(None, 10**9, None, None)]], LOOKS)
+    got = run(feeds.persistence_stream(stream, ["recording"], late_frames=late), f"persist{late}")
+    batch = batch.filter("recording is not null")
     tracks = tracking.retrack(batch, ["recording"])
     want = tracking.persistence(tracks, batch, ["recording"]).filter("verdict = 'persisted'").collect()
     assert [(r["first"], r.persistence) for r in got] == [(r["first"], r.persistence) for r in want] == [(10, 0.8)]
 
 
+def test_missing_frames_count_as_tried(feed):
+    looks = [r for r in _looks() if r[1] % 3]  # two of three frames came
+    stream, _ = feed([looks[20:], looks[:20], [(None, 10**9, None, None)]], LOOKS)
+    got = run(feeds.persistence_stream(stream, ["recording"], late_frames=100, fill_missing=True), "missing")
+    assert [(r["first"], r.judged_frame, round(r.persistence, 3)) for r in got] == [(10, 35, round(14 / 17, 3))]
+
+
 def test_follow_runs_equals_keep_if_moved(feed):
     rows = [("a", at(0), [(0.0, 0.0)]), ("a", at(1), [(1.5, 0.0)]), ("a", at(2), [(2.5, 0.0)]), ("a", at(1.5), [(90.0, 0.0)]), ("a", at(3), [(2.6, 0.0)])]
     rows = [(r, t, o, i) for i, (r, t, o) in enumerate(rows)]
