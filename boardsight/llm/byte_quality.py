@@ -17,12 +17,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from boardsight.llm.common import appended, remainder, small_batches, staged
 
-FIT_ROWS = 4_000  # labelled rows to learn from, the first by a digest of their id
-FIT_BYTES = 24 << 20  # and of those texts, whole, so many bytes; a text that does not fit is left out of learning
-EPOCHS = 10
+FIT_ROWS = 6_000  # labelled rows to learn from, the first by a digest of their id
+FIT_BYTES = 32 << 20  # and of those texts, whole, so many bytes; a text that does not fit is left out of learning
+EPOCHS = 12
 SEED = 5
 
-WIDTH, DEPTH, FILTERS, HIDDEN = 8, 8, 32, 32  # bytes a filter sees, numbers a byte, filters, hidden units
+WIDTH, DEPTH, FILTERS, HIDDEN = 8, 8, 48, 48  # bytes a filter sees, numbers a byte, filters, hidden units
 BLOCK = 256  # half a chunk
 AT_ONCE = 256 * BLOCK  # bytes whose vectors are held at once
 
@@ -57,7 +57,7 @@ class Net:
         return cls(w)
 
     def blocks(self, data: np.ndarray, places: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """Each filter's greatest answer within each block of ``data`` (whole blocks, each text filled up with at least ``WIDTH`` zeros), and where."""
+        """Each filter's greatest answer within each block of ``data`` (whole blocks, each text after ``WIDTH`` zeros), and where."""
         n = len(data) // BLOCK
         best = np.full((n, FILTERS), -np.inf, np.float32)
         where = np.zeros((n, FILTERS), np.int64) if places else None
@@ -128,9 +128,9 @@ class Net:
 
 
 def filled(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The texts one after another, each filled up to whole blocks by zeros, ``WIDTH`` at least; and whose each block is."""
-    counts = [(len(t) + WIDTH) // BLOCK + 1 for t in texts]
-    data = b"".join(t.ljust(n * BLOCK, b"\0") for t, n in zip(texts, counts))
+    """The texts one after another, each after ``WIDTH`` zeros, so that no filter sees two of them, and filled up to whole blocks; and whose each block is."""
+    counts = [(len(t) + WIDTH - 1) // BLOCK + 1 for t in texts]
+    data = b"".join((bytes(WIDTH) + t).ljust(n * BLOCK, b"\0") for t, n in zip(texts, counts))
     return np.frombuffer(data, np.uint8), np.repeat(np.arange(len(texts)), counts)
 
 
@@ -169,7 +169,7 @@ def learn(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     """A model of ``label`` (0 or 1) from whole texts of at most ``rows`` labelled documents and ``size`` bytes.
 
     The sample is chosen by a digest of the id and learnt from in one task, whose memory those bounds hold; the
-    weights, 21 KB, come to the driver. Nulls in id or label teach nothing; of several labels of an id the
+    weights, 33 KB, come to the driver. Nulls in id or label teach nothing; of several labels of an id the
     greatest counts; equal texts teach once.
     """
     c = F.col
