@@ -10,6 +10,7 @@ sums of what was matched, abusive and quoted, exact and misspelled, gives the pr
 
 from __future__ import annotations
 
+from collections import defaultdict
 from math import exp, log1p
 
 import numpy as np
@@ -39,17 +40,27 @@ class Lexicon:
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.words = {t: w for t, stem, w in terms if not stem}
         self.stems = {t: w for t, stem, w in terms if stem}
+        self.starts = {t[:STEM[0]] for t in self.stems}
         self.trie: dict = {}
-        self.halves: set[tuple[int, bool, str]] = set()
+        # Of three parts of a term one edit leaves two as they are: what a word then starts and ends with, by the term's length.
+        kept: dict[int, dict[tuple[int, int], set[str]]] = defaultdict(lambda: defaultdict(set))
         for term, weight in self.words.items():
-            if len(term) >= FUZZY_LENGTH:
+            k = len(term)
+            if k >= FUZZY_LENGTH:
                 node = self.trie
                 for ch in term:
                     node = node.setdefault(ch, {})
                 node[""] = weight
-                h = len(term) // 2
-                self.halves |= {(len(term), True, term[:h]), (len(term), False, term[h:])}
-        self.lengths = sorted({h[0] for h in self.halves})
+                third = k // 3
+                for start, end in ((k - third, 0), (0, k - third), (third, third)):
+                    kept[k][start, end].add(f"{term[:start]}|{term[k - end:]}")
+        self.near: dict[int, list[tuple[int, int, set[str]]]] = {}
+        for n in {k + d for k in kept for d in (-1, 0, 1)}:
+            at: dict[tuple[int, int], set[str]] = defaultdict(set)
+            for k in (n - 1, n, n + 1):
+                for ends, parts in kept.get(k, {}).items():
+                    at[ends] |= parts
+            self.near[n] = [(start, n - end, parts) for (start, end), parts in at.items()]
         self.memo: dict[str, tuple[bool, float] | None] = {}
 
     def match(self, token: str) -> tuple[bool, float] | None:
@@ -62,13 +73,15 @@ class Lexicon:
 
     def _match(self, word: str) -> tuple[bool, float] | None:
         exact = [self.words[word]] if word in self.words else []
-        exact += [self.stems[word[:k]] for k in range(STEM[0], min(STEM[1], len(word)) + 1) if word[:k] in self.stems]
+        if word[:STEM[0]] in self.starts:
+            exact += [self.stems[word[:k]] for k in range(STEM[0], min(STEM[1], len(word)) + 1) if word[:k] in self.stems]
         if exact:
             return True, max(exact)
-        # One edit leaves one half of the term as it is, at the word's start or end.
-        near = any((k, True, word[:k // 2]) in self.halves or (k, False, word[-(k - k // 2):]) in self.halves for k in self.lengths if abs(k - len(word)) <= 1)
-        weight = self._walk(self.trie, word) if near else 0.0
-        return (False, weight) if weight else None
+        for start, end, parts in self.near.get(len(word), ()):
+            if f"{word[:start]}|{word[end:]}" in parts:
+                weight = self._walk(self.trie, word)
+                return (False, weight) if weight else None
+        return None
 
     def _walk(self, trie: dict, word: str) -> float:
         """The heaviest term within one edit of ``word``.
