@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -16,84 +17,108 @@ from boardsight.operators.spatial import components, distance_join, nearest
 
 # Bounds of the run comparison, mm.
 MOVE_MM, LIMIT_MM = 1.0, 5.0
-CELLS_IN_ONE_TASK = 16_000_000
-
-
-def _assign(cost: np.ndarray) -> np.ndarray:
-    """Column per row of a least-cost full assignment, rows no more than columns:
-    shortest augmenting paths with potentials."""
-    n, m = cost.shape
-    u, v = np.zeros(n + 1), np.zeros(m + 1)
-    owner, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], at = i, 0
-        least, done = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
-        while owner[at]:
-            done[at] = True
-            free = ~done[1:]
-            reach = cost[owner[at] - 1] - u[owner[at]] - v[1:]
-            better = free & (reach < least[1:])
-            least[1:][better], way[1:][better] = reach[better], at
-            nxt = int(np.where(free, least[1:], np.inf).argmin()) + 1
-            delta = least[nxt]
-            u[owner[done]] += delta
-            v[done] -= delta
-            least[~done] -= delta
-            at = nxt
-        while at:
-            owner[at], at = owner[way[at]], way[at]
-    out = np.zeros(n, int)
-    for j in range(1, m + 1):
-        if owner[j]:
-            out[owner[j] - 1] = j - 1
-    return out
+EDGES_IN_ONE_TASK = 500_000
+
 
+def assign(rows: np.ndarray, cols: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Which of the sparse edges (row, column, cost) make the one-to-one matching of most pairs, and of those the least total cost.
 
-def match_edges(edges: DataFrame, keys: list[str], cells_in_one_task: int = CELLS_IN_ONE_TASK) -> DataFrame:
+    Row by row, a shortest augmenting path over reduced costs. A row may also stay alone, at a price above all
+    costs together, so pairs come first. A search ends at the nearest free column, so it sees only
+    the neighbourhood it has to rearrange; memory is that of the edges.
+    """
+    order = np.lexsort((cols, rows))
+    n = int(rows.max()) + 1 if len(rows) else 0
+    first = np.searchsorted(rows[order], np.arange(n + 1)).tolist()
+    to, price, edge = cols[order].tolist(), cost[order].tolist(), order.tolist()
+    alone = (float(cost.max()) + 1.0) * (n + 1) if n else 0.0
+    v = [0.0] * (int(cols.max()) + 1 if len(cols) else 0)  # potentials of columns; those of rows follow from their pairs
+    owner, by = [-1] * len(v), [-1] * len(v)  # the row a column has, and over which edge
+    taken = [-1] * n
+    for start in range(n):
+        best: dict[int, float] = {}
+        way: dict[int, tuple[int, int]] = {}
+        settled: dict[int, float] = {}
+        heap: list[tuple[float, int]] = []
+        row, base = start, 0.0
+        limit, last = alone, (start, -1)  # the cheapest way that ends with a row left alone: that row is ``last``
+        end = -1
+        while True:
+            for k in range(first[row], first[row + 1]):
+                j = to[k]
+                d = base + price[k] - v[j]
+                if j not in settled and d < best.get(j, limit):
+                    best[j], way[j] = d, (row, k)
+                    heappush(heap, (d, j))
+            while heap and (heap[0][1] in settled or heap[0][0] > best[heap[0][1]]):
+                heappop(heap)
+            if not heap or heap[0][0] >= limit:
+                break
+            d, j = heappop(heap)
+            settled[j] = d
+            if owner[j] < 0:
+                end = j
+                break
+            row = owner[j]
+            # The row's pair has no slack, so the way goes on at the same distance.
+            base = d - (price[by[j]] - v[j])
+            if base + alone < limit:
+                limit, last = base + alone, (row, j)
+        reach = settled[end] if end >= 0 else limit
+        for j, d in settled.items():
+            if d < reach:
+                v[j] += d - reach
+        if end < 0:
+            row, j = last
+            if row == start:
+                continue
+            taken[row] = -1
+            end = j
+        while True:
+            row, k = way[end]
+            owner[end], by[end] = row, k
+            before, taken[row] = taken[row], k
+            if row == start:
+                break
+            end = to[before]
+    return np.array([edge[k] for k in taken if k >= 0], int)
+
+
+def match_edges(edges: DataFrame, keys: list[str], edges_in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
     """J12 over given edges (keys, truth_id, found_id, distance): the one-to-one
     pairs, most pairs first, then least total distance.
 
-    Edges nothing else competes for are taken at once. Of the found marks that
-    only one truth can use, none but the nearest ever is, and the other way
-    round; the rest are dropped. What is left falls apart into connected
-    components, solved each on its own.
+    Of the found marks that only one truth can use, none but the nearest ever
+    is, and the other way round; the rest are dropped. Keys of few edges are
+    solved whole, many at once. Those of more than ``edges_in_one_task`` fall
+    apart into connected components first.
     """
     keys = list(keys)
-    edges = cut(edges.select(*keys, "truth_id", "found_id", "distance"))  # read many times below
-    edges = _only_best_of_lone(_only_best_of_lone(edges, keys, "truth_id", "found_id"), keys, "found_id", "truth_id")
-    edges = cut(edges.select(*keys, "truth_id", "found_id", "distance"))
-    for side in ("truth_id", "found_id"):
-        edges = null_safe_join(edges, edges.groupBy(*keys, side).agg(F.count(F.lit(1)).alias(f"_{side}")), [*keys, side])
-    alone = (F.col("_truth_id") == 1) & (F.col("_found_id") == 1)
-    done = edges.filter(alone).select(*keys, "truth_id", "found_id", "distance")
-    rest = cut(edges.filter(~alone).select(*keys, "truth_id", "found_id", "distance"))
-    if rest.isEmpty():
-        return done
-    side = lambda c, s: F.struct(F.lit(s).alias("s"), F.col(c).cast("string").alias("i"))
-    links = rest.select(*keys, side("truth_id", "t").alias("a"), side("found_id", "f").alias("b"))
-    ends = links.select(*keys, F.col("a").alias("node")).unionByName(links.select(*keys, F.col("b").alias("node"))).distinct()
-    labels = components(ends.withColumn("_label", F.col("node")), links, keys)
-    tagged = null_safe_join(rest.withColumn("node", side("truth_id", "t")), labels, [*keys, "node"]).drop("node")
-    size = (F.count_distinct("truth_id") * F.count_distinct("found_id")).alias("cells")
-    biggest = tagged.groupBy(*keys, "_label").agg(size).agg(F.max("cells").alias("c")).first()["c"]
-    if biggest > cells_in_one_task:
-        raise ValueError(f"a cluster of marks is {biggest} pairs wide, more than one task may hold; use a smaller tolerance")
-    schema = T.StructType([rest.schema[c] for c in (*keys, "truth_id", "found_id", "distance")])
+    edges = cut(edges.select(*keys, "truth_id", "found_id", "distance"))  # read several times below
+    schema = T.StructType([edges.schema[c] for c in (*keys, "truth_id", "found_id", "distance")])
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["truth_id", "found_id"], ignore_index=True)
-        t, f = pdf["truth_id"].astype("category"), pdf["found_id"].astype("category")
-        rows, cols = t.cat.codes.to_numpy(), f.cat.codes.to_numpy()
-        n, m = len(t.cat.categories), len(f.cat.categories)
-        d = pdf["distance"].to_numpy()
-        # one missing pair costs more than all distances together
-        cost = np.full((n, m), (d.max() + 1.0) * (min(n, m) + 1))
-        cost[rows, cols] = d
-        taken = _assign(cost) if n <= m else _assign(cost.T)
-        chosen = {(i, j) for i, j in enumerate(taken)} if n <= m else {(i, j) for j, i in enumerate(taken)}
-        return pdf.loc[[(i, j) in chosen for i, j in zip(rows, cols)], schema.names]
-    solved = tagged.groupBy(*keys, "_label").applyInPandas(solve, schema)
-    return cut(done.unionByName(solved))
+        rows, cols = (pdf.groupby([*keys, c], dropna=False, sort=False).ngroup().to_numpy() for c in ("truth_id", "found_id"))
+        return pdf.loc[assign(rows, cols, pdf["distance"].to_numpy()), schema.names]
+
+    # Marks of different keys never share an edge, so many small keys are solved at once.
+    hot, n_hot, in_hot = hot_keys(edges, keys, edges_in_one_task)
+    parts = 1 + 8 * (edges.count() - in_hot) // edges_in_one_task
+    few = null_safe_join(edges, hot.select(*keys), keys, "left_anti") if n_hot else edges
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)) if keys else F.lit(0)
+    pairs = few.groupBy(part.alias("_part")).applyInPandas(solve, schema)
+    if not n_hot:
+        return cut(pairs)
+    many = null_safe_join(edges, hot.select(*keys), keys, "left_semi")
+    many = _only_best_of_lone(_only_best_of_lone(many, keys, "truth_id", "found_id"), keys, "found_id", "truth_id")
+    many = cut(many.select(*keys, "truth_id", "found_id", "distance"))
+    side = lambda c, s: F.struct(F.lit(s).alias("s"), F.col(c).cast("string").alias("i"))
+    links = many.select(*keys, side("truth_id", "t").alias("a"), side("found_id", "f").alias("b"))
+    ends = links.select(*keys, F.col("a").alias("node")).unionByName(links.select(*keys, F.col("b").alias("node"))).distinct()
+    labels = components(ends.withColumn("_label", F.col("node")), links, keys)
+    tagged = null_safe_join(many.withColumn("node", side("truth_id", "t")), labels, [*keys, "node"]).drop("node")
+    return cut(pairs.unionByName(tagged.groupBy(*keys, "_label").applyInPandas(solve, schema)))
 
 
 def _only_best_of_lone(edges: DataFrame, keys: list[str], one: str, many: str) -> DataFrame:

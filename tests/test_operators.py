@@ -50,13 +50,43 @@ def test_matching(spark, truth, found, tol, pairs):
     assert sorted((r.found_id, r.truth_id) for r in got.collect()) == pairs
 
 
+def best_by_trying(n, edges):
+    """(pairs, total) of the matching with most pairs and then the least total."""
+    def rest(i, used):
+        if i == n:
+            return 0, 0.0
+        ways = [rest(i + 1, used)]
+        for a, b, d in edges:
+            if a == i and b not in used:
+                k, c = rest(i + 1, used | {b})
+                ways.append((k + 1, c + d))
+        return min(ways, key=lambda w: (-w[0], w[1]))
+    return rest(0, frozenset())
+
+
 def test_assignment_is_least():
-    from itertools import permutations
     rng = np.random.default_rng(1)
-    for _ in range(20):
-        cost = rng.random((4, 5))
-        got = cost[np.arange(4), scoring._assign(cost)].sum()
-        assert got == pytest.approx(min(cost[np.arange(4), list(p)].sum() for p in permutations(range(5), 4)))
+    for _ in range(300):
+        n, m = rng.integers(1, 6, 2)
+        edges = [(i, j, float(rng.integers(0, 9)) / 2) for i in range(n) for j in range(m) if rng.random() < 0.6]
+        if edges:
+            a, b, d = (np.array(x) for x in zip(*edges))
+            got = scoring.assign(a, b, d)
+            assert len(set(a[got])) == len(set(b[got])) == len(got)
+            assert (len(got), d[got].sum()) == pytest.approx(best_by_trying(n, edges))
+
+
+@pytest.mark.parametrize("limit", [500_000, 3])
+def test_matching_by_key_with_nulls_equals_trying(spark, limit):
+    rng = np.random.default_rng(3)
+    edges = [(k, int(i), int(j), float(rng.integers(1, 20))) for k in ("a", "b", None) for i in range(5) for j in range(5) if rng.random() < 0.45]
+    df = spark.createDataFrame(edges, "key string, truth_id int, found_id int, distance double")
+    got = {k: [] for k in ("a", "b", None)}
+    for r in scoring.match_edges(df, ["key"], limit).collect():
+        got[r["key"]].append(r["distance"])
+    for k, d in got.items():
+        assert (len(d), sum(d)) == best_by_trying(5, [e[1:] for e in edges if e[0] == k])
+    assert scoring.match_edges(df.limit(0), ["key"], limit).count() == 0
 
 
 def test_error_summary(spark):
