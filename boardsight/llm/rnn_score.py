@@ -8,9 +8,9 @@ of a gated recurrent network that has read the text so far. The state is carried
 window through the whole text, in training (where gradients stop at the window) and in scoring.
 
 Training is by shards: each task trains from the common weights on its own texts, and the means
-of all tasks' weights are the next common ones. All training texts are read: there are as many
-shards as the corpus fills, and each has its turn in one round, or in every round up to
-``AGAIN_TOKENS`` tokens, where one pass is too short to learn from.
+of all shards' weights are the next common ones. All training texts are read: there are as many
+shards as the corpus fills, the first makes a common start, and then each has its turn in one of
+the rounds, at every size of the corpus. Shards are written once and read by their number.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from boardsight.llm.common import appended, ascii_lower, small_batches, staged
@@ -33,7 +32,7 @@ WORDS, TAILS = 352, 160  # units: single words (the end among them), and shared
 UNITS = WORDS + TAILS
 CLASSES = 24
 HIDDEN = 32
-AGAIN_TOKENS, SHARD = 4_000_000, 400_000
+SHARD = 400_000  # tokens
 ROUNDS = 3  # the first, from one shard, makes a common start
 LANES, STEPS = 64, 16  # texts side by side and steps of a window, in training
 SCORE_LANES, SCORE_STEPS = 256, 32
@@ -271,11 +270,9 @@ def train(net: Network, texts: list[np.ndarray], rate: float) -> None:
             net.p[k] += scale * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-7)
 
 
-def in_round(turn: int, shard: int, again: bool) -> bool:
-    """Whether a shard has its turn: the first for a common start, then every one once, or with ``again`` in each round."""
-    if turn == 0:
-        return shard == 0
-    return again or shard % (ROUNDS - 1) == turn - 1
+def turn_of(shard):
+    """The round after the first in which a shard, a number or a column, has its turn."""
+    return 1 + shard % (ROUNDS - 1)
 
 
 def _add(rows: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,8 +290,8 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, list[int]]:
     """Weights of a network trained on all ``docs`` (text), by rounds of shards; and the tokens read in each round."""
     spark = docs.sparkSession
     shards = max(1, ceil(vocab.tokens / SHARD))
-    again = vocab.tokens <= AGAIN_TOKENS
-    dealt = staged(docs.select(F.col("text").cast("binary").alias("text")), "training").repartition(shards)
+    dealt = docs.select(F.col("text").cast("binary").alias("text")).repartition(shards)
+    dealt = staged(dealt.withColumn("shard", F.spark_partition_id()), "training")
     held = spark.sparkContext.broadcast(vocab)
     weights, read = Network(vocab.units).flat(), [0] * ROUNDS
 
@@ -302,19 +299,27 @@ def fit(docs: DataFrame, vocab: Vocabulary) -> tuple[np.ndarray, list[int]]:
         common = spark.sparkContext.broadcast(weights)
         rate = 0.01 / (1 + turn)
 
-        def run(frames: Iterable[pd.DataFrame], common=common, rate=rate, turn=turn) -> Iterator[pd.DataFrame]:
-            if not in_round(turn, TaskContext.get().partitionId(), again):
-                return
-            net, used = Network(held.value.units).load(common.value), 0
-            for frame in frames:
-                texts = [np.append(encode(t, held.value)[0], np.int16(END)) for t in frame["text"]]
-                train(net, texts, rate)
-                used += sum(map(len, texts))
-            if used:
-                yield pd.DataFrame({"w": [(net.flat().astype(np.float64) * used).tobytes()], "n": [float(used)]})
+        def run(frames: Iterable[pd.DataFrame], common=common, rate=rate) -> Iterator[pd.DataFrame]:
+            shard, net, used = None, None, 0
+
+            def done():
+                if used:
+                    yield pd.DataFrame({"w": [(net.flat().astype(np.float64) * used).tobytes()], "n": [float(used)]})
 
+            for frame in frames:
+                # A task may read the files of several shards, one after another.
+                for here, rows in frame.groupby("shard", sort=False):
+                    if here != shard:
+                        yield from done()
+                        shard, net, used = here, Network(held.value.units).load(common.value), 0
+                    texts = [np.append(encode(t, held.value)[0], np.int16(END)) for t in rows["text"]]
+                    train(net, texts, rate)
+                    used += sum(map(len, texts))
+            yield from done()
+
+        mine = dealt.filter(F.col("shard") == 0 if turn == 0 else turn_of(F.col("shard")) == turn)
         # A tree of sums: the driver gets about the square root of the shards.
-        sums = small_batches(dealt).mapInPandas(run, "w binary, n double").repartition(isqrt(shards)).mapInPandas(_add, "w binary, n double").toPandas()
+        sums = small_batches(mine).mapInPandas(run, "w binary, n double").repartition(isqrt(shards)).mapInPandas(_add, "w binary, n double").toPandas()
         for mean in _add([sums]):
             weights, read[turn] = (np.frombuffer(mean["w"][0], dtype=np.float64) / mean["n"][0]).astype(np.float32), int(mean["n"][0])
         common.unpersist()
