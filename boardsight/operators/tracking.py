@@ -290,7 +290,7 @@ def merge_displaced(tracks: DataFrame, keys: list[str], centre: tuple[float, flo
                .select(*keys, "_k", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"),
                        F.col("cand_id").alias("e_id"), F.col("first").alias("e_first"), F.col("seen").alias("e_seen"),
                        F.col("x").alias("ex"), F.col("y").alias("ey")))
-    met = later.join(earlier, [*keys, "_k", "_cx", "_cy"]).filter(
+    met = null_safe_join(later, earlier, [*keys, "_k", "_cx", "_cy"]).filter(
         (F.col("e_first") < F.col("first")) & ~F.arrays_overlap("seen", "e_seen")
         & (F.array_max("seen") <= F.array_max("e_seen"))
         & (F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) <= fraction * F.col("_reach")))

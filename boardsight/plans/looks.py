@@ -209,6 +209,19 @@ def _(t: Tables):
     return tk.merge_displaced(tracks, ["user_id"], (200.0, 5.0)).select("user_id", "cand_id", "into")
 
 
+BOARDS = """(SELECT CASE WHEN user_id % 5 <> 0 THEN CAST(user_id % 40 AS VARCHAR) END AS board, user_id || '-' || cand_id AS cand_id, first, seen, x, y FROM """ + MERGE + ")"
+
+
+@query("u9_merge_by_board", f"""SELECT l.board, l.cand_id, arg_min(e.cand_id, (e.first, e.cand_id)) AS "into" FROM {BOARDS} l LEFT JOIN {BOARDS} e ON e.board IS NOT DISTINCT FROM l.board AND e.first < l.first AND NOT list_has_any(e.seen, l.seen) AND list_max(l.seen) <= list_max(e.seen)
+  AND sqrt((l.x - e.x) ** 2 + (l.y - e.y) ** 2) <= 0.35 * sqrt((l.x - 200) ** 2 + (l.y - 5) ** 2) GROUP BY ALL""")
+def _(t: Tables):
+    tracks = v.looks(t).filter("status = 'registered'").groupBy("user_id", F.col("spot").cast("string").alias("spot")).agg(
+        F.min("frame").alias("first"), F.collect_set("frame").alias("seen"), F.avg("value").alias("x"), F.avg(F.col("value") % 13).alias("y"))
+    board = F.when(F.col("user_id") % 5 != 0, (F.col("user_id") % 40).cast("string")).alias("board")
+    tracks = tracks.select(board, F.concat_ws("-", "user_id", "spot").alias("cand_id"), "first", "seen", "x", "y")
+    return tk.merge_displaced(tracks, ["board"], (200.0, 5.0)).select("board", "cand_id", "into")
+
+
 @query("u2_keep_if_moved", """WITH RECURSIVE f AS (SELECT user_id, event_id, value % 9 AS x, value % 5 AS y, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i
   FROM (SELECT *, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM events) WHERE high IS NULL OR ts > high),
   r AS (SELECT user_id, event_id, i, x, y, true AS moved FROM f WHERE i = 1 UNION ALL

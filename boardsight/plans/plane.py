@@ -85,9 +85,9 @@ def _(t: Tables):
     return sp.marks_to_draw(v.marks(t), v.points(t), 20.0, ["label"]).select("mark_id")
 
 
-@query("j14_missed_on_mark", f"SELECT id, arg_min(mark_id, (d, mark_id)) AS mark_id FROM {PAIRS} WHERE id % 2 = 1 AND d <= 40 GROUP BY id")
+@query("j14_missed_on_mark", f"SELECT id, arg_min(mark_id, (d, mark_id)) AS mark_id FROM {PAIRS} WHERE d <= 40 GROUP BY id")
 def _(t: Tables):
-    return sp.missed_on_mark(v.points(t).filter("id % 2 = 1"), v.marks(t), 40.0, ["label"]).select("id", "mark_id")
+    return sp.missed_on_mark(v.points(t), v.marks(t), 40.0, ["label"]).select("id", "mark_id")
 
 
 @query("x16_cause", f"SELECT id AS found_id, CASE WHEN d <= 40 THEN 'displacement' WHEN d > 80 THEN 'detector' ELSE 'unknown' END AS cause FROM {STRIP} WHERE id % 3 <> 0")

@@ -11,6 +11,7 @@ from boardsight.operators import paging, series, tracking
 from boardsight.plans import views as v
 from boardsight.plans.registry import Tables, query
 from boardsight.sources import packets, signals
+from boardsight.streaming.runs import new_folder, replay
 
 A, B = "2024-01-05 00:00:00", "2024-01-20 00:00:00"
 HOUR = 3_600_000
@@ -38,6 +39,45 @@ def _(t: Tables):
     return kept.groupBy("range_id", "day").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 6).alias("total"))
 
 
+# Rows as the store keeps them; a NaN measure comes back as null.
+STORED = f"""SELECT {MOTION_KEY} AS id, epoch_us(ts) AS at_us, event_type IN ('click', 'view') AS is_cmd, event_type AS description, CAST(user_id % 4 AS INT) AS axis,
+  CASE WHEN event_type <> 'purchase' THEN value END AS value FROM events"""
+
+
+def _to_store(t: Tables):
+    return v.signals(t).drop("event_id").withColumns({"timestamp": F.col("timestamp").cast("timestamp"), "opCode": F.lit(None).cast("string")})
+
+
+def _from_store(t: Tables, path: str, **wanted):
+    rows = signals.read_signals(t.spark, path, "motion", renames={"isCmd": "is_cmd"}, **wanted)
+    return rows.select("id", F.unix_micros("timestamp").alias("at_us"), "is_cmd", "description", "axis", "value")
+
+
+@query("s1_store_read", f"{STORED} WHERE ts BETWEEN TIMESTAMP '{A}' AND TIMESTAMP '{B}'")
+def _(t: Tables):
+    path = new_folder(t.spark, "signals")
+    signals.write_rows(signals.stamp(_to_store(t), "motion"), path)
+    return _from_store(t, path, start=A, end=B)
+
+
+@query("s2_store_append", STORED)
+def _(t: Tables):
+    base = new_folder(t.spark, "appended")
+    stream = replay(_to_store(t), "timestamp", 2).filter("description IS NOT NULL")
+    signals.write_signals(stream, f"{base}/rows", f"{base}/state", "motion", trigger={"availableNow": True}).awaitTermination()
+    return _from_store(t, f"{base}/rows")
+
+
+@query("s3_store_archive", f"{STORED} WHERE event_type <> 'error'")
+def _(t: Tables):
+    path = new_folder(t.spark, "archive")
+    rows = signals.stamp(_to_store(t), "motion").drop("day")
+    signals.write_archive(rows.filter("description = 'click'"), path, "r1")
+    signals.write_archive(rows, path, "r2")
+    signals.write_archive(rows.filter("description <> 'error'"), path, "r1")  # the same session again: replaced
+    return _from_store(t, path, range_id="r1")
+
+
 @query("s4_drop_session", "SELECT event_type AS range_id, event_id FROM events WHERE event_type <> 'error'")
 def _(t: Tables):
     return signals.drop_session(t.events.withColumnRenamed("event_type", "range_id"), "error").select("range_id", "event_id")

@@ -54,12 +54,13 @@ def write_rows(df: DataFrame, path: str, mode: str = "append", by: tuple[str, ..
 
 
 def write_signals(stream: DataFrame, path: str, checkpoint: str, pipe: str,
-                  trigger: str = "1 second"):
-    """Append a stream of signals; the trigger is the batch age, the row
-    bound is the source's own rate option. Returns the running query."""
+                  trigger: str | dict = "1 second"):
+    """Append a stream of signals; the trigger is the batch age (or any
+    trigger by name), the row bound is the source's own rate option. Returns
+    the running query."""
     return (stamp(stream, pipe).writeStream.format("parquet").partitionBy("day")
             .option("path", path).option("checkpointLocation", checkpoint)
-            .trigger(processingTime=trigger).outputMode("append").start())
+            .trigger(**(trigger if isinstance(trigger, dict) else {"processingTime": trigger})).outputMode("append").start())
 
 
 def archive_session(df: DataFrame, range_id: str, ts: str = "timestamp") -> DataFrame:
