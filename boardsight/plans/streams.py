@@ -66,13 +66,23 @@ def _(t: Tables):
     return sent.filter("NOT late").select("key", "event_id", "client")
 
 
-@query("r6_reassemble_stream", """WITH s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 21600000000 AS INT) AS n FROM events)),
-  b AS (SELECT user_id, coalesce(g, 0) AS g, count(*) AS segments, min(ts) AS t0, max(ts) AS t1, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM s GROUP BY ALL)
-  SELECT user_id, segments, epoch_us(t0) AS started_us, digest FROM b WHERE epoch_us(t1) + 21600000000 <= (SELECT max(epoch_us(ts)) - 5000000 FROM events)""")
+@query("r5_metrics_changes", f"""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, event_type = 'view' AS view, value > 40 AS ok, event_id % 3 AS n FROM events WHERE event_type IN ('view', 'click') AND event_id % 3 > 0),
+  s AS (SELECT user_id, min(us) AS at_us FROM e GROUP BY user_id UNION ALL SELECT * FROM (SELECT s.user_id, (SELECT CASE WHEN min(us) < s.at_us + {6 * telemetry.HOUR * 1000} THEN s.at_us + {6 * telemetry.HOUR * 1000} ELSE min(us) END FROM e WHERE e.user_id = s.user_id AND us > s.at_us) AS at_us FROM s) WHERE at_us IS NOT NULL)
+  SELECT s.user_id::VARCHAR AS source, at_us, coalesce(sum(n) FILTER (view AND ok), 0)::BIGINT AS view_ok, coalesce(sum(n) FILTER (view AND NOT ok), 0)::BIGINT AS view_fail, coalesce(sum(n) FILTER (NOT view AND ok), 0)::BIGINT AS click_ok, coalesce(sum(n) FILTER (NOT view AND NOT ok), 0)::BIGINT AS click_fail
+  FROM s JOIN e ON e.user_id = s.user_id AND us <= at_us GROUP BY ALL""")
 def _(t: Tables):
-    rows = _events(t).select("user_id", "event_id", "props", F.col("ts").cast("timestamp").alias("timestamp"))
-    out = drain(feeds.reassemble_stream(rows, ["user_id"], "timestamp", "event_id", "props", "6 hours").drop("envelope"))
-    return out.select("user_id", "segments", F.unix_micros("started").alias("started_us"), F.md5("text").alias("digest"))
+    rows = t.events.select(F.col("user_id").cast("string").alias("source"), F.col("event_type").alias("stage"), (F.col("value") > 40).alias("ok"),
+                           (F.col("event_id") % 3).alias("n"), F.col("ts").cast("timestamp").alias("timestamp"))
+    sent = drain(feeds.metrics_changes(replay(rows, "timestamp", 3), ["view", "click"], interval_ms=6 * telemetry.HOUR))
+    return sent.filter("NOT late").drop("late")
+
+
+@query("r6_reassemble_stream", """WITH s AS (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT *, CAST(epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) >= 21600000000 AS INT) AS n FROM events))
+  SELECT user_id, count(*) AS segments, epoch_us(min(ts)) AS started_us, md5(string_agg(props, '' ORDER BY event_id)) AS digest FROM s GROUP BY user_id, coalesce(g, 0)""")
+def _(t: Tables):
+    rows = t.events.select("user_id", "event_id", "props", F.col("ts").cast("timestamp").alias("timestamp"))
+    out = drain(feeds.reassemble_on_time(replay(rows, "timestamp", 3), ["user_id"], "timestamp", "event_id", "props", 6 * 3600))
+    return out.filter("NOT late").select("user_id", "segments", F.unix_micros("started").alias("started_us"), F.md5("text").alias("digest"))
 
 
 @query("r7_idempotent_ingest", """SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS whole, min(event_id) AS event_id FROM events WHERE event_type <> 'error' GROUP BY ALL

@@ -131,6 +131,84 @@ def metrics_stream(events: DataFrame, stages: list[str]) -> DataFrame:
     return stage_counters(events, stages)
 
 
+def metrics_changes(events: DataFrame, stages: list[str], ts: str = "timestamp", interval_ms: int = 100, late: str = "1 minute") -> DataFrame:
+    """Snapshots of each source's counters as they change: one at once, then
+    what changes within ``interval_ms`` of the last together when that time is
+    over, and none while nothing changes. Columns as A10's, with ``at_us``."""
+    names = [f"{s}_{end}" for s in stages for end in ("ok", "fail")]
+    schema = T.StructType([events.schema["source"], T.StructField(AT, T.LongType()), *[T.StructField(n, T.LongType()) for n in names]])
+    wait = interval_ms * 1000
+    slim = events.select("source", ts, "stage", "ok", F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("n"))
+
+    def rows_of(source, sent: list) -> pd.DataFrame:
+        return pd.DataFrame([(source, at, *counts) for at, counts in sent], columns=schema.names)
+
+    def fold(state, rows: pd.DataFrame):
+        counts, last, changed = state or ([0] * len(names), None, False)
+        sent = []
+        for at, stage, ok, n in zip(rows[AT].tolist(), rows["stage"], rows["ok"], rows["n"].tolist()):
+            name = f"{stage}_{'ok' if ok else 'fail'}"
+            if changed and at >= last + wait:
+                last, changed = last + wait, False
+                sent.append((last, list(counts)))
+            if name in names and n:
+                counts[names.index(name)] += n
+                changed = True
+                if last is None or at >= last + wait:
+                    last, changed = at, False
+                    sent.append((at, list(counts)))
+        return rows_of(rows["source"].iloc[0], sent), [counts, last, changed]
+
+    def due(state):
+        return state[1] + wait if state and state[2] else None
+
+    def flush(key, state, passed):
+        at = due(state)
+        if at is None or at > passed:
+            return rows_of(key[0], []), state
+        return rows_of(key[0], [(at, state[0])]), [state[0], at, False]
+    return fold_on_time(slim, ["source"], ts, fold, schema, late=late, due=due, flush=flush)
+
+
+def reassemble_on_time(segments: DataFrame, keys: list[str], ts: str = "timestamp", seq: str = "seq", data: str = "payload",
+                       idle_s: float = 5, ends: str | None = None, late: str = "5 seconds") -> DataFrame:
+    """The text of each burst once the stream has been idle, or with
+    ``ends``, a pattern in a closing segment, of each message as it closes, so
+    that a busy stream keeps no more than one message. Segments are put in
+    order of their number; a repeated number counts once, the last sent."""
+    slim = segments.select(*keys, ts, F.col(seq).alias("seq"), F.hex(data).alias("part"), (F.col(data).cast("string").rlike(ends) if ends else F.lit(False)).alias("closes"))
+    fields = [T.StructField("started_us", T.LongType()), T.StructField("segments", T.LongType()), T.StructField("part", T.StringType())]
+    schema = T.StructType([segments.schema[k] for k in keys] + fields)
+    idle = int(idle_s * 1_000_000)
+
+    def rows_of(key, bursts: list) -> pd.DataFrame:
+        made = [(*key, first, len(held), "".join(held[k] for k in sorted(held, key=int))) for first, _, held in bursts]
+        return pd.DataFrame(made, columns=schema.names)
+
+    def fold(state, rows: pd.DataFrame):
+        done = []
+        for at, number, part, closes in zip(rows[AT].tolist(), rows["seq"].tolist(), rows["part"], rows["closes"]):
+            if state and at - state[1] >= idle:
+                done.append(state)
+                state = None
+            state = [state[0] if state else at, at, {**(state[2] if state else {}), str(number): part}]
+            if closes:
+                done.append(state)
+                state = None
+        return rows_of(rows[keys].iloc[0], done), state
+
+    def due(state):
+        return state[1] + idle if state else None
+
+    def flush(key, state, passed):
+        if not state or due(state) > passed:
+            return rows_of(key, []), state
+        return rows_of(key, [state]), None
+    out = fold_on_time(slim, keys, ts, fold, schema, ["seq"], late, due, flush)
+    text = F.unhex("part").cast("string")
+    return out.select(*keys, F.timestamp_micros("started_us").alias("started"), "segments", text.alias("text"), fn.x_envelope(text).alias("envelope"), "late")
+
+
 def reassemble_stream(segments: DataFrame, keys: list[str], ts: str = "timestamp", seq: str = "seq", data: str = "payload",
                       idle: str = "5 seconds", late: str = "5 seconds") -> DataFrame:
     """Text of each burst once the stream has been idle."""

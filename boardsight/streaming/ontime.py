@@ -23,10 +23,15 @@ AT = "at_us"  # event time in the state; the watermark's own column is left out,
 
 
 class OnTimeFold(StatefulProcessor):
-    """Buffers each key's rows as Arrow blocks in a list; a timer at the oldest of them folds what the watermark has passed."""
+    """Buffers each key's rows as Arrow blocks in a list; a timer at the oldest of them folds what the watermark has passed.
 
-    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType):
+    ``due(state)`` names a time at which the key has something to give out though no row comes; once the watermark is
+    there, ``flush(key, state, passed)`` gives it.
+    """
+
+    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType, due=None, flush=None):
         self.fold, self.columns, self.order, self.schema = fold, columns, [AT, *order], schema
+        self.due, self.flush = due, flush
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -61,21 +66,32 @@ class OnTimeFold(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         blocks = [unpack(b[0]) for b in self.held.get()] if self.held.exists() else []
-        if not blocks:
+        high, state = self._state()
+        wake = []
+        if blocks:
+            rows = pd.concat(blocks, ignore_index=True) if len(blocks) > 1 else blocks[0]
+            ready = rows[AT] <= passed
+            due, rest = rows[ready], rows[~ready]
+            self.held.clear()
+            if len(rest):
+                self.held.appendValue((pack(rest),))
+                wake.append(rest[AT].min())
+            if len(due):
+                out, state = self.fold(state, due.sort_values(self.order, ignore_index=True))
+                high = int(due[AT].max())
+                if len(out):
+                    yield self._out(out, False)
+        if high is None:
             return
-        rows = pd.concat(blocks, ignore_index=True) if len(blocks) > 1 else blocks[0]
-        ready = rows[AT] <= passed
-        due, rest = rows[ready], rows[~ready]
-        self.held.clear()
-        if len(rest):
-            self.held.appendValue((pack(rest),))
-            self.handle.registerTimer(int(-(-rest[AT].min() // 1000)))
-        if len(due):
-            _, state = self._state()
-            out, state = self.fold(state, due.sort_values(self.order, ignore_index=True))
-            self.state.update((json.dumps([int(due[AT].max()), state]),))
+        if self.flush is not None:
+            out, state = self.flush(key, state, passed)
             if len(out):
                 yield self._out(out, False)
+            if (at := self.due(state)) is not None:
+                wake.append(at)
+        self.state.update((json.dumps([high, state]),))
+        if wake:
+            self.handle.registerTimer(int(-(-min(wake) // 1000)))
 
     def _out(self, rows: pd.DataFrame, late: bool) -> pd.DataFrame:
         rows = rows.assign(late=late)
@@ -97,18 +113,20 @@ def unpack(block: bytes) -> pd.DataFrame:
     return pa.ipc.open_stream(block).read_all().to_pandas()
 
 
-def fold_on_time(stream: DataFrame, keys: list[str], ts: str, fold, schema: T.StructType, order: list[str] = (), late: str = "1 minute") -> DataFrame:
+def fold_on_time(stream: DataFrame, keys: list[str], ts: str, fold, schema: T.StructType, order: list[str] = (), late: str = "1 minute",
+                 due=None, flush=None) -> DataFrame:
     """``fold(state, rows)`` over each key's rows in order of ``ts``, then ``order``, as the watermark passes them.
 
     ``fold`` gets rows with ``at_us`` for ``ts`` and gives rows of ``schema`` and the next state, which JSON must hold.
     The output has ``late`` besides; late rows carry those of their columns that ``schema`` has. Rows with a null first
-    key only move the watermark on. ``late`` is how far behind the newest row others may come.
+    key only move the watermark on. ``late`` is how far behind the newest row others may come. ``due`` and ``flush`` are
+    for what a key gives out when no row comes (see ``OnTimeFold``).
     """
     use_state_store(stream.sparkSession)
     rows = stream.withWatermark(ts, late).withColumn(AT, F.unix_micros(ts)).drop(ts)
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("late", T.BooleanType())])
     return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=OnTimeFold(fold, rows.columns, list(order), out), outputStructType=out, outputMode="append", timeMode="EventTime")
+        statefulProcessor=OnTimeFold(fold, rows.columns, list(order), out, due, flush), outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
 def write_on_time(folded: DataFrame, sink: str, late_sink: str, checkpoint: str, trigger: dict | None = None):
