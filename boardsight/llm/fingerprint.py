@@ -1,10 +1,10 @@
 """Document fingerprints: a homomorphic hash of the multiset of a text's paragraphs.
 
 Each paragraph (a line with something on it, trimmed) has a vector of ``LANES`` numbers, and a
-text's fingerprint is their sum modulo 2^16: the order of paragraphs does not count, and one is
+text's fingerprint is their sum modulo 2^32: the order of paragraphs does not count, and one is
 inserted or deleted by adding or subtracting its vector. The first lanes hold a cryptographic
 digest of the paragraph and decide equality; the others count its shingles of three words, each
-as +1 or -1 in one lane, so that the distance of two fingerprints tells how much the texts share.
+as +1 or -1 in one lane (which no text that fits a row can fill), so that the distance of two fingerprints tells how much the texts share.
 """
 
 from __future__ import annotations
@@ -35,15 +35,15 @@ def fingerprint(text: str | None) -> np.ndarray:
             equal += np.frombuffer(hashlib.blake2b(line, digest_size=2 * EQUAL).digest(), dtype="<u2")
             words += line.split()
             words += (b"", b"")  # so that shingles end with the paragraph
-    out = np.zeros(LANES, dtype=np.uint16)
-    out[:EQUAL] = equal & 0xFFFF
+    out = np.zeros(LANES, dtype=np.uint32)
+    out[:EQUAL] = equal & 0xFFFFFFFF
     if words:
         h = np.fromiter(map(crc32, words), dtype=np.uint64, count=len(words))
         s = h[:-2] * MIX[0] + h[1:-1] * MIX[1] + h[2:] * MIX[2]
         s = s[h[:-2] != 0]
         s = (s ^ (s >> np.uint64(29))) * MIX[3]
         sign = np.where(s >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
-        out[EQUAL:] = np.bincount((s >> np.uint64(56)).astype(np.int64), sign, LIKE).astype(np.int64) & 0xFFFF
+        out[EQUAL:] = np.bincount((s >> np.uint64(56)).astype(np.int64), sign, LIKE).astype(np.int64) & 0xFFFFFFFF
     return out
 
 
@@ -59,13 +59,13 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """1 for equal fingerprints; else the estimated share of common shingles (twice the common over the sum), 0 to 1."""
     if (a == b).all():
         return 1.0
-    x, y, d = (v[EQUAL:].view(np.int16).astype(np.float64) for v in (a, b, a - b))
+    x, y, d = (v[EQUAL:].view(np.int32).astype(np.float64) for v in (a, b, a - b))
     both = x @ x + y @ y
     return min(1.0, max(0.0, 1.0 - d @ d / both)) if both else 0.0
 
 
 def encode(vector: np.ndarray) -> str:
-    return b64encode(vector.astype("<u2").tobytes()).decode()
+    return b64encode(vector.astype("<u4").tobytes()).decode()
 
 
 def edited(text: str, following: str) -> tuple[str, int]:

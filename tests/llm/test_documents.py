@@ -125,8 +125,8 @@ def check_fingerprints(rows, got):
         new = t[:len(t) - len(t) // 4] + following[:len(t) // 4]
         mine, theirs, its = map(fingerprint.fingerprint, (t, new, following))
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(new.encode()).hexdigest()
-        assert np.array_equal(np.frombuffer(base64.b64decode(r["fingerprint"]), "<u2"), mine)
-        assert np.array_equal(np.frombuffer(base64.b64decode(r["edited_fingerprint"]), "<u2"), theirs)
+        assert np.array_equal(np.frombuffer(base64.b64decode(r["fingerprint"]), "<u4"), mine)
+        assert np.array_equal(np.frombuffer(base64.b64decode(r["edited_fingerprint"]), "<u4"), theirs)
         assert (r["near_edited"], r["near_next"]) == (fingerprint.likeness(mine, theirs), fingerprint.likeness(mine, its))
 
 
@@ -333,3 +333,12 @@ def test_pipeline_of_no_rows_and_odd_rows(spark, odd_docs, no_docs):
         for _, stage in corpus_pipeline.STAGES:
             docs = staged(stage(spark, docs, SMALL), "test")
         assert {"doc_id", "text", "mix_slot", "score", "places"} <= set(docs.columns)
+
+
+@pytest.mark.parametrize("n", [40_000, 65_536, 70_000])
+def test_likeness_of_long_repetitive_texts(n):
+    text = "a b c " * n
+    more = text + "and three more"
+    assert fingerprint.likeness(fingerprint.fingerprint(text), fingerprint.fingerprint(more)) > 0.999
+    new, _ = fingerprint.edited(text, "x y z " * n)
+    assert 0.7 < fingerprint.likeness(fingerprint.fingerprint(text), fingerprint.fingerprint(new)) < 0.99
