@@ -181,3 +181,10 @@ def test_keep_in_order_drops_only_against_kept(spark):
     rows = spark.createDataFrame([(i,) for i in range(4)], "id int")
     chain = spark.createDataFrame([(0, 1), (1, 2), (2, 3)], "a int, b int")
     assert sorted(r.id for r in quality.keep_in_order(rows, chain, [], "id").collect()) == [0, 2]
+
+
+def test_displaced_tracks_fold_on_a_null_board_too(spark):
+    rows = [(b, c, first, seen, x, 0.0) for b in ("A", None) for c, first, seen, x in (("c1", 1, [1, 5], 10.0), ("c2", 2, [2], 10.5))]
+    tracks = spark.createDataFrame(rows, "board string, cand_id string, first int, seen array<int>, x double, y double")
+    got = {(r["board"], r["cand_id"]): r["into"] for r in tracking.merge_displaced(tracks, ["board"], (0.0, 0.0)).collect()}
+    assert got == {("A", "c1"): None, ("A", "c2"): "c1", (None, "c1"): None, (None, "c2"): "c1"}

@@ -172,6 +172,25 @@ def test_metrics_stream(feed):
     assert [(r.parse_ok, r.parse_fail) for r in got] == [(4, 2)]
 
 
+def test_metrics_are_sent_only_as_they_change(spark):
+    rows = [("m", "parse", True, 1, at(0)), ("m", "parse", True, 1, at(0.02)), ("m", "parse", False, 1, at(0.05)), ("m", "other", True, 1, at(0.5)),
+            ("m", "parse", True, 0, at(0.6)), ("m", "parse", True, 2, at(1)), ("m", "parse", True, 1, at(1.01))]
+    batch = spark.createDataFrame(rows, "source string, stage string, ok boolean, n long, timestamp timestamp")
+    for files, back in ((1, False), (3, True)):
+        out = drain(feeds.metrics_changes(replay(batch, "timestamp", files, back), ["parse"], late="1 hour")).orderBy("at_us").collect()
+        zero = out[0].at_us
+        assert [((r.at_us - zero) // 1000, r.parse_ok, r.parse_fail) for r in out] == [(0, 1, 0), (100, 2, 1), (1000, 4, 1), (1100, 5, 1)]
+
+
+def test_busy_streams_are_put_together_message_by_message(spark):
+    rows = [("x", 2, at(0.5), "b</e>"), ("x", 1, at(0), "a"), ("x", 1, at(0.2), "A"), ("x", 3, at(1), "c"), ("x", 4, at(9), "d"), ("x", 5, at(10), "e</e>"), ("y", 1, at(0), "last")]
+    batch = spark.createDataFrame(rows, "conn string, seq long, timestamp timestamp, payload string")
+    for files, back in ((1, False), (3, True)):
+        by = {ends: drain(feeds.reassemble_on_time(replay(batch, "timestamp", files, back), ["conn"], ends=ends, late="1 hour")).collect() for ends in (None, "</e>")}
+        assert sorted((r.conn, r.segments, r.text) for r in by[None]) == [("x", 2, "de</e>"), ("x", 3, "Ab</e>c"), ("y", 1, "last")]
+        assert sorted((r.conn, r.segments, r.text) for r in by["</e>"]) == [("x", 1, "c"), ("x", 2, "Ab</e>"), ("x", 2, "de</e>"), ("y", 1, "last")]
+
+
 def test_reassemble_stream_equals_batch(feed):
     whole = "<s:Envelope><a/></s:Envelope>"
     rows = [("x", 2, at(0.5), whole[10:]), ("x", 1, at(0), whole[:10]), ("x", 9, at(60), "late"), ("x", 10, at(120), "later")]
