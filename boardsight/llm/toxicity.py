@@ -42,15 +42,16 @@ class Lexicon:
         self.stems = {t: w for t, stem, w in terms if stem}
         self.starts = {t[:STEM[0]] for t in self.stems}
         self.trie: dict = {}
+        self.mirror: dict = {}  # the terms from behind
         # Of three parts of a term one edit leaves two as they are: what a word then starts and ends with, by the term's length.
         kept: dict[int, dict[tuple[int, int], set[str]]] = defaultdict(lambda: defaultdict(set))
         for term, weight in self.words.items():
             k = len(term)
             if k >= FUZZY_LENGTH:
-                node = self.trie
-                for ch in term:
-                    node = node.setdefault(ch, {})
-                node[""] = weight
+                for node, letters in ((self.trie, term), (self.mirror, term[::-1])):
+                    for ch in letters:
+                        node = node.setdefault(ch, {})
+                    node[""] = weight
                 third = k // 3
                 for start, end in ((k - third, 0), (0, k - third), (third, third)):
                     kept[k][start, end].add(f"{term[:start]}|{term[k - end:]}")
@@ -77,23 +78,29 @@ class Lexicon:
             exact += [self.stems[word[:k]] for k in range(STEM[0], min(STEM[1], len(word)) + 1) if word[:k] in self.stems]
         if exact:
             return True, max(exact)
+        weight = 0.0
         for start, end, parts in self.near.get(len(word), ()):
             if f"{word[:start]}|{word[end:]}" in parts:
-                weight = self._walk(self.trie, word)
-                return (False, weight) if weight else None
-        return None
+                found = self._walk(self.trie, word, start) if start else self._walk(self.mirror, word[::-1], len(word) - end)
+                weight = max(weight, found)
+        return (False, weight) if weight else None
 
-    def _walk(self, trie: dict, word: str) -> float:
-        """The heaviest term within one edit of ``word``.
+    def _walk(self, trie: dict, word: str, known: int) -> float:
+        """The heaviest term within one edit of ``word`` that shares its first ``known`` letters.
 
         A state of the word's Levenshtein automaton is two sets of positions, as bits: those
-        reached without an edit and with one. Branches whose state is empty are left.
+        reached without an edit and with one. Branches whose state is empty are left. Letters in
+        common at the start need no edit, so the walk sets out behind them.
         """
+        for ch in word[:known]:
+            trie = trie.get(ch)
+            if trie is None:
+                return 0.0
         whole, end = (2 << len(word)) - 1, 1 << len(word)
         at: dict[str, int] = {}
         for k, ch in enumerate(word):
             at[ch] = at.get(ch, 0) | 1 << k
-        best, todo = 0.0, [(trie, 1, 2)]
+        best, todo = 0.0, [(trie, 1 << known, 2 << known)]
         while todo:
             node, free, spent = todo.pop()
             if (free | spent) & end and node.get("", 0.0) > best:
