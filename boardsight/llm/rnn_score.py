@@ -34,7 +34,7 @@ CLASSES = 24
 HIDDEN = 32
 SHARD = 400_000  # tokens
 ROUNDS = 3  # the first, from one shard, makes a common start
-LANES, STEPS = 64, 16  # texts side by side and steps of a window, in training
+LANES, STEPS = 96, 16  # texts side by side and steps of a window, in training
 SCORE_LANES, SCORE_STEPS = 256, 32
 BLANKS = r"[\x20\x09-\x0D]+"
 END = 0
@@ -106,8 +106,26 @@ def encode(text: bytes | None, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return units, at[known], rest
 
 
+def softmax(a: np.ndarray, targets: np.ndarray, every: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log probability of each column's target among its rows ``a``, which are used up, and with ``slope`` its gradient by ``a``."""
+    a -= a.max(axis=0)
+    got = a[targets, every]
+    np.exp(a, out=a)
+    total = a.sum(axis=0)
+    got -= np.log(total)
+    if not slope:
+        return got, None
+    a /= -total
+    a[targets, every] += 1
+    return got, a
+
+
 class Network:
-    """A gated recurrent network with a factored output, and its gradients."""
+    """A gated recurrent network with a factored output, and its gradients.
+
+    Inside, arrays have a row a feature and a column a lane or token, so gates and classes are
+    contiguous rows and sums over them run along columns. Output units are in order of class.
+    """
 
     def __init__(self, units: np.ndarray):
         """``units``: counts of the units, for classes of about equal mass and for the first biases."""
@@ -115,16 +133,17 @@ class Network:
         share = np.cumsum(np.sqrt(units[order])) / np.sqrt(units).sum()
         self.klass = np.empty(UNITS, dtype=np.int64)
         self.klass[order] = np.minimum((share * CLASSES).astype(np.int64), CLASSES - 1)
-        self.members = [np.flatnonzero(self.klass == k) for k in range(CLASSES)]
+        sizes = np.bincount(self.klass, minlength=CLASSES)
+        self.ends = np.cumsum(sizes)  # of the classes, among the output units
+        by_class = np.argsort(self.klass, kind="stable")
         self.place = np.empty(UNITS, dtype=np.int64)  # of each unit in its class
-        for m in self.members:
-            self.place[m] = np.arange(len(m))
-        mass = np.array([max(units[m].sum(), 1e-3) for m in self.members])
+        self.place[by_class] = np.arange(UNITS) - np.repeat(self.ends - sizes, sizes)
+        mass = np.maximum(np.bincount(self.klass, units, CLASSES), 1e-3)
         rng = np.random.default_rng(5)
         self.p = {
-            "x": rng.normal(0, 0.1, (UNITS, 3 * HIDDEN)), "h": rng.normal(0, 1 / np.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)),
-            "c": rng.normal(0, 0.05, (HIDDEN, CLASSES)), "cb": np.log(mass / mass.sum()),
-            "m": rng.normal(0, 0.05, (HIDDEN, UNITS)), "mb": np.log(units / mass[self.klass]),
+            "x": rng.normal(0, 0.1, (UNITS, 3 * HIDDEN)), "h": rng.normal(0, 1 / np.sqrt(HIDDEN), (3 * HIDDEN, HIDDEN)),
+            "c": rng.normal(0, 0.05, (CLASSES, HIDDEN)), "cb": np.log(mass / mass.sum()),
+            "m": rng.normal(0, 0.05, (UNITS, HIDDEN)), "mb": np.log(units / mass[self.klass])[by_class],
         }
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
@@ -141,58 +160,54 @@ class Network:
     def read(self, inputs: np.ndarray, starts: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after each step (steps, lanes, HIDDEN); ``starts`` marks where a text begins and the state is cleared."""
         w, n = self.p["h"], HIDDEN
-        out = np.empty((*inputs.shape, n), dtype=np.float32)
-        for t in range(len(inputs)):
-            h = h * ~starts[t][:, None]
-            gx, gh = self.p["x"][inputs[t]], h @ w
-            zr = 1 / (1 + np.exp(-(gx[:, :2 * n] + gh[:, :2 * n])))
-            z, r = zr[:, :n], zr[:, n:]
-            c = np.tanh(gx[:, 2 * n:] + r * gh[:, 2 * n:])
+        gx = np.ascontiguousarray(self.p["x"][inputs].transpose(0, 2, 1))
+        out = np.empty((len(inputs), n, inputs.shape[1]), dtype=np.float32)
+        h = np.ascontiguousarray(h.T)
+        for t, go_on in enumerate(~starts):
+            h = h * go_on
+            gh = w @ h
+            zr = np.tanh(0.5 * (gx[t, :2 * n] + gh[:2 * n]))
+            zr += 1
+            zr *= 0.5
+            z, r = zr[:n], zr[n:]
+            c = np.tanh(gx[t, 2 * n:] + r * gh[2 * n:])
             if keep is not None:
-                keep.append((h, z, r, c, gh[:, 2 * n:]))
+                keep.append((h, z, r, c, gh[2 * n:]))
             h = c + z * (h - c)
             out[t] = h
-        return out
+        return out.transpose(0, 2, 1)
 
     def log_probability(self, h: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural logarithm of each target unit's probability; with ``grads``, those of the sum are added there and that by ``h`` returned."""
         k = self.klass[targets]
         order = np.argsort(k, kind="stable")
         ends = np.cumsum(np.bincount(k, minlength=CLASSES))
-        h, k, place = h[order], k[order], self.place[targets[order]]  # classes side by side, until the end
-        rows = np.arange(len(targets))
-        a = h @ self.p["c"] + self.p["cb"]
-        a -= a.max(axis=1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(axis=1)
-        got = a[rows, k] - np.log(total)
+        k, place = k[order], self.place[targets[order]]  # classes side by side, until the end
+        rows = h[order]
+        h, every = np.ascontiguousarray(rows.T), np.arange(len(targets))
+        got, d = softmax(self.p["c"] @ h + self.p["cb"][:, None], k, every, grads is not None)
         dh = None
         if grads is not None:
-            d = e / -total[:, None]
-            d[rows, k] += 1
-            grads["c"] += h.T @ d
-            grads["cb"] += d.sum(axis=0)
-            dh = d @ self.p["c"].T
-        for c, members in enumerate(self.members):
-            at = slice(ends[c - 1] if c else 0, ends[c])
-            if at.start < at.stop and len(members) > 1:
-                here, w = h[at], self.p["m"][:, members]
-                a = here @ w + self.p["mb"][members]
-                a -= a.max(axis=1, keepdims=True)
-                e = np.exp(a)
-                total, own = e.sum(axis=1), rows[:len(here)]
-                got[at] += a[own, place[at]] - np.log(total)
+            grads["c"] += d @ rows
+            grads["cb"] += d.sum(axis=1)
+            dh = self.p["c"].T @ d
+        for c in np.unique(k):
+            at, own = slice(ends[c - 1] if c else 0, ends[c]), slice(self.ends[c - 1] if c else 0, self.ends[c])
+            if own.stop - own.start > 1:
+                w = self.p["m"][own]
+                inner, d = softmax(w @ h[:, at] + self.p["mb"][own, None], place[at], every[:at.stop - at.start], grads is not None)
+                got[at] += inner
                 if grads is not None:
-                    d = e / -total[:, None]
-                    d[own, place[at]] += 1
-                    grads["m"][:, members] += here.T @ d
-                    grads["mb"][members] += d.sum(axis=0)
-                    dh[at] += d @ w.T
+                    grads["m"][own] += d @ rows[at]
+                    grads["mb"][own] += d.sum(axis=1)
+                    dh[:, at] += w.T @ d
         out = np.empty_like(got)
         out[order] = got
-        if dh is not None:
-            dh[order] = dh.copy()
-        return out, dh
+        if dh is None:
+            return out, None
+        back = np.empty_like(rows)
+        back[order] = dh.T
+        return out, back
 
     def train_window(self, inputs: np.ndarray, starts: np.ndarray, targets: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Gradients of the mean log probability over a window, and the state after it; targets under 0 do not count."""
@@ -201,25 +216,28 @@ class Network:
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         live = targets >= 0
         _, d = self.log_probability(states[live], targets[live], grads)
-        dout = np.zeros_like(states)
+        dout = np.zeros(states.shape, dtype=d.dtype)
         dout[live] = d
-        n, w = HIDDEN, self.p["h"]
-        carry = np.zeros_like(h)
-        dx, dw = np.empty((2, *inputs.shape, 3 * n), dtype=dout.dtype)
+        dout = np.ascontiguousarray(dout.transpose(0, 2, 1))
+        n, w = HIDDEN, np.ascontiguousarray(self.p["h"].T)
+        carry = np.zeros(dout.shape[1:], dtype=dout.dtype)
+        dx = np.empty((len(inputs), 3 * n, inputs.shape[1]), dtype=dout.dtype)
         for t in range(len(inputs) - 1, -1, -1):
             before, z, r, c, ghc = keep[t]
             g = dout[t] + carry
-            dc = g * (1 - z) * (1 - c * c)
-            dz = g * (before - c) * z * (1 - z)
-            dr = dc * ghc * r * (1 - r)
-            dx[t, :, :n], dx[t, :, n:2 * n], dx[t, :, 2 * n:] = dz, dr, dc
-            dw[t, :, :2 * n], dw[t, :, 2 * n:] = dx[t, :, :2 * n], dc * r
-            carry = (g * z + dw[t] @ w.T) * ~starts[t][:, None]
-        grads["h"] += np.concatenate([x[0] for x in keep]).T @ dw.reshape(-1, 3 * n)
+            gz = g * z
+            dc = (g - gz) * (1 - c * c)
+            dr = dc * r
+            dx[t, :n] = gz * (before - c) * (1 - z)
+            dx[t, n:2 * n] = dr * ghc * (1 - r)
+            dx[t, 2 * n:] = dr  # by the state's part of the candidate, for now
+            grads["h"] += dx[t] @ before.T
+            carry = (gz + w @ dx[t]) * ~starts[t]
+            dx[t, 2 * n:] = dc
         order = np.argsort(inputs, axis=None, kind="stable")
         units = inputs.ravel()[order]
         first = np.flatnonzero(np.append(True, units[1:] != units[:-1]))
-        grads["x"][units[first]] += np.add.reduceat(dx.reshape(-1, 3 * n)[order], first)
+        grads["x"][units[first]] += np.add.reduceat(dx.transpose(0, 2, 1).reshape(-1, 3 * n)[order], first)
         size = max(1, int(live.sum()))
         return {k: v / size for k, v in grads.items()}, states[-1]
 
