@@ -27,7 +27,7 @@ BORDER = -1e4  # weight of the tags that the labels themselves are made of
 LIGHT = -0.01  # the least a tag costs
 NAMED = -20.0  # weight of the tags of an element that is named as something else, but kept
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>?""", re.DOTALL)
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*"[^"]*"|=\s*'[^']*'|=)*)>?""", re.DOTALL)  # a quote opens a value only after "="
 ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?|"[^"]*"|'[^']*'""")
 
 # Fixed lists of element names, from the HTML standard.

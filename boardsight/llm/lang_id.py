@@ -83,17 +83,19 @@ def bundles(texts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _sum_profiles(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One bundle a language and task."""
+    """One bundle a language and task: ``DIM`` whole numbers, so that no order of adding changes them."""
     totals: dict[str, np.ndarray] = {}
+    counts = np.zeros(SYMBOLS**3)
     for frame in frames:
-        for lang, text in zip(frame["lang"], frame["text"], strict=True):
-            ids, n = trigrams(text)
-            if lang not in totals:
-                totals[lang] = np.zeros(SYMBOLS**3, dtype=np.float32 if len(totals) > 64 else np.float64)
-            totals[lang][ids] += n
-    for lang, counts in totals.items():
-        ids = np.flatnonzero(counts)
-        yield pd.DataFrame({"lang": [lang], "profile": [bundle(ids, counts[ids])]})
+        for lang, texts in frame.groupby("lang", sort=False)["text"]:
+            for text in texts:
+                ids, n = trigrams(text)
+                counts[ids] += n
+            ids = np.flatnonzero(counts)
+            totals[lang] = totals.get(lang, 0) + bundle(ids, counts[ids])
+            counts[ids] = 0
+    for lang, total in totals.items():
+        yield pd.DataFrame({"lang": [lang], "profile": [total]})
 
 
 def learn_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:

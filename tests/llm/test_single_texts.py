@@ -40,6 +40,8 @@ def test_region_has_the_greatest_sum():
     ("<article><p>a<script>if (a<b) x('</p>')</script>b</p><style>p{}</style><!-- no --><p>c&nbsp;&lt;d&gt;</article>", "ab c <d>"),
     ("<body><nav>never closed<article><p>real words here</p></article>", "real words here"),
     ("<article><header>by line</header><p>kept</p><aside>side</aside><p>also</p></article>", "kept also"),
+    ("<main><p class=x'>Hello world this is a text.</p><p>it's fine and goes on</p></main>", "Hello world this is a text. it's fine and goes on"),
+    ("<article><p title=\"a > b\" '>one <a href = 'x>y'>two</a> <i \"=>three</i></p><p class=\"never closed>four</article>", "one two three four"),
     ("", ""), (None, ""), ("<", "<"), ("<p", ""), ("plain words", "plain words"), ("<article><p>unclosed", "unclosed"),
 ])
 def test_main_text(page, text):
@@ -174,6 +176,13 @@ def test_held_out_languages(spark):
     assert n > 100 and right / n > 0.97
 
 
+def test_profiles_are_the_same_in_one_task_or_many(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumn("lang", F.concat("lang", F.lit("-"), (F.col("doc_id") % 40).cast("string")))
+    names, one = lang_id.learn_profiles(docs.coalesce(1))
+    again, many = lang_id.learn_profiles(docs.repartition(7))
+    assert len(names) > 64 and names == again and np.array_equal(one, many)
+
+
 def test_languages_of_odd_rows(odd_docs, no_docs):
     profiles = lang_id.learn_profiles(odd_docs)
     assert profiles[0] == ["de", "en", "fr"]
