@@ -108,10 +108,11 @@ sched(t, given, pick) AS (
   FROM sched, LATERAL (SELECT wt.i AS i FROM wt WHERE given[wt.i] < q AND (given[wt.i] * period) // q <= t + 1 ORDER BY ((given[wt.i] + 1) * period + q - 1) // q, wt.i LIMIT 1) c
   WHERE t + 1 < (SELECT max(period) FROM wt)),
 turns AS (SELECT pick AS i, row_number() OVER (PARTITION BY pick ORDER BY t) - 1 AS k, t AS place FROM sched WHERE t >= 0),
-dry AS (SELECT min((n // {mixing.BLOCK_ROWS}) // q * period + place) AS dry FROM wt JOIN turns ON turns.i = wt.i AND k = (n // {mixing.BLOCK_ROWS}) % q),
-ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || left(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 15) AS BIGINT), doc_id) - 1 AS r FROM documents),
-placed AS (SELECT doc_id, ranked.source, r // {mixing.BLOCK_ROWS} AS mix_block, CAST(r % {mixing.BLOCK_ROWS} AS INT) AS mix_row, q, period, i FROM ranked JOIN wt ON ranked.source IS NOT DISTINCT FROM wt.source)
-SELECT doc_id, source, mix_block, CAST(mix_block // q * period + place AS BIGINT) AS mix_slot, mix_row, mix_block // q * period + place < dry AS in_mix
+ends AS (SELECT q, period, (n // {mixing.BLOCK_ROWS}) // q * period + place AS d FROM wt JOIN turns ON turns.i = wt.i AND k = (n // {mixing.BLOCK_ROWS}) % q),
+dry AS (SELECT coalesce(min(d) FILTER (WHERE 100 * gone > {mixing.ENDED_PERCENT} * period), max(d)) AS dry FROM (SELECT d, period, sum(q) OVER (ORDER BY d) AS gone FROM ends)),
+ranked AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY CAST('0x' || left(md5('7:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')), 15) AS BIGINT), doc_id) - 1 AS r FROM documents),
+placed AS (SELECT doc_id, ranked.source, r // {mixing.BLOCK_ROWS} AS mix_block, CAST(r % {mixing.BLOCK_ROWS} AS INT) AS mix_row, q, n, period, i FROM ranked JOIN wt ON ranked.source IS NOT DISTINCT FROM wt.source)
+SELECT doc_id, source, mix_block, CAST(mix_block // q * period + place AS BIGINT) AS mix_slot, mix_row, mix_block // q * period + place < dry AND mix_block < n // {mixing.BLOCK_ROWS} AS in_mix
 FROM placed JOIN turns ON turns.i = placed.i AND k = mix_block % q, dry"""
 
 

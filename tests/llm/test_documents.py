@@ -209,6 +209,21 @@ def test_mix_holds_every_row_once_in_even_blocks(spark):
     assert [(r["doc_id"], r["mix_slot"], r["mix_row"]) for r in sorted(got, key=repr)] == [(r["doc_id"], r["mix_slot"], r["mix_row"]) for r in sorted(mixing.mix(docs, stretch_rows=5000).collect(), key=repr)]
 
 
+def test_a_short_source_ends_alone(spark):
+    rows = [(i, f"t{i}", "a" if i % 2 else "b") for i in range(8000)]
+    for more in ([], [(-1, "x", "c"), (-2, "y", "c"), (None, None, None)]):
+        got = mixing.mix(frame(spark, rows + more, "doc_id long, text string, source string")).filter("source IN ('a', 'b')").agg(F.count_if("in_mix")).first()[0]
+        assert got >= 7900
+
+
+def test_rows_of_one_id_are_spread(spark):
+    docs = frame(spark, [(None, f"t{i}", "a") for i in range(1000)], "doc_id long, text string, source string")
+    got = mixing.mix(docs, stretch_rows=50).collect()
+    assert sorted((r["mix_slot"], r["mix_row"]) for r in got) == [(i // 16, i % 16) for i in range(1000)]
+    by_place = [r["text"] for r in sorted(got, key=lambda r: (r["mix_slot"], r["mix_row"]))]
+    assert by_place == sorted(by_place, key=lambda t: hashlib.md5(f"7:null:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest())
+
+
 def test_target_weights_fill_the_period(spark):
     for n in (1, 5, 1200):
         got = mixing.target_weights(spark.range(n).select(F.col("id").cast("string").alias("source"), (F.col("id") * F.col("id") + 1).alias("n"))).collect()
