@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 
 import numpy as np
 import pandas as pd
@@ -274,10 +275,14 @@ def merge_displaced(tracks: DataFrame, keys: list[str], centre: tuple[float, flo
     """Each track (``cand_id``, first, seen, x, y) with the earlier track it
     folds into (``into``, null if it stands): never seen together, not seen
     after it, and no farther from it than ``fraction`` of its own distance from
-    the centre. Tracks meet on cells scaled to that distance."""
+    the centre. Tracks meet on cells scaled to that distance, but for the least
+    distances: cell numbers stay under 2 ** 40, and a wider cell finds all the same."""
     cx, cy = centre
+    tracks = cut(tracks)  # read several times below
     t = tracks.withColumn("_reach", F.hypot(F.col("x") - cx, F.col("y") - cy))
-    level = F.when(F.col("_reach") > 0, F.ceil(F.log2("_reach"))).otherwise(F.lit(-60)).cast("int")
+    far = t.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
+    least = math.ceil(math.log2(far / fraction)) - 40 if fraction > 0 and 0 < far < math.inf else -40
+    level = F.when(F.col("_reach") > 0, F.greatest(F.ceil(F.log2("_reach")), F.lit(least))).otherwise(F.lit(least)).cast("int")
     t = t.withColumn("_k", level)
     levels = sorted(r["_k"] for r in t.select("_k").distinct().collect())  # powers of two of a distance: tens at most
     size = F.pow(F.lit(2.0), F.col("_k")) * fraction

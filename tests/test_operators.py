@@ -188,3 +188,10 @@ def test_displaced_tracks_fold_on_a_null_board_too(spark):
     tracks = spark.createDataFrame(rows, "board string, cand_id string, first int, seen array<int>, x double, y double")
     got = {(r["board"], r["cand_id"]): r["into"] for r in tracking.merge_displaced(tracks, ["board"], (0.0, 0.0)).collect()}
     assert got == {("A", "c1"): None, ("A", "c2"): "c1", (None, "c1"): None, (None, "c2"): "c1"}
+
+
+def test_displaced_tracks_at_the_centre(spark):
+    rows = [("a", 0, [0, 9], 200.0, 5.0), ("b", 2, [2, 3], 200.0, 5.0), ("c", 3, [3, 4], 200.0001, 5.0), ("d", 4, [5], 200.0 + 1e-13, 5.0), ("e", 5, [6], 210.0, 5.0)]
+    tracks = spark.createDataFrame(rows, "cand_id string, first int, seen array<int>, x double, y double")
+    got = {r.cand_id: r.into for r in tracking.merge_displaced(tracks, [], (200.0, 5.0)).collect()}
+    assert got == {"a": None, "b": "a", "c": None, "d": None, "e": None}
