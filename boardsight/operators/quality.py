@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from boardsight.core.ordered import null_safe_join
+from boardsight.core.pairs import ROWS_IN_A_BLOCK, deal, try_pairs
 from boardsight.core.runtime import cut
 from boardsight.operators.sessions import latest_at
 
@@ -109,36 +112,36 @@ def keep_in_order(rows: DataFrame, pairs: DataFrame, keys: list[str], id: str) -
         edges = cut(edges)
 
 
-BANDS = 7
-
-
-def x_band(h: Column, i: int) -> Column:
-    """The i-th of seven bands of a 64-bit hash: with six bits different at
-    most, one band is the same."""
-    lo, hi = 64 * i // BANDS, 64 * (i + 1) // BANDS
-    return F.shiftrightunsigned(h, lo).bitwiseAND((1 << (hi - lo)) - 1)
-
-
-def hash_pairs(df: DataFrame, group: str, h1: str = "h1", h2: str = "h2", bits: int = 6) -> DataFrame:
+def hash_pairs(df: DataFrame, group: str, h1: str = "h1", h2: str = "h2", bits: int = 6, rows_in_a_block: int = ROWS_IN_A_BLOCK) -> DataFrame:
     """Pairs of different groups whose two hashes both differ in at most
     ``bits`` bits, hashes borne by many rows standing as one (``na``, ``nb``
-    rows). Both hashes must share a band, so buckets are those of the two bands
-    together, and a pair counts only in its first common bucket."""
-    if bits >= BANDS:
-        raise ValueError("seven bands find up to six different bits")
-    uniq = df.groupBy(group, h1, h2).agg(F.count(F.lit(1)).alias("n"))
-    both = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), x_band(F.col(h1), i).alias("p"), x_band(F.col(h2), j).alias("q"))
-                     for i in range(BANDS) for j in range(BANDS)])
-    listed = uniq.withColumn("_k", F.explode(both))
-    a = listed.select("_k", F.col(group).alias("ga"), F.col(h1).alias("a1"), F.col(h2).alias("a2"), F.col("n").alias("na"))
-    b = listed.select("_k", F.col(group).alias("gb"), F.col(h1).alias("b1"), F.col(h2).alias("b2"), F.col("n").alias("nb"))
-
-    def first(x: str, y: str) -> Column:
-        return F.coalesce(*[F.when(x_band(F.col(x), i) == x_band(F.col(y), i), i) for i in range(BANDS)])
-    met = a.join(b, "_k").filter((F.col("ga") < F.col("gb"))
-                                 & (F.col("_k.i") == first("a1", "b1")) & (F.col("_k.j") == first("a2", "b2")))
-    near = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y))) <= bits
-    return met.filter(near("a1", "b1") & near("a2", "b2")).drop("_k")
+    rows). Bands of mostly equal bits narrow nothing, so blocks of hashes are
+    tried whole: two machine words a pair."""
+    uniq = df.groupBy(group, h1, h2).agg(F.count(F.lit(1)).alias("n")).select(F.col(group).alias("g"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), "n")
+    uniq = deal(uniq.dropna(subset=["g", "h1", "h2"]), ["g"], rows_in_a_block)
+    ends = uniq.groupBy("_block").agg(F.min("g").alias("least"), F.max("g").alias("most"))
+    a, b = ends.select(F.col("_block").alias("_i"), "least"), ends.select(F.col("_block").alias("_j"), "most")
+    pairs = a.join(b, F.col("least") < F.col("most")).select("_i", "_j")
+    names = [("ga", "g"), ("gb", "g"), ("a1", "h1"), ("a2", "h2"), ("na", "n"), ("b1", "h1"), ("b2", "h2"), ("nb", "n")]
+    schema = T.StructType([T.StructField(n, uniq.schema[c].dataType) for n, c in names])
+
+    unsigned = lambda df, c: df[c].to_numpy(np.int64).view(np.uint64)  # noqa: E731 - of a negative number, numpy counts the bits of its absolute value
+
+    def tries(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ia, ib = [], []
+        for g, part in left.groupby("g"):
+            there = np.flatnonzero((right["g"] > g).to_numpy())
+            b1, b2 = unsigned(right, "h1")[there], unsigned(right, "h2")[there]
+            for i, x, y in zip(part.index, unsigned(part, "h1"), unsigned(part, "h2")):
+                k = np.flatnonzero(np.bitwise_count(b1 ^ x) <= bits)
+                k = k[np.bitwise_count(b2[k] ^ y) <= bits]
+                if len(k):
+                    ia.append(np.full(len(k), i))
+                    ib.append(there[k])
+        at = lambda df, i: df.take(np.concatenate(i) if i else [])
+        sides = {"a": at(left, ia), "b": at(right, ib)}
+        return pd.DataFrame({n: sides["a" if "a" in n else "b"][c].to_numpy() for n, c in names})
+    return try_pairs(uniq, pairs, tries, schema)
 
 
 def split_leakage(df: DataFrame, group: str = "split", h1: str = "h1", h2: str = "h2", bits: int = 6) -> DataFrame:
@@ -148,7 +151,7 @@ def split_leakage(df: DataFrame, group: str = "split", h1: str = "h1", h2: str =
 
 def leaked_share(df: DataFrame, train: str = "train", group: str = "split", h1: str = "h1", h2: str = "h2", bits: int = 6) -> DataFrame:
     """Per other split, rows with a near-duplicate in ``train``, and their share."""
-    pairs = hash_pairs(df, group, h1, h2, bits)
+    pairs = cut(hash_pairs(df, group, h1, h2, bits))  # both sides read them
     side = lambda here, there, p, q: pairs.filter(F.col(there) == train).select(
         F.col(here).alias(group), F.col(f"{p}1").alias(h1), F.col(f"{p}2").alias(h2), F.col(f"n{p}").alias("n"))
     twins = side("ga", "gb", "a", "b").unionByName(side("gb", "ga", "b", "a")).distinct()

@@ -2,13 +2,15 @@
 
 import itertools
 import math
+from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from boardsight.core import ordered
 from boardsight.core.ordered import Ordered
 from boardsight.core.percentiles import percentiles
-from boardsight.operators import spatial, tracking
+from boardsight.operators import quality, spatial, tracking
 from boardsight.plans import views
 from boardsight.plans.registry import Tables
 from boardsight.sources import files, packets
@@ -124,3 +126,27 @@ def test_many_slices_go_by_range(spark, monkeypatch):
     df = spark.range(500).withColumn("key", F.lit(1))
     out = ordered.Ordered(df, ["key"], ["id"], 40).running_sum("s", F.col("id")).done().collect()
     assert all(r["s"] == r["id"] * (r["id"] + 1) // 2 for r in out)
+
+
+def test_hash_pairs_in_blocks(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2 ** 63, 2 ** 63 - 1, (6, 2))
+    rows = []
+    for i in range(120):
+        flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 6), replace=False)) for _ in range(2)]
+        rows.append((["test", "train", "valid", None][i % 4], *[int(np.uint64(v) ^ np.uint64(f)) for v, f in zip(base[i % 6].view(np.uint64), flips)]))
+    rows = [(g, *[v - 2 ** 64 if v >= 2 ** 63 else v for v in hs]) for g, *hs in rows] + [("test", None, 1), ("train", None, 1)]
+    df = spark.createDataFrame([*rows, *rows[:9]], "split string, h1 long, h2 long")
+    rows = [r for r in [*rows, *rows[:9]] if None not in r]
+    near = lambda p, q: all(((x ^ y) & (2 ** 64 - 1)).bit_count() <= 6 for x, y in zip(p[1:], q[1:]))
+    want = Counter((p[0], q[0]) for p in rows for q in rows if p[0] < q[0] and near(p, q))
+    for n in (10 ** 6, 16):
+        got = quality.hash_pairs(df, "split", rows_in_a_block=n).groupBy("ga", "gb").agg(F.sum(F.col("na") * F.col("nb")).alias("n"))
+        assert want and {(r.ga, r.gb): r.n for r in got.collect()} == want
+
+
+def test_equal_bands_are_not_paired_in_the_plan(spark):
+    """Hashes of mostly clear bits share most of their bands; that made nearly all pairs, each once a band."""
+    df = spark.range(3000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS split", "id * 4096 AS h1", "shiftleft(id, 50) AS h2")
+    plan = quality.hash_pairs(df, "split")._jdf.queryExecution().toString()
+    assert "Generate explode" not in plan and "FlatMapCoGroups" in plan
