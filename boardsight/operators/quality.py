@@ -8,13 +8,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from boardsight.core.ordered import null_safe_join
+from boardsight.core.ordered import Ordered, null_safe_join
 from boardsight.core.pairs import ROWS_IN_A_BLOCK, deal, try_pairs
 from boardsight.core.runtime import cut
 from boardsight.operators.sessions import latest_at
 
 SEGMENTS = 3
-ROWS_IN_A_CELL = 2_000
 
 
 def mean_abs_difference(a: Column, b: Column) -> Column:
@@ -37,60 +36,123 @@ def _cells(df: DataFrame, vec: str, max_mad: float) -> DataFrame:
     return df.withColumn("_cell", F.struct(*cells))
 
 
-def _neighbours(df: DataFrame) -> DataFrame:
-    """Each row once per cell around its own."""
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    for i in range(SEGMENTS):
-        df = df.withColumn(f"_s{i}", F.explode(steps))
-    moved = F.struct(*[(F.col(f"_cell.c{i}") + F.col(f"_s{i}")).alias(f"c{i}") for i in range(SEGMENTS)])
-    return df.withColumn("_cell", moved).drop(*[f"_s{i}" for i in range(SEGMENTS)])
-
-
 def distinct_vectors(df: DataFrame, id: str, vec: str, keys: list[str]) -> DataFrame:
     """One row per different vector and key, under its first id, with how many
     rows bear it: exact copies never meet each other."""
     return df.groupBy(*keys, F.col(vec)).agg(F.min(id).alias(id), F.count(F.lit(1)).alias("copies"))
 
 
-def near_duplicate_pairs(rows: DataFrame, id: str, vec: str, max_mad: float, keys: list[str] = ()) -> DataFrame:
-    """Pairs (a < b) of different vectors closer than ``max_mad``."""
-    placed = _cells(rows.select(*keys, F.col(id).alias("a"), F.col(vec).alias("va")), "va", max_mad)
-    others = _neighbours(_cells(rows.select(*keys, F.col(id).alias("b"), F.col(vec).alias("vb")), "vb", max_mad))
-    met = null_safe_join(placed, others, [*keys, "_cell"]).filter(F.col("a") < F.col("b"))
-    return met.withColumn("mad", mean_abs_difference(F.col("va"), F.col("vb"))).filter(F.col("mad") < max_mad).select(*keys, "a", "b", "mad")
+def _comparable(vec: Column) -> Column:
+    """Whether the vector has a distance to any other: nulls have none."""
+    return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda v: v.isNotNull())
+
+
+class Nearness:
+    """Which vectors of a pandas column differ from a given one by less than ``max_mad`` in the mean, as ``mean_abs_difference`` adds it up."""
+
+    def __init__(self, vectors, max_mad: float):
+        self.rows = np.stack(list(vectors))
+        self.columns = np.ascontiguousarray(self.rows.T)  # added up a place at a time, over all vectors
+        self.space = np.empty_like(self.columns)
+        self.max_mad = max_mad
+
+    def near(self, vector: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row numbers, means)."""
+        np.abs(np.subtract(self.columns, vector[:, None], out=self.space), out=self.space)
+        total = np.add.reduce(self.space, 0)
+        # sums in the vectors' own precision only pass over what is far for certain
+        maybe = np.flatnonzero(total <= self.max_mad * len(vector) * (1 + 1e-4))
+        exact = np.add.accumulate(np.abs(self.rows[maybe].astype(float) - vector.astype(float)), 1)[:, -1] / len(vector)
+        return maybe[exact < self.max_mad], exact[exact < self.max_mad]
+
+
+def near_duplicate_pairs(rows: DataFrame, id: str, vec: str, max_mad: float, keys: list[str] = (), rows_in_a_block: int = ROWS_IN_A_BLOCK) -> DataFrame:
+    """Pairs (a < b) of different vectors closer than ``max_mad``.
+
+    Vectors are dealt into blocks by cell, and blocks tried against those that
+    hold a neighbouring cell. Where most vectors share a cell those are all
+    blocks, and the tries grow with the square of the rows.
+    """
+    keys = list(keys)
+    placed = rows.select(*keys, F.col(id).alias("a"), F.col(vec).alias("v")).filter(_comparable(F.col("v"))).withColumn("dim", F.size("v"))
+    group = F.struct(*keys, "dim")
+    cell = [f"_cell.c{i}" for i in range(SEGMENTS)]
+    blocks = deal(_cells(placed, "v", max_mad).select(*keys, "dim", "a", "v", "_cell"), [*keys, "dim", "_cell"], rows_in_a_block)
+    ends = blocks.groupBy("_block").agg(F.min(group).alias("g0"), F.max(group).alias("g1"), *[f(c).alias(f"c{i}{e}") for i, c in enumerate(cell) for f, e in ((F.min, 0), (F.max, 1))])
+    a, b = ends.alias("a"), ends.alias("b")
+    meet = (F.col("a._block") <= F.col("b._block")) & (F.col("a.g0") <= F.col("b.g1")) & (F.col("b.g0") <= F.col("a.g1"))
+    for i in range(SEGMENTS):
+        meet = meet & (F.col(f"a.c{i}0") - 1 <= F.col(f"b.c{i}1")) & (F.col(f"b.c{i}0") - 1 <= F.col(f"a.c{i}1"))
+    pairs = a.join(b, meet).select(F.col("a._block").alias("_i"), F.col("b._block").alias("_j"))
+    fields = [blocks.schema[k] for k in keys]
+    schema = T.StructType([*fields, T.StructField("a", blocks.schema["a"].dataType), T.StructField("b", blocks.schema["a"].dataType), T.StructField("mad", T.DoubleType())])
+
+    def tries(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        own = left["_i"].iloc[0] == left["_j"].iloc[0]
+        every = pd.concat([left, right], ignore_index=True).groupby([*keys, "dim"], dropna=False, sort=False).ngroup().to_numpy()
+        out = []
+        here, there = every[:len(left)], every[len(left):]
+        for g in np.intersect1d(here, there):
+            one, other = left[here == g], right[there == g]
+            held, ids = Nearness(other["v"], max_mad), other["a"].to_numpy()
+            for i, x in zip(one["a"], one["v"]):
+                at, mad = held.near(x)
+                for k, m in zip(at, mad):
+                    if ids[k] > i or (not own and ids[k] < i):
+                        out.append((*one[keys].iloc[0], min(i, ids[k]), max(i, ids[k]), m))
+        return pd.DataFrame(out, columns=schema.names)
+    return try_pairs(blocks.drop("_cell"), pairs, tries, schema)
 
 
 def near_duplicates(df: DataFrame, vec: str, max_mad: float, keys: list[str] = (), id: str = "id",
-                    rows_in_a_cell: int = ROWS_IN_A_CELL) -> DataFrame:
+                    rows_in_a_block: int = 2 * ROWS_IN_A_BLOCK) -> DataFrame:
     """The rows kept when, in id order, a row is dropped if it nearly repeats
     a kept one of its key.
 
-    Exact copies stand and fall with their first. While some cell is crowded,
-    rows that come first among all their neighbouring cells are surely kept,
-    and what nearly repeats them goes, so a dense heap shrinks without its
-    rows being paired. What is left is paired and decided in rounds.
+    Exact copies stand and fall with their first. Each round settles the next
+    block of each key in id order by itself, and what nearly repeats a row
+    kept there goes from all later blocks, so no pairs are made, however dense
+    a heap is. There are as many rounds as a key has blocks with rows left.
     """
     keys = list(keys)
-    rest = _cells(distinct_vectors(df, id, vec, keys), vec, max_mad)
-    rest = cut(rest.select(*keys, F.col(id).alias("_id"), F.col(vec).alias("_v"), "_cell"))
-    kept = None
-    while True:
-        heads = rest.groupBy(*keys, "_cell").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_n"))
-        if (heads.agg(F.max("_n").alias("m")).first()["m"] or 0) <= rows_in_a_cell:
-            break
-        least = _neighbours(heads.select(*keys, "_cell", "_id")).groupBy(*keys, "_cell").agg(F.min("_id").alias("_least"))
-        sure = null_safe_join(heads, least, [*keys, "_cell"]).filter(F.col("_id") == F.col("_least")).select(*keys, "_id")
-        leaders = cut(null_safe_join(rest, sure, [*keys, "_id"], "left_semi"))
-        near = _neighbours(leaders.select(*keys, F.col("_v").alias("_lv"), F.col("_id").alias("_lid"), "_cell"))
-        gone = (null_safe_join(rest, near, [*keys, "_cell"])
-                .filter((F.col("_id") == F.col("_lid")) | (mean_abs_difference(F.col("_v"), F.col("_lv")) < max_mad))
-                .select(*keys, "_id").distinct())
-        rest = cut(null_safe_join(rest, gone, [*keys, "_id"], "left_anti"))
-        kept = leaders.select(*keys, "_id") if kept is None else kept.unionByName(leaders.select(*keys, "_id"))
-    pairs = near_duplicate_pairs(rest, "_id", "_v", max_mad, keys)
-    last = keep_in_order(rest.select(*keys, "_id"), pairs, keys, "_id")
-    kept = last if kept is None else kept.unionByName(last)
-    return null_safe_join(df, kept.withColumnRenamed("_id", id), [*keys, id], "left_semi")
+    rest = distinct_vectors(df, id, vec, keys).select(*keys, F.col(id).alias("at"), F.col(vec).alias("v"))
+    lone = rest.filter(~_comparable(F.col("v"))).select(*keys, "at")
+    rest = rest.filter(_comparable(F.col("v"))).withColumn("dim", F.size("v"))
+    by = [*keys, "dim"]
+    rest = Ordered(rest, by, ["at"]).row_number("n").done().withColumn("block", F.floor((F.col("n") - 1) / rows_in_a_block)).drop("n")
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = lambda rows: rows.select(*[F.col(c).alias(c) for c in rows.columns]).repartition(tasks, *by, "block")  # noqa: E731 - few bytes, much work
+    rest = cut(dealt(rest))
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at", ignore_index=True)
+        held, open_ = Nearness(pdf["v"], max_mad), np.ones(len(pdf), bool)
+        for i, x in enumerate(pdf["v"]):
+            if open_[i]:
+                at, _ = held.near(x)
+                open_[at[at > i]] = False
+        return pdf[open_]
+
+    def left_over(pdf: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if pdf.empty or heads.empty:
+            return pdf
+        held, open_ = Nearness(pdf["v"], max_mad), np.ones(len(pdf), bool)
+        for x in heads["v"]:
+            open_[held.near(x)[0]] = False
+        return pdf[open_]
+
+    kept = [lone]
+    while not rest.isEmpty():
+        blocks = rest.select(*by, "block").distinct()
+        first = cut(blocks.groupBy(*by).agg(F.min("block").alias("block")))
+        heads = cut(dealt(null_safe_join(rest, first, [*by, "block"], "left_semi")).groupBy(*by, "block").applyInPandas(settle, rest.schema))
+        kept.append(heads.select(*keys, "at"))
+        later = null_safe_join(rest, first, [*by, "block"], "left_anti")
+        targets = null_safe_join(blocks, first, [*by, "block"], "left_anti")
+        told = null_safe_join(targets, heads.drop("block"), by).select(rest.columns)
+        rest = cut(dealt(later).groupBy(*by, "block").cogroup(dealt(told).groupBy(*by, "block")).applyInPandas(left_over, rest.schema))
+    kept = reduce(lambda a, b: a.unionByName(b), kept)
+    return null_safe_join(df, kept.withColumnRenamed("at", id), [*keys, id], "left_semi")
 
 
 def keep_in_order(rows: DataFrame, pairs: DataFrame, keys: list[str], id: str) -> DataFrame:

@@ -150,3 +150,27 @@ def test_equal_bands_are_not_paired_in_the_plan(spark):
     df = spark.range(3000).selectExpr("IF(id % 2 = 0, 'a', 'b') AS split", "id * 4096 AS h1", "shiftleft(id, 50) AS h2")
     plan = quality.hash_pairs(df, "split")._jdf.queryExecution().toString()
     assert "Generate explode" not in plan and "FlatMapCoGroups" in plan
+
+
+def test_near_duplicates_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    heaps = rng.normal(0, 0.125, (5, 8))
+    rows = [(i, ["x", None][i % 2], [float(np.float32(v)) for v in heaps[i % 5] + rng.normal(0, 0.04, 8)]) for i in range(150)]
+    rows += [(150, "x", None), (151, "x", [1.0, None]), (152, "x", rows[0][2][:7]), (153, "x", rows[0][2])]
+    df = spark.createDataFrame(rows, "id long, k string, v array<float>")
+    mad = lambda a, b: sum(abs(x - y) for x, y in zip(a, b)) / len(a)
+    alike = lambda p, q: p[1] == q[1] and None not in (p[2], q[2]) and len(p[2]) == len(q[2]) and None not in p[2] and mad(p[2], q[2]) < 0.05
+    want, kept = set(), []
+    for q in rows:
+        want |= {(p[0], q[0]) for p in rows if p[0] < q[0] and alike(p, q)}
+        kept += [q] if not any(alike(p, q) for p in kept) else []
+    for n in (7, 10 ** 6):
+        got = quality.near_duplicate_pairs(df, "id", "v", 0.05, ["k"], n).collect()
+        assert len(want) > 100 and len(got) == len(want) and {(r.a, r.b) for r in got} == want
+        left = quality.near_duplicates(df, "v", 0.05, ["k"], "id", n).collect()
+        assert sorted(r.id for r in left) == [r[0] for r in kept]
+    # vectors of one cell that are not alike were settled one a round
+    written = []
+    monkeypatch.setattr(quality, "cut", lambda df, real=quality.cut: written.append(1) or real(df))
+    apart = spark.createDataFrame([(i, [float(v) for v in rng.normal(0, 0.05, 64)]) for i in range(2100)], "id long, v array<float>")
+    assert quality.near_duplicates(apart, "v", 0.02).count() == 2100 and len(written) < 12
