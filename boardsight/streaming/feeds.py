@@ -260,7 +260,8 @@ def idempotent_ingest(stream: DataFrame, keys: list[str], order: list[str], sink
         new = null_safe_join(firsts, known.select(*keys, "bucket"), [*keys, "bucket"], "left_anti").persist()
         rows = new.select(*batch.columns).unionByName(batch.filter(~named))
         replace(rows.withColumn("batch", F.lit(number).cast("long")), sink, "batch")
-        replace(new.select(*keys, "bucket").withColumn("batch", F.lit(number).cast("long")), store, "bucket", "batch")
+        # a bucket's keys in one task, or each of the tasks would write a file to each bucket
+        replace(new.select(*keys, "bucket").withColumn("batch", F.lit(number).cast("long")).repartition("bucket"), store, "bucket", "batch")
         new.unpersist()
         firsts.unpersist()
     return (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

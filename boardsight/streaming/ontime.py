@@ -8,41 +8,47 @@ a side table and counted.
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from boardsight.streaming.stateful import TEXT, use_state_store
+from boardsight.streaming.stateful import use_state_store
+
+LEAST = np.iinfo(np.int64).min
 
 BLOCK = T.StructType([T.StructField("rows", T.BinaryType())])
 AT = "at_us"  # event time in the state; the watermark's own column is left out, or late rows would go unseen
+BUCKET, KEY = "on_time_bucket", "on_time_key"
+BUCKETS = 512  # a call to the state costs milliseconds, so keys share one: this many, however many keys there are
 
 
 class OnTimeFold(StatefulProcessor):
-    """Buffers each key's rows as Arrow blocks in a list; a timer at the oldest of them folds what the watermark has passed.
+    """Buffers the rows of a bucket of keys as Arrow blocks in a list; a timer at the oldest of them folds what the watermark has passed, key by key.
 
-    ``due(state)`` names a time at which the key has something to give out though no row comes; once the watermark is
+    ``due(state)`` names a time at which a key has something to give out though no row comes; once the watermark is
     there, ``flush(key, state, passed)`` gives it.
     """
 
-    def __init__(self, fold, columns: list[str], order: list[str], schema: T.StructType, due=None, flush=None):
-        self.fold, self.columns, self.order, self.schema = fold, columns, [AT, *order], schema
+    def __init__(self, fold, keys: list[str], columns: list[str], order: list[str], schema: T.StructType, due=None, flush=None):
+        self.fold, self.keys, self.columns, self.order, self.schema = fold, keys, columns, [AT, *order], schema
         self.due, self.flush = due, flush
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.held = handle.getListState("held", BLOCK)
-        self.state = handle.getValueState("fold", TEXT)
+        self.state = handle.getValueState("fold", BLOCK)
 
-    def _state(self):
-        return json.loads(self.state.get()[0]) if self.state.exists() else (None, None)
+    def _known(self) -> dict:
+        """Of each key in the bucket: its values, the newest time folded, its state."""
+        return pickle.loads(self.state.get()[0]) if self.state.exists() else {}
 
-    def _wake(self, rows: pd.DataFrame) -> None:
-        oldest = int(-(-rows[AT].min() // 1000))
+    def _wake(self, oldest: int) -> None:
+        oldest = int(-(-oldest // 1000))
         timers = list(self.handle.listTimers())
         if not timers or oldest < min(timers):
             for t in timers:
@@ -51,23 +57,23 @@ class OnTimeFold(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(rows, ignore_index=True)
-        if key[0] is None:  # a filter before the state would be moved before the watermark
-            return
         batch.columns = self.columns
-        high, _ = self._state()
-        late = batch[AT] <= high if high is not None else pd.Series(False, index=batch.index)
+        batch = batch[batch[self.keys[0]].notna()]  # a filter before the state would be moved before the watermark
+        if batch.empty:
+            return
+        highs = {k: high for k, (_, high, _) in self._known().items()}
+        late = batch[AT].to_numpy("int64") <= np.array([highs.get(k, LEAST) for k in batch[KEY]])
         fresh = batch[~late]
         if len(fresh):
             self.held.appendValue((pack(fresh),))
-            self._wake(fresh)
+            self._wake(int(fresh[AT].min()))
         if late.any():
             yield self._out(batch[late], True)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
         blocks = [unpack(b[0]) for b in self.held.get()] if self.held.exists() else []
-        high, state = self._state()
-        wake = []
+        known, made, wake = self._known(), [], []
         if blocks:
             rows = pd.concat(blocks, ignore_index=True) if len(blocks) > 1 else blocks[0]
             ready = rows[AT] <= passed
@@ -75,21 +81,30 @@ class OnTimeFold(StatefulProcessor):
             self.held.clear()
             if len(rest):
                 self.held.appendValue((pack(rest),))
-                wake.append(rest[AT].min())
-            if len(due):
-                out, state = self.fold(state, due.sort_values(self.order, ignore_index=True))
-                high = int(due[AT].max())
-                if len(out):
-                    yield self._out(out, False)
-        if high is None:
-            return
+                wake.append(int(rest[AT].min()))
+            due = due.sort_values([KEY, *self.order], ignore_index=True)
+            names = due[KEY].to_numpy()
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(due) else []
+            for a, b in zip(starts, [*starts[1:], len(due)]):
+                part = due.iloc[a:b].reset_index(drop=True)
+                values, _, state = known.get(names[a]) or (tuple(part[self.keys].iloc[0]), None, None)
+                out, state = self.fold(state, part)
+                known[names[a]] = (values, int(part[AT].iloc[-1]), state)
+                made.append(out)
         if self.flush is not None:
-            out, state = self.flush(key, state, passed)
-            if len(out):
-                yield self._out(out, False)
-            if (at := self.due(state)) is not None:
-                wake.append(at)
-        self.state.update((json.dumps([high, state]),))
+            for name, (values, high, state) in known.items():
+                at = self.due(state)
+                if at is not None and at <= passed:
+                    out, state = self.flush(values, state, passed)
+                    known[name] = (values, high, state)
+                    made.append(out)
+                    at = self.due(state)
+                if at is not None:
+                    wake.append(at)
+        if made := [out for out in made if len(out)]:
+            yield self._out(pd.concat(made, ignore_index=True), False)
+        if known:
+            self.state.update((pickle.dumps(known),))
         if wake:
             self.handle.registerTimer(int(-(-min(wake) // 1000)))
 
@@ -114,10 +129,10 @@ def unpack(block: bytes) -> pd.DataFrame:
 
 
 def fold_on_time(stream: DataFrame, keys: list[str], ts: str, fold, schema: T.StructType, order: list[str] = (), late: str = "1 minute",
-                 due=None, flush=None) -> DataFrame:
+                 due=None, flush=None, buckets: int = BUCKETS) -> DataFrame:
     """``fold(state, rows)`` over each key's rows in order of ``ts``, then ``order``, as the watermark passes them.
 
-    ``fold`` gets rows with ``at_us`` for ``ts`` and gives rows of ``schema`` and the next state, which JSON must hold.
+    ``fold`` gets rows with ``at_us`` for ``ts`` and gives rows of ``schema`` and the next state, of plain values.
     The output has ``late`` besides; late rows carry those of their columns that ``schema`` has. Rows with a null first
     key only move the watermark on. ``late`` is how far behind the newest row others may come. ``due`` and ``flush`` are
     for what a key gives out when no row comes (see ``OnTimeFold``).
@@ -125,8 +140,10 @@ def fold_on_time(stream: DataFrame, keys: list[str], ts: str, fold, schema: T.St
     use_state_store(stream.sparkSession)
     rows = stream.withWatermark(ts, late).withColumn(AT, F.unix_micros(ts)).drop(ts)
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in schema], T.StructField("late", T.BooleanType())])
-    return rows.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=OnTimeFold(fold, rows.columns, list(order), out, due, flush), outputStructType=out, outputMode="append", timeMode="EventTime")
+    # the keys as text: a number with nulls beside it does not arrive as one
+    rows = rows.withColumns({KEY: F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}), BUCKET: F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")})
+    return rows.groupBy(BUCKET).transformWithStateInPandas(
+        statefulProcessor=OnTimeFold(fold, list(keys), rows.columns, list(order), out, due, flush), outputStructType=out, outputMode="append", timeMode="EventTime")
 
 
 def write_on_time(folded: DataFrame, sink: str, late_sink: str, checkpoint: str, trigger: dict | None = None):

@@ -4,10 +4,10 @@ import datetime as dt
 import time
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 from boardsight.operators import tracking
-from boardsight.streaming import feeds, ontime
+from boardsight.streaming import feeds, ontime, runs
 from boardsight.streaming.runs import drain, replay
 
 T0 = dt.datetime(2024, 1, 1)
@@ -220,3 +220,24 @@ def test_session_feed(spark):
     rows = [("s1", "bullet_created"), ("s1", "ping"), ("s2", "run_moved")]
     got = feeds.session_feed(spark.createDataFrame(rows, "session_id string, type string"), "s1").collect()
     assert [(r.session_id, r.type) for r in got] == [("s1", "bullet_created")]
+
+
+def test_keys_share_state_and_landings_are_several_files(spark, monkeypatch):
+    folders = []
+    monkeypatch.setattr(runs, "new_folder", lambda *a, real=runs.new_folder: folders.append(real(*a)) or folders[-1])
+    from boardsight.streaming.ontime import AT, fold_on_time
+    at = F.timestamp_seconds(F.col("id") * 60)
+    batch = spark.range(60).select(F.when(F.col("id") % 7 > 0, F.col("id") % 7).alias("key"), F.col("id").alias("n"), at.alias("timestamp"))
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField(AT, T.LongType()), T.StructField("total", T.LongType())])
+
+    def fold(state, rows):
+        totals = rows["n"].cumsum() + (state or 0)
+        return rows.assign(total=totals)[schema.names], int(totals.iloc[-1])
+    want = sorted((k, sum(n for n in range(60) if n % 7 == k and n <= m)) for k in range(1, 7) for m in range(60) if m % 7 == k)
+    for buckets, rows_in_a_file in ((1, 10 ** 6), (3, 5)):
+        stream = replay(batch, "timestamp", 2, rows_in_a_file=rows_in_a_file)
+        assert len(folders) % 3 == 2  # where it lands, where it is made
+        out = drain(fold_on_time(stream, ["key"], "timestamp", fold, schema, buckets=buckets)).collect()
+        assert sorted((r.key, r.total) for r in out if not r.late) == want and len(out) == len(want)
+    # before, each landing was one file, written by one task
+    assert spark.read.parquet(folders[-3]).select(F.input_file_name()).distinct().count() > 3
