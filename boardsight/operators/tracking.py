@@ -116,6 +116,23 @@ def _matches(pos: np.ndarray, p: np.ndarray, floor: float) -> np.ndarray:
     return same | (overlap > OVERLAP_SHARE) | (d < CENTRE_FACTOR * diagonal)
 
 
+def _first_match(pos: np.ndarray, wide: float, p: np.ndarray, size: float, floor: float) -> int:
+    """The first of the candidates that is the same mark as ``p``, -1 if none. No mark farther off than the
+    floor or half the diagonals (``size``, and at most ``wide``) can be, and one nearer than the floor is."""
+    d = np.hypot(pos[:, 0] - p[0], pos[:, 1] - p[1])
+    near = (d <= max(floor, max(CENTRE_FACTOR, 1.0) * (wide + size) / 2) * 1.001).nonzero()[0]
+    if not len(near):
+        return -1
+    if d[near[0]] < floor:
+        return int(near[0])
+    hit = _matches(pos[near], p, floor).nonzero()[0]
+    return int(near[hit[0]]) if len(hit) else -1
+
+
+def _size(p: np.ndarray) -> float:
+    return max((math.hypot(w, h) for w, h in p[..., 2:4].reshape(-1, 2).tolist() if w == w and h == h), default=0.0)
+
+
 def track_candidates(looks: DataFrame, keys: list[str], match_px: float = MATCH_PX, reopen: bool = False,
                      persist: float = PERSIST, window: int = WINDOW, rows_per_slice: int = ROWS_PER_SLICE) -> DataFrame:
     """U4: one row per detection with the candidate it folds into: the first
@@ -141,6 +158,7 @@ def tracking_fold(keys: list[str], columns: list[str], match_px: float, reopen:
     to it as their window passes."""
     def fold(state, rows: pd.DataFrame):
         live = [{**c, "pos": np.asarray(c["pos"], np.float32)} for c in state or []]
+        at, wide = None, 0.0  # positions of the live, stacked anew only where candidates come or go, and the widest
         out = []
         for frame, status, found in zip(rows["frame"], rows["status"], rows["_d"]):
             frame = int(frame)
@@ -154,19 +172,26 @@ def tracking_fold(keys: list[str], columns: list[str], match_px: float, reopen:
                         if judged is not None:
                             judged.append((c["id"], c["first"], frame, *[float(v) for v in c["pos"][:2]], c["hits"] / c["span"]))
                     alive.append(c)
-                live = alive
+                if len(alive) < len(live):
+                    live, at = alive, None
             if status == "registered":
                 for n, d in enumerate(found):
                     p = np.asarray([np.nan if v is None else v for v in d], np.float32)
-                    hit = np.flatnonzero(_matches(np.stack([c["pos"] for c in live]), p, match_px)) if live else ()
-                    if len(hit):
-                        c = live[hit[0]]
-                        c["pos"] = (c["pos"] * np.float32(c["n"]) + p) / np.float32(c["n"] + 1)
+                    if at is None and live:
+                        at = np.stack([c["pos"] for c in live])
+                        wide = _size(at)
+                    size = _size(p)
+                    hit = _first_match(at, wide, p, size, match_px) if live else -1
+                    if hit >= 0:
+                        c = live[hit]
+                        wide = max(wide, size)  # a mean is no wider than the widest
+                        c["pos"] = at[hit] = (c["pos"] * np.float32(c["n"]) + p) / np.float32(c["n"] + 1)
                         c["n"] += 1
                     else:
                         c = {"pos": p, "n": 1, "first": frame, "id": f"{frame}-{n}", "open": True,
                              "span": 0, "tried": 0, "hits": 0, "last": -1}
                         live.append(c)
+                        at = None
                     if c["last"] != frame and frame < c["first"] + window:
                         c["hits"] += 1
                         c["last"] = frame
