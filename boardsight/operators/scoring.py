@@ -7,12 +7,14 @@ from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from boardsight.core.ordered import hot_keys, null_safe_join
 from boardsight.core.percentiles import ROWS_IN_ONE_STATE, percentiles
 from boardsight.core.runtime import cut
 from boardsight.functions.geometry import TRUTH_TOLERANCE, x_cause
+from boardsight.operators.matching import gap, match_places, nearest_pairs
 from boardsight.operators.spatial import components, distance_join, nearest
 
 # Bounds of the run comparison, mm.
@@ -132,10 +134,50 @@ def _only_best_of_lone(edges: DataFrame, keys: list[str], one: str, many: str) -
     return tagged.filter(F.col("_deg") > 1).select(kept.columns).unionByName(kept)
 
 
-def match_one_to_one(truth: DataFrame, found: DataFrame, tol: float, keys: list[str] = ()) -> DataFrame:
-    """Pairs of truth (truth_id, x, y) and found (found_id, x, y) marks."""
-    edges = distance_join(truth.select(*keys, "truth_id", "x", "y"), found.select(*keys, "found_id", "x", "y"), tol, keys)
-    return match_edges(edges.select(*keys, "truth_id", "found_id", "distance"), list(keys))
+def match_one_to_one(truth: DataFrame, found: DataFrame, tol: float, keys: list[str] = (), pairs_in_one_task: int = EDGES_IN_ONE_TASK) -> DataFrame:
+    """Pairs of truth (truth_id, x, y) and found (found_id, x, y) marks, with their ``distance``.
+
+    Keys that could have more than ``pairs_in_one_task`` pairs are matched by place, so
+    their pairs are not listed; a task holds the marks of one such key.
+    """
+    keys = list(keys)
+    truth, found = truth.select(*keys, "truth_id", "x", "y"), found.select(*keys, "found_id", "x", "y")
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    both = null_safe_join(count(truth, "_t"), count(found, "_f"), keys)
+    crowded = cut(both.filter(F.col("_t").cast("double") * F.col("_f") > pairs_in_one_task).select(*keys, "_t"))
+    n_crowded = crowded.count()
+    side = lambda df, how: null_safe_join(df, crowded.select(*keys), keys, how) if n_crowded else df
+    edges = distance_join(side(truth, "left_anti"), side(found, "left_anti"), tol, keys)
+    pairs = match_edges(edges.select(*keys, "truth_id", "found_id", "distance"), keys)
+    if not n_crowded:
+        return pairs
+    # by number and in many parts, for few bytes are much work and keys must not meet in a task
+    dealt = lambda df: side(df, "left_semi").repartition(min(20 * n_crowded, 2_000), *keys).groupBy(*keys)
+    matched = dealt(truth).cogroup(dealt(found)).applyInArrow(_by_place(keys, float(tol), pairs.schema), pairs.schema)
+    return pairs.unionByName(cut(matched))
+
+
+def _by_place(keys: list[str], tol: float, schema: T.StructType):
+    def places(marks: pa.Table, name: str) -> tuple[pa.Table, np.ndarray]:
+        at = np.column_stack([marks[c].to_numpy().astype(float) for c in ("x", "y")])
+        marks = marks.filter(pa.array(np.isfinite(at).all(axis=1)))  # others are within reach of none
+        if not pa.types.is_nested(marks[name].type):
+            marks = marks.sort_by(name)
+        return marks, np.column_stack([marks[c].to_numpy().astype(float) for c in ("x", "y")])
+
+    def solve(truth: pa.Table, found: pa.Table) -> pa.Table:
+        truth, a = places(truth, "truth_id")
+        found, b = places(found, "found_id")
+        rows, cols = (pd.factorize(t[c].to_numpy(), use_na_sentinel=False)[0] for t, c in ((truth, "truth_id"), (found, "found_id")))
+        if len(set(rows)) == len(rows) and len(set(cols)) == len(cols):
+            i, j = match_places(a, b, tol)
+        else:  # a mark of several places: its pairs are listed
+            i, j = nearest_pairs(a, b, tol, len(b))
+            best = assign(rows[i], cols[j], gap(a[i], b[j]))
+            i, j = i[best], j[best]
+        columns = [*[truth[k].take(pa.array(i)) for k in keys], truth["truth_id"].take(pa.array(i)), found["found_id"].take(pa.array(j)), pa.array(gap(a[i], b[j]))]
+        return pa.table(dict(zip(schema.names, columns, strict=True)))
+    return solve
 
 
 def new_marks(before: DataFrame, after: DataFrame, tol: float, keys: list[str] = ()) -> DataFrame:
