@@ -6,10 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
-from boardsight.core.columns import once
-from boardsight.core.ordered import ROWS_PER_SLICE, Ordered, fold_in_order, null_safe_join
+from boardsight.core.columns import group_codes, once
+from boardsight.core.ordered import ROWS_PER_SLICE, Ordered, broadcast_if_small, fold_in_order, hot_keys, null_safe_join
+from boardsight.core.pairs import deal
 from boardsight.core.runtime import cut
 from boardsight.functions import signals as fn
 from boardsight.functions.geometry import CENTRE_FACTOR, MATCH_PX, OVERLAP_SHARE, x_same_mark
@@ -19,6 +22,11 @@ from boardsight.operators.spatial import distance_join, strip_known
 # Persistence rule and baseline length, in frames.
 PERSIST, WINDOW, BASELINE_FRAMES = 0.5, 25, 5
 MOVED_PX = 2.0
+TRACKS_IN_ONE_TASK = 50_000   # of a key: above, its tracks are tried block against block
+TRACKS_IN_A_BLOCK = 8_192
+TRIES_AT_ONCE = 2 ** 18       # tracks against tracks, in one step
+FIRST_TRIES = 64              # of a track in the order of the earlier, before a shorter list is looked for
+SIGHTING_WORDS = 2 ** 22      # words that hold the sightings of a task's tracks as bits
 
 
 def _ms(df: DataFrame, ts: str) -> Column:
@@ -296,36 +304,204 @@ def baseline_marks(looks: DataFrame, keys: list[str], r: float = MATCH_PX, n: in
     return dets.groupBy(*keys).applyInPandas(greedy, schema)
 
 
-def merge_displaced(tracks: DataFrame, keys: list[str], centre: tuple[float, float], fraction: float = 0.35) -> DataFrame:
+def merge_displaced(tracks: DataFrame, keys: list[str], centre: tuple[float, float], fraction: float = 0.35,
+                    tracks_in_one_task: int = TRACKS_IN_ONE_TASK, tracks_in_a_block: int = TRACKS_IN_A_BLOCK) -> DataFrame:
     """Each track (``cand_id``, first, seen, x, y) with the earlier track it
     folds into (``into``, null if it stands): never seen together, not seen
     after it, and no farther from it than ``fraction`` of its own distance from
-    the centre. Tracks meet on cells scaled to that distance, but for the least
-    distances: cell numbers stay under 2 ** 40, and a wider cell finds all the same."""
-    cx, cy = centre
+    the centre. A track is held against the earlier ones in their order, or
+    against fewer that alone can fit, so pairs are neither listed nor written.
+    Bigger keys go block against block, in rounds of four times as many blocks."""
     tracks = cut(tracks)  # read several times below
-    t = tracks.withColumn("_reach", F.hypot(F.col("x") - cx, F.col("y") - cy))
-    far = t.agg(F.max(F.greatest(F.abs("x"), F.abs("y"))).alias("m")).first()["m"] or 1.0
-    least = math.ceil(math.log2(far / fraction)) - 40 if fraction > 0 and 0 < far < math.inf else -40
-    level = F.when(F.col("_reach") > 0, F.greatest(F.ceil(F.log2("_reach")), F.lit(least))).otherwise(F.lit(least)).cast("int")
-    t = t.withColumn("_k", level)
-    levels = sorted(r["_k"] for r in t.select("_k").distinct().collect())  # powers of two of a distance: tens at most
-    size = F.pow(F.lit(2.0), F.col("_k")) * fraction
-    cell = lambda c: F.floor(F.col(c) / size).cast("long")
-    later = t.withColumns({"_cx": cell("x"), "_cy": cell("y")})
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    earlier = (t.drop("_k", "_reach").withColumn("_k", F.explode(F.array(*[F.lit(v) for v in levels] or [F.lit(0)])))
-               .withColumns({"_cx": cell("x"), "_cy": cell("y")})
-               .withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-               .select(*keys, "_k", (F.col("_cx") + F.col("_dx")).alias("_cx"), (F.col("_cy") + F.col("_dy")).alias("_cy"),
-                       F.col("cand_id").alias("e_id"), F.col("first").alias("e_first"), F.col("seen").alias("e_seen"),
-                       F.col("x").alias("ex"), F.col("y").alias("ey")))
-    met = null_safe_join(later, earlier, [*keys, "_k", "_cx", "_cy"]).filter(
-        (F.col("e_first") < F.col("first")) & ~F.arrays_overlap("seen", "e_seen")
-        & (F.array_max("seen") <= F.array_max("e_seen"))
-        & (F.hypot(F.col("x") - F.col("ex"), F.col("y") - F.col("ey")) <= fraction * F.col("_reach")))
-    into = met.groupBy(*keys, "cand_id").agg(F.min_by("e_id", F.struct("e_first", "e_id")).alias("into"))
-    return null_safe_join(tracks, into, [*keys, "cand_id"], "left")
+    hot, n_hot, in_hot = hot_keys(tracks, keys, tracks_in_one_task)
+    parts = 1 + 8 * (tracks.count() - in_hot) // tracks_in_one_task
+    seen = F.filter(F.col("seen").cast("array<bigint>"), lambda f: f.isNotNull())
+    known = tracks.withColumn("_seen", seen).withColumn("_last", F.array_max("_seen")).withColumns(
+        {"_x": F.col("x").cast("double"), "_y": F.col("y").cast("double")})
+    schema = T.StructType([*tracks.schema.fields, T.StructField("into", tracks.schema["cand_id"].dataType)])
+    columns = tracks.columns
+
+    def whole(t: pa.Table) -> pa.Table:
+        judged = np.flatnonzero(_judged(t))
+        own = t.take(pa.array(judged))
+        fit = _earliest_fit(own, own, keys, centre, fraction)
+        into = np.full(t.num_rows, -1)
+        into[judged[fit >= 0]] = judged[fit[fit >= 0]]
+        return t.select(columns).append_column("into", t["cand_id"].take(pa.array(into, mask=into < 0)))
+
+    few = null_safe_join(known, hot.select(*keys), keys, "left_anti") if n_hot else known
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)) if keys else F.lit(0)
+    out = few.groupBy(part.alias("_part")).applyInArrow(whole, schema)
+    if n_hot:
+        many = null_safe_join(known, hot.select(*keys), keys, "left_semi")
+        out = out.unionByName(_merged_by_blocks(many, keys, centre, fraction, tracks_in_a_block).select(schema.names))
+    return out
+
+
+def _merged_by_blocks(known: DataFrame, keys: list[str], centre: tuple[float, float], fraction: float, in_a_block: int) -> DataFrame:
+    """The same with two blocks of tracks a task. A round tries those still open
+    against the next blocks in the order of the earlier, four times as many as
+    before; what fits in a round is earlier than all that fits in a later one."""
+    earlier = deal(known.withColumn("_row", F.monotonically_increasing_id()), [*keys, "first", "cand_id"], in_a_block)
+    tasks = int(earlier.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    judged = " and ".join(f"{c} is not null" for c in ("first", "_last", "_x", "_y"))
+    slim = [*keys, "first", "cand_id", "_seen", "_last", "_x", "_y"]
+    place = W.partitionBy(*keys).orderBy("_j") if keys else W.orderBy("_j")  # as many rows as a key has blocks
+    targets = cut(earlier.filter(judged).groupBy(*keys, F.col("_block").alias("_j"))
+                  .agg(F.min("first").alias("_from"), F.max("_last").alias("_until")).withColumn("_nth", F.row_number().over(place)))
+    blocks = targets.agg(F.max("_nth").alias("n")).first()["n"] or 0
+    schema = T.StructType([T.StructField("_row", T.LongType()), T.StructField("_first", earlier.schema["first"].dataType),
+                           T.StructField("into", earlier.schema["cand_id"].dataType)])
+
+    def tries(later: pa.Table, before: pa.Table) -> pa.Table:
+        fit = _earliest_fit(before, later, keys, centre, fraction)
+        hit = before.take(pa.array(fit[fit >= 0]))
+        return pa.table({"_row": later["_row"].filter(pa.array(fit >= 0)), "_first": hit["first"], "into": hit["cand_id"]})
+
+    def side(rows: DataFrame, pairs: DataFrame, end: str) -> DataFrame:
+        met = null_safe_join(rows.withColumnRenamed("_block", end), pairs, [*keys, end])
+        # new columns, for both sides come of one table; dealt by number, for few bytes are much work
+        return met.select(*[F.col(c).alias(c) for c in met.columns]).repartition(tasks, "_i", "_j")
+
+    open_, found, start, end = earlier.filter(judged).select("_row", "_block", *slim), [], 0, 1
+    while start < blocks:
+        tried = open_.groupBy(*keys, F.col("_block").alias("_i")).agg(F.max("first").alias("_to"), F.min("_last").alias("_since"))
+        pairs = null_safe_join(tried, targets.filter((F.col("_nth") > start) & (F.col("_nth") <= end)), keys).filter(
+            (F.col("_from") < F.col("_to")) & (F.col("_until") >= F.col("_since"))).select(*keys, "_i", "_j")
+        pairs = broadcast_if_small(cut(pairs))
+        hits = (side(open_, pairs, "_i").groupBy("_i", "_j")
+                .cogroup(side(earlier.filter(judged).select("_block", *slim), pairs, "_j").groupBy("_i", "_j")).applyInArrow(tries, schema))
+        found.append(cut(hits.groupBy("_row").agg(F.min(F.struct("_first", "into")).alias("_b"))))
+        start, end = end, 5 * end + 1 - start
+        if start < blocks:
+            left = open_.join(found[-1].select("_row"), "_row", "left_anti").drop("_block")
+            open_ = deal(left, [*keys, "_last"], in_a_block)  # few may be left, and these meet whole blocks
+    out = earlier
+    if found:
+        best = found[0]
+        for more in found[1:]:
+            best = best.unionByName(more)
+        return out.join(best, "_row", "left").withColumn("into", F.col("_b.into"))
+    return out.withColumn("into", F.lit(None).cast(earlier.schema["cand_id"].dataType))
+
+
+def _judged(t: pa.Table) -> np.ndarray:
+    """Which tracks have all that folding asks for."""
+    return np.logical_and.reduce([t[c].is_valid().to_numpy() for c in ("first", "_last", "_x", "_y")])
+
+
+def _earliest_fit(before: pa.Table, later: pa.Table, keys: list[str], centre: tuple[float, float], fraction: float) -> np.ndarray:
+    """For each track of ``later`` the row of the track of ``before`` it folds
+    into, -1 if none. Tracks of equal keys meet, in the order of (first, cand_id).
+
+    Most find one among the first few. One that does not goes on with the
+    shortest list that must hold what fits: the rest in order, those seen late
+    enough, or those near enough across or down.
+    """
+    n, m = before.num_rows, later.num_rows
+    into = np.full(m, -1)
+    if not n or not m:
+        return into
+    both = pa.concat_tables([t.select([*keys, "first", "_seen", "_last", "_x", "_y"]) for t in (before, later)]).combine_chunks()
+    group, first = group_codes(both, keys), pc.rank(both["first"], tiebreaker="dense").to_numpy().astype(np.int64)
+    order = pc.sort_indices(pa.table({"g": group[:n], "f": first[:n], "i": before["cand_id"]}),
+                            sort_keys=[(c, "ascending") for c in "gfi"], null_placement="at_start").to_numpy()
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n)
+    code = group * (first.max() + 1) + first
+    at, stop = (np.searchsorted(code[:n][order], c[n:]) for c in (group * (first.max() + 1), code))  # of one's key, and before one's own first
+    x, y, last = (both[c].to_numpy() for c in ("_x", "_y", "_last"))
+    reach = fraction * np.sqrt((x - centre[0]) ** 2 + (y - centre[1]) ** 2)
+    seen = _Sightings(both["_seen"].combine_chunks())
+    tries = max(1, TRIES_AT_ONCE // seen.bits.shape[1])
+
+    def settle(own: np.ndarray, e: np.ndarray) -> None:
+        """Try pairs, which stand in order for each of ``own``."""
+        fits = last[e] >= last[n + own]
+        own, e = own[fits], e[fits]
+        fits = np.sqrt((x[n + own] - x[e]) ** 2 + (y[n + own] - y[e]) ** 2) <= reach[n + own]
+        own, e = own[fits], e[fits]
+        fits = seen.apart(n + own, e)
+        hit, k = np.unique(own[fits], return_index=True)
+        into[hit] = e[fits][k]
+
+    def in_order(open_: np.ndarray, some: int) -> np.ndarray:
+        """Those without a fit after ``some`` tries each, in order."""
+        while len(open_) and some > 0:
+            wide = max(1, min(some, tries // len(open_)))
+            held = at[open_, None] + np.arange(wide)
+            row, col = np.nonzero(held < stop[open_, None])
+            settle(open_[row], order[held[row, col]])
+            at[open_] += wide
+            some -= wide
+            open_ = open_[(into[open_] < 0) & (at[open_] < stop[open_])]
+        return open_
+
+    open_ = in_order(np.flatnonzero(at < stop), FIRST_TRIES)
+    if not len(open_):
+        return into
+    own, ways = n + open_, []
+    for value, low, high in ((last, last[own], None), (x, x[own] - reach[own], x[own] + reach[own]), (y, y[own] - reach[own], y[own] + reach[own])):
+        slack = 0 if high is None else 1e-9 * (np.abs(value[own]) + reach[own])  # the tries decide at the edge
+        ranked = np.sort(value[:n])
+        rank = group[:n] * (n + 1) + np.searchsorted(ranked, value[:n])
+        by = np.argsort(rank, kind="stable")
+        upto = n if high is None else np.searchsorted(ranked, high + slack, "right")
+        ways.append((by, *(np.searchsorted(rank[by], group[own] * (n + 1) + r) for r in (np.searchsorted(ranked, low - slack), upto))))
+    lengths = np.stack([stop[open_] - at[open_], *(to - start for _, start, to in ways)])
+    way = lengths.argmin(0)
+    in_order(open_[way == 0], n)
+    for w, (by, start, to) in enumerate(ways, 1):
+        mine = np.flatnonzero((way == w) & (lengths[w] > 0))
+        so_far = np.cumsum(lengths[w][mine])
+        while len(mine):
+            some = max(1, int(np.searchsorted(so_far, tries, "right")))
+            now, length = mine[:some], lengths[w][mine[:some]]
+            at_row = np.repeat(now, length)
+            e = by[np.arange(len(at_row)) - np.repeat(np.cumsum(length) - length, length) + start[at_row]]
+            held = open_[at_row]
+            keep = (place[e] >= at[held]) & (place[e] < stop[held]) & (last[e] >= last[n + held])
+            held, e = held[keep], e[keep]
+            sorted_ = np.lexsort((place[e], held))
+            settle(held[sorted_], e[sorted_])
+            mine, so_far = mine[some:], so_far[some:] - so_far[some - 1]
+    return into
+
+
+class _Sightings:
+    """Frames of each track as bits; where there are more frames than bits, frames share
+    bits, and what these leave open is looked up among the frames."""
+
+    def __init__(self, seen: pa.ListArray):
+        row, frame = pc.list_parent_indices(seen).to_numpy().astype(np.int64), pc.list_flatten(seen).to_numpy()
+        low, n = frame.min(), len(seen)
+        need = int((frame.max() - low) // 64 + 1)
+        words = min(need, max(16, SIGHTING_WORDS // n))
+        bit = (frame - low) % (64 * words)
+        self.bits, self.exact = np.zeros((n, words), np.uint64), words == need
+        np.bitwise_or.at(self.bits.reshape(-1), row * words + bit // 64, np.uint64(1) << (bit % 64).astype(np.uint64))
+        if not self.exact:
+            order = np.lexsort((frame, row))
+            self.frames, self.bounds = frame[order], np.searchsorted(row[order], np.arange(n + 1))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Which pairs share no frame; of those of one ``a``, which stand together, all up to the first of them at least."""
+        free = np.zeros(len(a), bool)
+        at_once = max(1, 8 * TRIES_AT_ONCE // self.bits.shape[1])
+        for p in range(0, len(a), at_once):
+            free[p:p + at_once] = ~(self.bits[a[p:p + at_once]] & self.bits[b[p:p + at_once]]).any(1)
+        if not self.exact:
+            done = -1
+            for k in range(len(a)):
+                if a[k] != done:
+                    free[k] = free[k] or not self._shared(a[k], b[k])
+                    done = a[k] if free[k] else done
+        return free
+
+    def _shared(self, a: int, b: int) -> bool:
+        one, other = (self.frames[self.bounds[i]:self.bounds[i + 1]] for i in (a, b))
+        at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+        return bool((other[at] == one).any())
 
 
 def _same_marks(cands: DataFrame, changes: DataFrame, keys: list[str], floor: float) -> DataFrame:
